@@ -78,10 +78,17 @@ def encode_words(content: str, words: list[str]) -> list[list[int]]:
 
 def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     """The rows of the batches, one by one."""
-    for b in batches:
+    for b in slices(batches):
         yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
 
 
+def slices(batches: Iterable[pa.RecordBatch], most: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, which bounds what their Python objects take."""
+    for b in batches:
+        for i in range(0, b.num_rows, most):
+            yield b.slice(i, most)
+
+
 def in_batches(made: Iterable[tuple], schema: pa.Schema, weigh, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Rows as record batches of about `most` bytes, as weigh(row) counts them."""
     held: list[tuple] = []

@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from formloom.llm._shared import CHUNK, encode_words, in_batches, rows, text_of, tokenizer_json
+from formloom.llm._shared import CHUNK, encode_words, in_batches, rows, slices, text_of, tokenizer_json
 
 BYTE_BPE = "byte_bpe_50k.json"
 #: Characters in a block, and blocks of words for each shuffle partition.
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 8 << 20
 BUCKETS = 64
 
 
@@ -88,8 +88,7 @@ def _lists(block_chars: int, buckets: int) -> Callable:
         for block, _, texts in _blocks(batches, block_chars):
             numbers = _Numbers()
             for t in texts:
-                for w in CHUNK.findall(t):
-                    numbers[w]
+                numbers |= dict.fromkeys(CHUNK.findall(t))
             for b, own in _dealt(numbers, buckets)[1]:
                 yield b, block, b"".join(own), np.fromiter(map(len, own), "<u4", len(own)).tobytes()
 
@@ -154,7 +153,7 @@ def _placed(id_col: str) -> tuple[str, Callable]:
         at = np.repeat(begin[codes] - ends[:-1], length[codes]) + np.arange(ends[-1])
         cuts = ends[np.concatenate([[0], np.cumsum(np.frombuffer(doc["counts"], "<u4"), dtype=np.int64)])]
         ids = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat[at].astype(np.int32)))
-        return pa.Table.from_arrays([pa.array(doc["doc_ids"], pa.int64()), ids], schema=schema)
+        return pa.Table.from_batches(pa.RecordBatch.from_arrays([pa.array(doc["doc_ids"], pa.int64()), ids], schema=schema).slice(i, 512) for i in range(0, len(ids), 512))
 
     return f"`{id_col}` long, ids array<int>", joined
 
@@ -200,7 +199,7 @@ def decode(df: DataFrame, tokenizer_file: str = BYTE_BPE, ids_col: str = "ids",
 
     def joined(batches):
         piece = _pieces(content).__getitem__
-        for b in batches:
+        for b in slices(batches):
             ids = b.column(b.schema.get_field_index(ids_col))
             texts = [None if x is None else b"".join(map(piece, x)).decode("utf-8", "replace") for x in ids.to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out_col])
@@ -209,7 +208,7 @@ def decode(df: DataFrame, tokenizer_file: str = BYTE_BPE, ids_col: str = "ids",
 
 
 def _digests(batches):
-    for b in batches:
+    for b in slices(batches):
         doc, ids, text = b.columns
         flat, ends = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4"), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)])
         yield pa.RecordBatch.from_arrays(
