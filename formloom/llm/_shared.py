@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +78,79 @@ def encode_words(content: str, words: list[str]) -> list[list[int]]:
     return [x.ids for x in t.encode_batch_fast(words, add_special_tokens=False)]
 
 
+class Coder:
+    """Encodes texts chunk by chunk and remembers chunks; what it remembers is bounded."""
+
+    MOST_CHUNKS, MOST_CHARS = 400_000, 8 << 20
+
+    def __init__(self, content: str):
+        self.content = content
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.ids = np.empty(1 << 16, np.int32)
+        self.begin = np.empty(1 << 14, np.int64)
+        self.length = np.empty(1 << 14, np.int64)
+        self.used = self.chars = 0
+
+    def _learn(self, new: list[str]) -> None:
+        for word, ids in zip(new, encode_words(self.content, new), strict=True):
+            n = self.numbers[word] = len(self.numbers)
+            self.chars += len(word)
+            if n == len(self.begin):
+                self.begin, self.length = np.resize(self.begin, 2 * n), np.resize(self.length, 2 * n)
+            while self.used + len(ids) > len(self.ids):
+                self.ids = np.resize(self.ids, 2 * len(self.ids))
+            self.begin[n], self.length[n] = self.used, len(ids)
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in a row, and where each text ends."""
+        found = [CHUNK.findall(t) for t in texts]
+        new: dict[str, None] = {}
+        for own in found:
+            new |= dict.fromkeys(own)
+        self._learn([w for w in new if w not in self.numbers])
+        number = self.numbers.__getitem__
+        codes = np.fromiter(map(number, itertools.chain.from_iterable(found)), np.int64, sum(map(len, found)))
+        length = self.length[codes]
+        ends = np.cumsum(length)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.repeat(self.begin[codes] - ends + length, length) + np.arange(total)]
+        cuts = np.cumsum([len(own) for own in found])
+        ends = np.concatenate([[0], ends])[cuts] if texts else np.empty(0, np.int64)
+        if len(self.numbers) > self.MOST_CHUNKS or self.chars > self.MOST_CHARS or self.used > 8 * self.MOST_CHUNKS:
+            self.forget()
+        return ids, ends
+
+
+@functools.lru_cache(maxsize=2)
+def coder(content: str) -> Coder:
+    """One for a worker, which serves many tasks."""
+    return Coder(content)
+
+
+def encoded(batches: Iterable[pa.RecordBatch], content: str, chars: int = 1 << 20) -> Iterator[tuple]:
+    """(id, ids of the text) for rows (id, text), encoded about `chars` characters at a time."""
+
+    def out(docs: list, texts: list[str]) -> Iterator[tuple]:
+        ids, ends = coder(content).encode(texts)
+        yield from zip(docs, np.split(ids, ends[:-1]), strict=True)
+
+    docs, texts, size = [], [], 0
+    for doc, text in rows(batches):
+        docs.append(doc)
+        texts.append(text)
+        size += len(text)
+        if size >= chars:
+            yield from out(docs, texts)
+            docs, texts, size = [], [], 0
+    if docs:
+        yield from out(docs, texts)
+
+
 def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     """The rows of the batches, one by one."""
     for b in slices(batches):

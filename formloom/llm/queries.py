@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("op1_bpe",)
+MODULES = ("op1_bpe", "op2_exact", "op3_tokens", "op4_packing", "op6_simhash")
 
 
 def queries() -> dict[str, Callable]:
