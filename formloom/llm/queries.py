@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("op1_bpe", "op2_exact", "op3_tokens", "op4_packing", "op6_simhash")
+MODULES = ("op1_bpe", "op2_exact", "op3_tokens", "op4_packing", "op5_omh", "op6_simhash", "op7_pii", "op8_shards")
 
 
 def queries() -> dict[str, Callable]:
