@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
 import os
 import re
 import tempfile
@@ -72,58 +73,85 @@ def tokenizer(content: str):
     return t
 
 
-def encode_words(content: str, words: list[str]) -> list[list[int]]:
-    """Each word's ids."""
-    t = tokenizer(content)
-    return [x.ids for x in t.encode_batch_fast(words, add_special_tokens=False)]
+#: Texts of these characters alone are split alike under every version of Unicode; NFC leaves them as they are.
+_UNUSUAL = re.compile(r"<\||[^\t\n\r -~À-ÖØ-öø-ÿ¡¿«»°§£€–—‘’“”…•]")
+_CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+_LOWER_PIECES = re.compile(rf"{_CONTRACTIONS}|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+_BYTE_PIECES = rf"{_CONTRACTIONS}| ?\p{{L}}+| ?\p{{N}}+| ?[^\s\p{{L}}\p{{N}}]+|\s+(?!\S)|\s+"
+#: Stands for a word's end in byte pairs; texts that have it aren't usual ones.
+_END = "\x01"
+
+
+def byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for."""
+    visible = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in visible)}
 
 
 class Coder:
-    """Encodes texts chunk by chunk and remembers chunks; what it remembers is bounded."""
+    """Encodes texts as the tokenizer does.
 
-    MOST_CHUNKS, MOST_CHARS = 400_000, 8 << 20
+    Usual texts go through a byte pair encoder over the same merges, which is several times as fast; all others through
+    the tokenizer. The encoder merges two neighbours whenever together they are a piece, the tokenizer only if they are
+    the piece's own two halves. Both come to the same: until a piece's rank is reached, what lies within its bounds is
+    merged as if it stood alone, and standing alone it ends as those two halves. That last point is confirmed here for
+    each piece; a piece for which it fails, or a tokenizer of another make, leaves all texts to the tokenizer.
+    """
 
     def __init__(self, content: str):
         self.content = content
-        self.forget()
-
-    def forget(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.ids = np.empty(1 << 16, np.int32)
-        self.begin = np.empty(1 << 14, np.int64)
-        self.length = np.empty(1 << 14, np.int64)
-        self.used = self.chars = 0
-
-    def _learn(self, new: list[str]) -> None:
-        for word, ids in zip(new, encode_words(self.content, new), strict=True):
-            n = self.numbers[word] = len(self.numbers)
-            self.chars += len(word)
-            if n == len(self.begin):
-                self.begin, self.length = np.resize(self.begin, 2 * n), np.resize(self.length, 2 * n)
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids))
-            self.begin[n], self.length[n] = self.used, len(ids)
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All texts' ids in a row, and where each text ends."""
-        found = [CHUNK.findall(t) for t in texts]
-        new: dict[str, None] = {}
-        for own in found:
-            new |= dict.fromkeys(own)
-        self._learn([w for w in new if w not in self.numbers])
-        number = self.numbers.__getitem__
-        codes = np.fromiter(map(number, itertools.chain.from_iterable(found)), np.int64, sum(map(len, found)))
-        length = self.length[codes]
-        ends = np.cumsum(length)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(self.begin[codes] - ends + length, length) + np.arange(total)]
-        cuts = np.cumsum([len(own) for own in found])
-        ends = np.concatenate([[0], ends])[cuts] if texts else np.empty(0, np.int64)
-        if len(self.numbers) > self.MOST_CHUNKS or self.chars > self.MOST_CHARS or self.used > 8 * self.MOST_CHUNKS:
-            self.forget()
-        return ids, ends
+        read = json.loads(content)
+        model, normal = read["model"], read.get("normalizer")
+        self.suffix = model.get("end_of_word_suffix") or ""
+        made = "suffix" if self.suffix and normal else "bytes" if not normal and read["pre_tokenizer"].get("type") == "ByteLevel" and read["pre_tokenizer"].get("use_regex") and not read["pre_tokenizer"].get("add_prefix_space") else ""
+        self.fast = self._encoder(model) if model.get("type") == "BPE" and made and not model.get("ignore_merges") else None
+
+    def _encoder(self, model: dict):
+        import tiktoken
+
+        byte, vocab = byte_of(), model["vocab"]
+        if len(self.suffix) and not self.suffix.isascii():
+            return None
+
+        def raw(piece: str) -> bytes:
+            end = bool(self.suffix) and piece.endswith(self.suffix)
+            return bytes(byte[c] for c in (piece[: -len(self.suffix)] if end else piece)) + _END.encode() * end
+
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        rank = {m: i for i, m in enumerate(merges)}
+        pieces = [(bytes([b]), vocab[c]) for c, b in byte.items()]
+        if self.suffix:
+            end = _END.encode()
+            pieces += [(bytes([b]) + end, vocab[c + self.suffix]) for c, b in byte.items()]
+        pieces += [(raw(a + b), vocab[a + b]) for a, b in merges]
+        ranks = {p: i for i, (p, _) in enumerate(pieces)}
+        if len(ranks) != len(pieces) or not all(self._alone(m, rank) for m in merges):
+            return None
+        self.id_of = np.array([i for _, i in pieces], np.int32)
+        return tiktoken.Encoding("merges", pat_str=f"[^{_END}]+{_END}" if self.suffix else _BYTE_PIECES, mergeable_ranks=ranks, special_tokens={})
+
+    def _alone(self, merge: tuple[str, str], rank: dict) -> bool:
+        """Whether a piece's text, standing alone, is merged into the two halves of the piece."""
+        text = "".join(merge)
+        end = bool(self.suffix) and text.endswith(self.suffix)
+        parts = list(text[: -len(self.suffix)] if end else text)
+        if end:
+            parts[-1] += self.suffix
+        while len(parts) > 2:
+            best = min(range(len(parts) - 1), key=lambda i: rank.get((parts[i], parts[i + 1]), 1 << 60))
+            if (parts[best], parts[best + 1]) not in rank:
+                return False
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        return tuple(parts) == merge
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.fast is None or _UNUSUAL.search(text):
+            words = CHUNK.findall(text)  # pieces of a very long text are encoded one by one
+            return np.fromiter(itertools.chain.from_iterable(x.ids for x in tokenizer(self.content).encode_batch_fast(words, add_special_tokens=False)), np.int32)
+        if self.suffix:
+            found = _LOWER_PIECES.findall(text.lower())
+            text = _END.join(found) + _END * bool(found)
+        return self.id_of[self.fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=())]
 
 
 @functools.lru_cache(maxsize=2)
@@ -132,23 +160,11 @@ def coder(content: str) -> Coder:
     return Coder(content)
 
 
-def encoded(batches: Iterable[pa.RecordBatch], content: str, chars: int = 1 << 20) -> Iterator[tuple]:
-    """(id, ids of the text) for rows (id, text), encoded about `chars` characters at a time."""
-
-    def out(docs: list, texts: list[str]) -> Iterator[tuple]:
-        ids, ends = coder(content).encode(texts)
-        yield from zip(docs, np.split(ids, ends[:-1]), strict=True)
-
-    docs, texts, size = [], [], 0
+def encoded(batches: Iterable[pa.RecordBatch], content: str) -> Iterator[tuple]:
+    """(id, ids of the text) for rows (id, text)."""
+    encode = coder(content).encode
     for doc, text in rows(batches):
-        docs.append(doc)
-        texts.append(text)
-        size += len(text)
-        if size >= chars:
-            yield from out(docs, texts)
-            docs, texts, size = [], [], 0
-    if docs:
-        yield from out(docs, texts)
+        yield doc, encode(text)
 
 
 def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
