@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from formloom.llm._shared import CHUNK, encode_words, in_batches, rows, slices, text_of, tokenizer_json
+from formloom.llm._shared import CHUNK, byte_of, coder, in_batches, rows, slices, text_of, tokenizer_json
 
 BYTE_BPE = "byte_bpe_50k.json"
 #: Characters in a block, and blocks of words for each shuffle partition.
@@ -118,13 +118,14 @@ def _encoder(content: str) -> Callable:
     """Packets of words to packets of their ids. A word of many blocks is encoded once."""
 
     def made(batches):
+        encode = coder(content).encode
         table: dict[bytes, bytes] = {}  # the distinct words of this task's buckets
         for bucket, block, words, lengths in rows(batches):
             ends = np.cumsum(np.frombuffer(lengths, "<u4"), dtype=np.int64).tolist()
             own = [words[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             new = [w for w in own if w not in table]
-            for w, ids in zip(new, encode_words(content, [w.decode() for w in new]), strict=True):
-                table[w] = np.array(ids, "<u4").tobytes()
+            for w in new:
+                table[w] = encode(w.decode()).astype("<u4").tobytes()
             ids = [table[w] for w in own]
             yield block, bucket, _packed(np.frombuffer(b"".join(ids), "<u4")), _packed(np.fromiter(map(len, ids), "<u4", len(ids)) // 4), len(ids), _check(own)
 
@@ -153,7 +154,7 @@ def _placed(id_col: str) -> tuple[str, Callable]:
         at = np.repeat(begin[codes] - ends[:-1], length[codes]) + np.arange(ends[-1])
         cuts = ends[np.concatenate([[0], np.cumsum(np.frombuffer(doc["counts"], "<u4"), dtype=np.int64)])]
         ids = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat[at].astype(np.int32)))
-        return pa.Table.from_batches(pa.RecordBatch.from_arrays([pa.array(doc["doc_ids"], pa.int64()), ids], schema=schema).slice(i, 512) for i in range(0, len(ids), 512))
+        return pa.Table.from_batches((pa.RecordBatch.from_arrays([pa.array(doc["doc_ids"], pa.int64()), ids], schema=schema).slice(i, 512) for i in range(0, len(ids), 512)), schema)
 
     return f"`{id_col}` long, ids array<int>", joined
 
@@ -176,8 +177,7 @@ def encode(df: DataFrame, tokenizer_file: str = BYTE_BPE, id_col: str = "doc_id"
 @functools.lru_cache(maxsize=2)
 def _pieces(content: str) -> list[bytes]:
     """The bytes of each id's piece."""
-    visible = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    byte = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in visible)}
+    byte = byte_of()
     read = json.loads(content)
     out = [b""] * (1 + max([*read["model"]["vocab"].values(), *(t["id"] for t in read["added_tokens"])]))
     for piece, i in read["model"]["vocab"].items():
@@ -187,28 +187,32 @@ def _pieces(content: str) -> list[bytes]:
     return out
 
 
-def decode(df: DataFrame, tokenizer_file: str = BYTE_BPE, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+def decoded(batches, content: str, ids_col: str, out_col: str) -> Iterator[pa.RecordBatch]:
+    """Batches with the text of ids_col added: each id is joined with its piece."""
+    piece = _pieces(content).__getitem__
+    for b in slices(batches):
+        ids = b.column(b.schema.get_field_index(ids_col))
+        flat, length = ids.flatten().to_numpy(zero_copy_only=False).tolist(), ids.value_lengths().fill_null(0).to_numpy()
+        stop = np.cumsum(length, dtype=np.int64)
+        texts = [b"".join(map(piece, flat[i:j])).decode("utf-8", "replace") if known else None for i, j, known in zip((stop - length).tolist(), stop.tolist(), ids.is_valid().to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out_col])
+
+
+def decode(df: DataFrame, tokenizer_file: str = BYTE_BPE, ids_col: str = "ids", out_col: str = "decoded", then: Callable | None = None, schema: str | None = None) -> DataFrame:
     """df with out_col, the text of ids_col under a byte-level tokenizer; bytes that aren't UTF-8 become U+FFFD.
 
     The table of pieces is as large as the vocabulary, so each task has it whole. Ids outside of it are an error.
-    Null ids give null.
+    Null ids give null. then, schema: what is made of the batches in the same pass, and what comes of it.
     """
     if out_col in df.columns:
         df = df.drop(out_col)
     content = tokenizer_json(tokenizer_file)
-
-    def joined(batches):
-        piece = _pieces(content).__getitem__
-        for b in slices(batches):
-            ids = b.column(b.schema.get_field_index(ids_col))
-            texts = [None if x is None else b"".join(map(piece, x)).decode("utf-8", "replace") for x in ids.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out_col])
-
-    return df.mapInArrow(joined, T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())]))
+    out = schema or T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())])
+    return df.mapInArrow(lambda batches: (then or iter)(decoded(batches, content, ids_col, out_col)), out)
 
 
 def _digests(batches):
-    for b in slices(batches):
+    for b in batches:
         doc, ids, text = b.columns
         flat, ends = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4"), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)])
         yield pa.RecordBatch.from_arrays(
@@ -216,7 +220,7 @@ def _digests(batches):
                 doc,
                 pa.array(np.diff(ends), pa.int64()),
                 pa.array([hashlib.sha256(flat[i:j].tobytes()).hexdigest() for i, j in zip(ends[:-1], ends[1:], strict=True)]),
-                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in text.to_pylist()], pa.string()),
+                pa.array([hashlib.sha256(t).hexdigest() for t in text.cast(pa.binary()).to_pylist()], pa.string()),
             ],
             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
         )
@@ -224,8 +228,8 @@ def _digests(batches):
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole table `documents`, encoded and decoded again."""
-    both = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-    return both.select("doc_id", "ids", "decoded").mapInArrow(_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    ids = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return decode(ids, then=_digests, schema="doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 QUERIES = {"op1_bpe": op1_bpe}
