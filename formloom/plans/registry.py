@@ -4,10 +4,267 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from formloom.operators import affine, align, features, segment, texture, warp
+from formloom.plans import pipelines, views
+
+
+def _r(c: Column | str) -> Column:
+    """Six places, and no negative zero."""
+    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
+
+
+def _out(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    return df.select(*[F.col(k).cast("long").alias(k) for k in keys], *[_r(v).alias(v) for v in values])
+
+
+def _sql(values: str, rest: str) -> str:
+    return f"{views.SQL} select {values} from {rest}"
+
+
+def _f(expression: str, name: str) -> str:
+    return f"round({expression}, 6) + 0.0 as {name}"
+
+
+_S, _P = "cast(s as bigint) as specimen_id", "cast(pid as bigint) as point_id"
+_XYZ = ["x", "y", "z"]
+_DIST = "sqrt(pow(x-ax,2)+pow(y-ay,2)+pow(z-az,2))"
+_TO_MEAN = "(select s, sum(sqrt(pow(x-mx,2)+pow(y-my,2)+pow(z-mz,2))) d from lm join mean using (pid) group by s)"
+#: left and right landmarks exchanged, from 0 on
+MIRROR_INDEX = [1, 0, 3, 2, 5, 4, 7, 6]
+
+
+def _magnitudes(spark, d):
+    p = views.points(spark, d)
+    return features.magnitudes(p, features.mean_mesh(p))
+
+
+def _sampled(spark, d):
+    return texture.sample(views.points(spark, d), views.texel(spark, d))
+
+
+def _asymmetries(spark, d):
+    p = views.points(spark, d)
+    return features.asymmetries(p, affine.mirror(p))
+
+
+def _to_mean(spark, d):
+    lm = views.landmarks(spark, d)
+    return features.distances_to_mean(lm, features.mean_landmarks(lm))
+
+
+def _pivot(spark, d):
+    wide = features.wide(features.point_results(_magnitudes(spark, d)), ["Magnitude Mean", "Magnitude SD", "0", "1"])
+    return wide.select(F.col("point_id").cast("long").alias("point_id"), *[_r(f"`{a}`").alias(b) for a, b in (("Magnitude Mean", "magnitude_mean"), ("Magnitude SD", "magnitude_sd"), ("0", "specimen_0"), ("1", "specimen_1"))])
+
+
+def _kept(spark, d):
+    return segment.faces_within(views.faces(spark, d), views.assignment(spark, d))
+
+
+def _affine(spark, d):
+    """A turn by 90 degrees about z, twice the size, and a shift."""
+    s = views.points(spark, d).select("specimen_id").distinct()
+    m = s.withColumn("m", F.array(*[F.lit(float(v)) for v in (0, -2, 0, 1, 2, 0, 0, 2, 0, 0, 2, 3, 0, 0, 0, 1)]))
+    return affine.apply_affine(views.points(spark, d), m)
+
+
+def _queries_for_nearest(spark, d):
+    return views.points(spark, d).withColumn("x", F.col("x") + 0.05)
+
+
+def _aligned(scale):
+    def made(spark, d):
+        p, lm = views.points(spark, d), views.landmarks(spark, d).drop("selected")
+        return _out(align.align(p, lm, features.mean_landmarks(lm), scale)[0], ["specimen_id", "point_id"], _XYZ)
+
+    return made
+
+
+def _gpa(spark, d):
+    return _out(align.procrustes(views.landmarks(spark, d).drop("selected"))[0], ["lm_id"], _XYZ)
+
+
+def _warped(spark, d):
+    lm = views.landmarks(spark, d).drop("selected")
+    return _out(warp.warp_points(views.points(spark, d), lm, warp.per_specimen(features.mean_landmarks(lm), lm)), ["specimen_id", "point_id"], _XYZ)
+
+
+def _specimens(spark, d, textures: bool = False) -> pipelines.Specimens:
+    return pipelines.Specimens(views.points(spark, d), views.faces(spark, d), views.landmarks(spark, d).drop("selected"), views.texel(spark, d) if textures else None)
+
+
+def _plain_atlas(spark, d) -> pipelines.Atlas:
+    s = _specimens(spark, d)
+    return pipelines.Atlas(features.mean_mesh(s.points), s.faces.where("specimen_id = 0").drop("specimen_id"), features.mean_landmarks(s.landmarks))
+
+
+def _dense(spark, d):
+    s, a = _specimens(spark, d), _plain_atlas(spark, d)
+    mean, _ = align.procrustes(s.landmarks)
+    return _out(warp.dense_correspondence(s.points, s.faces, s.landmarks, a.points, a.landmarks, mean), ["specimen_id", "point_id"], _XYZ)
+
+
+def _long(results: DataFrame) -> DataFrame:
+    return results.select(F.col("point_id").cast("long").alias("point_id"), "name", _r("value").alias("value"))
+
+
+def _kmeans(spark, d):
+    at, centres = segment.kmeans_colors(_sampled(spark, d), 5)
+    return _out(at.join(centres, "cluster_id"), ["specimen_id", "point_id", "cluster_id"], ["r", "g", "b"])
+
+
+#: name: (query, SQL or None)
+REGISTERED: dict[str, tuple[Callable, str | None]] = {
+    "mean_landmarks": (
+        lambda s, d: _out(features.mean_landmarks(views.landmarks(s, d)), ["lm_id"], _XYZ),
+        _sql(f"cast(pid as bigint) as lm_id, {_f('mx', 'x')}, {_f('my', 'y')}, {_f('mz', 'z')}", "mean"),
+    ),
+    "mean_mesh": (
+        lambda s, d: _out(features.mean_mesh(views.points(s, d)), ["point_id"], _XYZ),
+        _sql(f"{_P}, {_f('ax', 'x')}, {_f('ay', 'y')}, {_f('az', 'z')}", "atlas"),
+    ),
+    "shape_magnitude_long": (
+        lambda s, d: _out(_magnitudes(s, d), ["specimen_id", "point_id"], ["distance"]),
+        _sql(f"{_S}, {_P}, {_f(_DIST, 'distance')}", "pt join atlas using (pid)"),
+    ),
+    "shape_magnitude_stats": (
+        lambda s, d: _out(features.spread(_magnitudes(s, d)), ["point_id"], ["magnitude_mean", "magnitude_sd"]),
+        _sql(f"{_P}, {_f(f'avg({_DIST})', 'magnitude_mean')}, {_f(f'stddev_pop({_DIST})', 'magnitude_sd')}", "pt join atlas using (pid) group by pid"),
+    ),
+    "asymmetry_stats": (
+        lambda s, d: _out(features.spread(_asymmetries(s, d)), ["point_id"], ["magnitude_mean", "magnitude_sd"]),
+        _sql(f"{_P}, {_f('avg(abs(2*x))', 'magnitude_mean')}, {_f('stddev_pop(abs(2*x))', 'magnitude_sd')}", "pt group by pid"),
+    ),
+    "color_mean": (
+        lambda s, d: _out(features.color_mean(_sampled(s, d)), ["point_id"], ["r", "g", "b"]),
+        _sql(f"{_P}, {_f('avg(r)', 'r')}, {_f('avg(g)', 'g')}, {_f('avg(b)', 'b')}", "rgb group by pid"),
+    ),
+    "color_variance_pooled": (
+        lambda s, d: _out(features.color_variance(_sampled(s, d)), ["point_id"], ["variance"]),
+        _sql(f"{_P}, {_f('var_pop(c)', 'variance')}", "(select pid, r c from rgb union all select pid, g from rgb union all select pid, b from rgb) group by pid"),
+    ),
+    "color_variance_channels": (
+        lambda s, d: _out(features.color_variance(_sampled(s, d), per_channel=True), ["point_id"], ["variance_r", "variance_g", "variance_b"]),
+        _sql(f"{_P}, " + ", ".join(_f(f"var_pop({c})", f"variance_{c}") for c in "rgb"), "rgb group by pid"),
+    ),
+    "uv_sample_uchar": (
+        lambda s, d: texture.encode(_sampled(s, d), "uchar-vector").select(F.col("specimen_id").cast("long").alias("specimen_id"), F.col("point_id").cast("long").alias("point_id"), *[F.col("rgb")[i].cast("long").alias(c) for i, c in enumerate("rgb")]),
+        _sql(f"{_S}, {_P}, cast(r as bigint) as r, cast(g as bigint) as g, cast(b as bigint) as b", "rgb"),
+    ),
+    "uv_sample_float": (
+        lambda s, d: texture.encode(_sampled(s, d), "float-vector").select(F.col("specimen_id").cast("long").alias("specimen_id"), F.col("point_id").cast("long").alias("point_id"), *[_r(F.col("color")[i]).alias(c) for i, c in enumerate("rgb")]),
+        _sql(f"{_S}, {_P}, " + ", ".join(_f(f"{c} / cast(255 as double)", c) for c in "rgb"), "rgb"),
+    ),
+    "uv_sample_components": (
+        lambda s, d: _out(texture.encode(_sampled(s, d), "float-components"), ["specimen_id", "point_id"], ["color_red", "color_green", "color_blue"]),
+        _sql(f"{_S}, {_P}, cast(r as double) as color_red, cast(g as double) as color_green, cast(b as double) as color_blue", "rgb"),
+    ),
+    "flip_image": (
+        lambda s, d: texture.flip(views.texel(s, d)).select(*[F.col(c).cast("long").alias(c) for c in ("specimen_id", "row", "col", "r", "g", "b")]),
+        _sql(f"{_S}, cast(15 - row as bigint) as row, cast(col as bigint) as col, cast(r as bigint) as r, cast(g as bigint) as g, cast(b as bigint) as b", "texel"),
+    ),
+    "uniform_scale": (
+        lambda s, d: _out(affine.uniform_scale(views.points(s, d), 2.5), ["specimen_id", "point_id"], _XYZ),
+        _sql(f"{_S}, {_P}, " + ", ".join(_f(f"{c} * cast(2.5 as double)", c) for c in _XYZ), "pt"),
+    ),
+    "mirror_points": (
+        lambda s, d: _out(affine.mirror(views.points(s, d)), ["specimen_id", "point_id"], _XYZ),
+        _sql(f"{_S}, {_P}, {_f('-x', 'x')}, {_f('y', 'y')}, {_f('z', 'z')}", "pt"),
+    ),
+    "apply_affine": (
+        lambda s, d: _out(_affine(s, d), ["specimen_id", "point_id"], _XYZ),
+        _sql(f"{_S}, {_P}, {_f('1 - 2 * y', 'x')}, {_f('2 * x + 2', 'y')}, {_f('2 * z + 3', 'z')}", "pt"),
+    ),
+    "landmark_reorder": (
+        lambda s, d: _out(affine.reorder(views.landmarks(s, d), MIRROR_INDEX, first=1), ["specimen_id", "lm_id"], _XYZ),
+        _sql(f"{_S}, cast(case when pid % 2 = 1 then pid + 1 else pid - 1 end as bigint) as lm_id, " + ", ".join(_f(c, c) for c in _XYZ), "lm"),
+    ),
+    "procrustes_distance_to_mean": (
+        lambda s, d: _out(_to_mean(s, d), ["specimen_id"], ["distance"]),
+        _sql(f"{_S}, {_f('d', 'distance')}", _TO_MEAN),
+    ),
+    "closest_to_mean": (
+        lambda s, d: _out(features.closest(_to_mean(s, d)), ["specimen_id"], ["distance"]),
+        _sql(f"{_S}, {_f('d', 'distance')}", f"{_TO_MEAN} order by d, s limit 1"),
+    ),
+    "outlier_report": (
+        lambda s, d: features.outliers(_to_mean(s, d)).select(F.col("specimen_id").cast("long").alias("specimen_id"), _r("distance").alias("distance"), _r("z").alias("z"), "outlier"),
+        _sql(f"{_S}, {_f('d', 'distance')}, {_f('z', 'z')}, z > 1 as outlier", f"(select s, d, (d - avg(d) over ()) / stddev_pop(d) over () z from {_TO_MEAN})"),
+    ),
+    "nearest_vertex": (
+        lambda s, d: warp.nearest_vertex(_queries_for_nearest(s, d), views.points(s, d)).select(*[F.col(c).cast("long").alias(c) for c in ("specimen_id", "point_id", "vertex_id")]),
+        _sql("cast(q.s as bigint) as specimen_id, cast(q.pid as bigint) as point_id, cast(arg_min(p.pid, pow(q.x+0.05-p.x,2)+pow(q.y-p.y,2)+pow(q.z-p.z,2)) as bigint) as vertex_id", "pt q join pt p on q.s = p.s group by q.s, q.pid"),
+    ),
+    "nearest_vertex_color": (
+        lambda s, d: warp.transfer_colors(_queries_for_nearest(s, d), views.points(s, d), _sampled(s, d)).select(*[F.col(c).cast("long").alias(c) for c in ("specimen_id", "point_id", "r", "g", "b")]),
+        _sql(
+            "cast(n.s as bigint) as specimen_id, cast(n.pid as bigint) as point_id, cast(r as bigint) as r, cast(g as bigint) as g, cast(b as bigint) as b",
+            "(select q.s, q.pid, arg_min(p.pid, pow(q.x+0.05-p.x,2)+pow(q.y-p.y,2)+pow(q.z-p.z,2)) vid from pt q join pt p on q.s = p.s group by q.s, q.pid) n join rgb on rgb.s = n.s and rgb.pid = n.vid",
+        ),
+    ),
+    "dense_landmark_gather": (
+        lambda s, d: _out(segment.gather(views.points(s, d), views.points(s, d).where("point_id % 3 = 0"), first=1), ["specimen_id", "lm_id"], _XYZ),
+        _sql(f"{_S}, cast(pid / 3 as bigint) as lm_id, " + ", ".join(_f(c, c) for c in _XYZ), "pt where pid % 3 = 0"),
+    ),
+    "subset_landmarks": (
+        lambda s, d: segment.subset_landmarks(views.landmarks(s, d), views.landmarks(s, d).where("specimen_id = 0"), first=1).select(F.col("specimen_id").cast("long").alias("specimen_id"), F.col("lm_id").cast("long").alias("lm_id"), "label", *[_r(c).alias(c) for c in _XYZ]),
+        _sql(f"{_S}, cast(pid / 2 as bigint) as lm_id, cast(cast(pid / 2 as bigint) as varchar) as label, " + ", ".join(_f(c, c) for c in _XYZ), "lm where pid % 2 = 0"),
+    ),
+    "cluster_faces": (
+        lambda s, d: _kept(s, d).where("specimen_id = 0").groupBy("cluster_id").agg(F.count("*").alias("n_faces")),
+        _sql("cast(c as bigint) as cluster_id, count(*) as n_faces", "kept group by c"),
+    ),
+    "cluster_reindex": (
+        lambda s, d: segment.reindex(_kept(s, d).where("specimen_id = 0"), first=1).select(*[F.col(c).cast("long").alias(c) for c in ("cluster_id", "point_id", "new_id")]),
+        _sql("cast(c as bigint) as cluster_id, cast(vid as bigint) as point_id, row_number() over (partition by c order by vid) as new_id", "vert"),
+    ),
+    "child_mesh_points": (
+        lambda s, d: segment.child_meshes(views.points(s, d), views.faces(s, d), views.assignment(s, d))[0].select(F.col("specimen_id").cast("long").alias("specimen_id"), "name", (F.col("point_id") + 1).cast("long").alias("point_id"), *[_r(c).alias(c) for c in _XYZ]),
+        _sql(f"{_S}, 'Cluster_' || cast(c as bigint) as name, rn as point_id, " + ", ".join(_f(c, c) for c in _XYZ), "(select c, vid, row_number() over (partition by c order by vid) rn from vert) v join pt on pt.pid = v.vid"),
+    ),
+    "distance_matrix": (
+        lambda s, d: _out(features.distance_matrix(features.mean_mesh(views.points(s, d))), ["i", "j"], ["distance"]),
+        _sql(f"cast(a.pid as bigint) as i, cast(b.pid as bigint) as j, {_f('sqrt(pow(a.ax-b.ax,2)+pow(a.ay-b.ay,2)+pow(a.az-b.az,2))', 'distance')}", "atlas a cross join atlas b"),
+    ),
+    "pivot_magnitudes": (
+        _pivot,
+        _sql(f"{_P}, {_f(f'avg({_DIST})', 'magnitude_mean')}, {_f(f'stddev_pop({_DIST})', 'magnitude_sd')}, {_f(f'max({_DIST}) filter (s = 0)', 'specimen_0')}, {_f(f'max({_DIST}) filter (s = 1)', 'specimen_1')}", "pt join atlas using (pid) group by pid"),
+    ),
+    "result_names": (
+        lambda s, d: features.result_names(features.point_results(_magnitudes(s, d))),
+        _sql("distinct name", "(select cast(s as varchar) as name from pt union all select 'Magnitude Mean' union all select 'Magnitude SD')"),
+    ),
+    "heat_map": (
+        lambda s, d: features.select_result(features.point_results(_magnitudes(s, d)), "Magnitude Mean").select(F.col("point_id").cast("long").alias("point_id"), _r("value").alias("value")),
+        _sql(f"{_P}, {_f(f'avg({_DIST})', 'value')}", "pt join atlas using (pid) group by pid"),
+    ),
+    "specimen_ordinals": (
+        lambda s, d: features.ordinals(views.points(s, d)).select(*[F.col(c).cast("long").alias(c) for c in ("specimen_id", "ord")]),
+        _sql(f"{_S}, row_number() over (order by s) - 1 as ord", "(select distinct s from pt)"),
+    ),
+    "rigid_align": (_aligned(False), None),
+    "similarity_align": (_aligned(True), None),
+    "gpa_mean": (_gpa, None),
+    "tps_warp": (_warped, None),
+    "closest_surface": (lambda s, d: _out(warp.closest_surface(_queries_for_nearest(s, d), views.points(s, d), views.faces(s, d)), ["specimen_id", "point_id", "face_id"], _XYZ), None),
+    "dense_correspondence": (_dense, None),
+    "point_normals": (lambda s, d: _out(segment.normals(views.points(s, d), views.faces(s, d)), ["specimen_id", "point_id"], ["nx", "ny", "nz"]), None),
+    "subsample_points": (lambda s, d: _out(segment.subsample(views.points(s, d)), ["specimen_id", "point_id"], _XYZ), None),
+    "kmeans_segment": (_kmeans, None),
+    "atlas_pipeline": (lambda s, d: _out(pipelines.make_atlas(_specimens(s, d)).points, ["point_id"], _XYZ), None),
+    "shape_pipeline": (lambda s, d: _long(pipelines.shape(_specimens(s, d), _plain_atlas(s, d))[0]), None),
+    "shape_color_pipeline": (lambda s, d: _out(pipelines.shape(_specimens(s, d, True), _plain_atlas(s, d))[1], ["point_id"], ["r", "g", "b"]), None),
+    "symmetry_pipeline": (lambda s, d: _long(pipelines.symmetry(_specimens(s, d), _plain_atlas(s, d), MIRROR_INDEX, first=1)), None),
+    "dense_landmarks_pipeline": (lambda s, d: pipelines.dense_landmarks(_specimens(s, d), _plain_atlas(s, d), 10.0).select("specimen_id", F.col("lm_id").cast("long").alias("lm_id"), *[_r(c).alias(c) for c in _XYZ]), None),
+}
+
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return {name: q for name, (q, _) in REGISTERED.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in REGISTERED.items() if sql}
