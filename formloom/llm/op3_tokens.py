@@ -18,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from formloom.llm._shared import encoded, in_batches, new_folder, slices, text_of, tokenizer_json
+from formloom.llm._shared import encoded, in_batches, new_folder, slices, text_of, tokenizer_json, written
 
 WORD_BPE = "word_bpe_49k.json"
 END_ID = 1
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 128 << 10
 PAGE_ROWS = 2_000
+MOST_BROADCAST = 100_000
 _SCHEMA = "file int, doc_id long, file_start long, n_tokens long, tokens array<int>"
 
 
@@ -78,10 +79,14 @@ def read_tokens(spark: SparkSession, path: str, first_id: int | None = None, las
 
 
 def _started(spark: SparkSession, path: str, *columns: str) -> DataFrame:
-    """What is read, with start from the totals of the files before. There is one total for each file."""
+    """What is read, with start from the totals of the files before.
+
+    There is one total for each file, of a few bytes; up to MOST_BROADCAST of them go to the tokens, and not they to them.
+    """
     table = spark.read.schema(_SCHEMA).parquet(path)
-    totals = table.groupBy("file").agg(F.sum("n_tokens").alias("total"))
+    totals = written(table.groupBy("file").agg(F.sum("n_tokens").alias("total")), "op3-totals")
     before = totals.select("file", (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("before"))
+    before = F.broadcast(before) if totals.count() <= MOST_BROADCAST else before
     return table.select("file", "file_start", *columns).join(before, "file").withColumn("start", F.col("before") + F.col("file_start")).drop("before", "file_start")
 
 
