@@ -21,15 +21,23 @@ NEAR_TABLES, NEAR_WIDTH = 48, 16
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_row", F.monotonically_increasing_id())
+    """The columns that grouping needs, and each row's place."""
+    return docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
 
 
 def _one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """docs with one row for each group; groups: (_row, group)."""
-    rows = _numbered(docs)
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
     stay = rows.select("_row", "doc_id").join(groups, "_row").groupBy("group").agg(F.min(order).alias("stays")).select("stays._row")
-    return rows.join(stay, "_row", "left_semi").select(*docs.columns)
+    return rows.join(stay, "_row", "left_semi").select(*[F.col(f"held.`{c}`").alias(c) for c in docs.columns])
+
+
+def _free(name: str, docs: DataFrame) -> str:
+    """A name that no column has."""
+    while name in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +60,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind."""
-    made = op7_pii.redact(docs.withColumn("_before", F.length("text")))
-    return made.withColumn("n_chars", F.when(F.length("text") != F.col("_before"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    before = _free("before", docs)
+    made = op7_pii.redact(docs.withColumn(before, F.length("text")))
+    changed = F.length("text") != F.col(before)
+    return made.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*[f"`{c}`" for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ The law is `rows`: the shards' counts are at most one apart. Hashes are of a row
 or ids, of any number are dealt like all others, and no group is kept together.
 
 Defined results: null and empty texts and null ids are rows like others; an empty table gives an empty table; fewer rows
-than shards leave some shards empty; columns stay as they are, and new ones may not have names that df has.
+than shards leave some shards empty; columns stay as they are, but those named shard or slot are replaced.
 The input must give the same partitions each time it is read, as a scan of files does; otherwise the job fails.
 """
 
@@ -45,9 +45,7 @@ def matrix(counts: list[int], shards: int, seed: int = SEED) -> np.ndarray:
 
 def shuffle(df: DataFrame, shards: int = SHARDS, seed: int = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """df with `shard` and `slot`, the place in the shard, gapless from 0."""
-    taken = {"shard", "slot"} & set(df.columns)
-    if taken:
-        raise ValueError(f"df has columns named {sorted(taken)}")
+    df = df.drop("shard", "slot")
     spark = df.sparkSession
     held = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("r") if df.columns else F.lit(None).alias("r"), F.monotonically_increasing_id().alias("at"))
     held = held.withColumn("part", F.shiftright("at", 33))
