@@ -15,6 +15,8 @@ from formloom.operators.affine import XYZ, apply_affine
 from formloom.operators.features import mean_landmarks
 
 SCALES = (None, "symmetric", "lsq")
+#: Landmarks of all specimens that the driver may hold: 24 bytes each as numbers.
+MOST_HERE = 1_000_000
 
 
 def matrix_from_moments(cov: np.ndarray, source: np.ndarray, target: np.ndarray, var_source: float, var_target: float, scale: str | None) -> np.ndarray:
@@ -83,11 +85,19 @@ def _centred(landmarks: DataFrame, unit: bool) -> DataFrame:
     return landmarks.join(stats, "specimen_id").withColumns({c: (F.col(c) - F.col(f"c{c}")) / k for c in XYZ}).select("specimen_id", "lm_id", *XYZ)
 
 
-def procrustes(landmarks: DataFrame, keep_size: bool = False, iterations: int = 20, tolerance: float = 1e-9) -> tuple[DataFrame, DataFrame]:
+def _round_here(shapes: np.ndarray, mean: np.ndarray, scale: str | None) -> np.ndarray:
+    """The mean of centred shapes (specimens x landmarks x 3), each fitted to `mean`."""
+    cov = np.einsum("slx,ly->sxy", shapes, mean) / shapes.shape[1]
+    at = np.zeros(3)
+    var, goal = (shapes**2).sum((1, 2)) / shapes.shape[1], float((mean**2).sum() / shapes.shape[1])
+    return np.mean([s @ matrix_from_moments(c, at, at, v, goal, scale)[:3, :3].T for s, c, v in zip(shapes, cov, var, strict=True)], axis=0)
+
+
+def procrustes(landmarks: DataFrame, keep_size: bool = False, iterations: int = 20, tolerance: float = 1e-9, most_here: int = MOST_HERE) -> tuple[DataFrame, DataFrame]:
     """(mean, aligned): specimens aligned to their own mean, which starts as the first specimen, until it settles.
 
-    Without keep_size all shapes, and the mean, have centroid size one. The landmarks of one mean come to the driver in
-    each round, never those of the specimens.
+    Without keep_size all shapes, and the mean, have centroid size one. Up to most_here landmarks in all are averaged on
+    the driver; beyond, each round is a job, and the landmarks of one mean come to the driver, never the specimens'.
     """
     spark = landmarks.sparkSession
     shapes = _centred(landmarks, not keep_size).persist()
@@ -104,7 +114,22 @@ def procrustes(landmarks: DataFrame, keep_size: bool = False, iterations: int =
         return spark.createDataFrame([], schema), shapes
     rows = shapes.where(F.col("specimen_id") == F.lit(first)).orderBy("lm_id").collect()
     ids, mean = [r.lm_id for r in rows], settled(rows)
+    n = shapes.count()
+    here = None
+    if n <= most_here and n % len(ids) == 0:
+        found = sorted(((r.specimen_id, r.lm_id, r.x, r.y, r.z) for r in shapes.collect()), key=lambda r: r[:2])
+        if [r[1] for r in found] == ids * (n // len(ids)):
+            here = np.array([r[2:] for r in found]).reshape(-1, len(ids), 3)
     for _ in range(iterations):
+        if here is not None:
+            rows = _round_here(here, mean, None if keep_size else "lsq")
+            new = rows - rows.mean(0)
+            size = np.sqrt((new**2).sum())
+            new = new if keep_size or not size else new / size
+            moved, mean = float(np.abs(new - mean).max()), new
+            if moved < tolerance:
+                break
+            continue
         goal = spark.createDataFrame([(i, *map(float, p)) for i, p in zip(ids, mean, strict=True)], schema)
         aligned = apply_affine(shapes, fit_transforms(shapes, goal, None if keep_size else "lsq"))
         new = settled(mean_landmarks(aligned).orderBy("lm_id").collect())

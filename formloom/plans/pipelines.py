@@ -51,6 +51,7 @@ def make_atlas(s: Specimens, remove_scale: bool = True) -> Atlas:
     own = lambda df: df.where(F.col("specimen_id") == F.lit(base.specimen_id))
     base_marks = own(s.landmarks).select("lm_id", "x", "y", "z")
     points, marks = align.align(s.points, s.landmarks.select("specimen_id", "lm_id", "x", "y", "z"), base_marks, remove_scale)
+    points, marks = points.persist(), marks.persist()
     mean, _ = align.procrustes(marks)
     dense = warp.dense_correspondence(points, s.faces, marks, own(points).drop("specimen_id"), own(marks).drop("specimen_id"), mean, s.stages)
     return Atlas(features.mean_mesh(dense), own(s.faces).drop("specimen_id"), features.mean_landmarks(marks))
@@ -58,6 +59,7 @@ def make_atlas(s: Specimens, remove_scale: bool = True) -> Atlas:
 
 def _in_atlas(s: Specimens, atlas: Atlas, remove_scale: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     points, marks = align.align(s.points, s.landmarks.select("specimen_id", "lm_id", "x", "y", "z"), atlas.landmarks, remove_scale)
+    points, marks = points.persist(), marks.persist()
     mean, _ = align.procrustes(marks)
     return points, marks, mean
 
@@ -84,7 +86,7 @@ def symmetry(s: Specimens, atlas: Atlas, index: Sequence[int], remove_scale: boo
     """Point results of the distances between specimens and their mirror images, in correspondence."""
     points, marks, mean = _in_atlas(s, atlas, remove_scale)
     dense = warp.dense_correspondence(points, s.faces, marks, atlas.points, atlas.landmarks, mean)
-    m_points, m_marks = mirrored(points, marks, index, first=first)
+    m_points, m_marks = (x.persist() for x in mirrored(points, marks, index, first=first))
     m_mean, _ = align.procrustes(m_marks)
     m_dense = warp.dense_correspondence(m_points, s.faces, m_marks, atlas.points, atlas.landmarks, m_mean)
     return features.point_results(features.asymmetries(dense, m_dense))
