@@ -9,8 +9,8 @@ MODES = ("uchar-vector", "float-vector", "float-components")
 
 
 def pixel(coordinate: str, size: Column) -> Column:
-    """The index of the pixel at a coordinate that is held within 0 to 1, cut and not rounded."""
-    return F.floor(F.least(F.greatest(F.col(coordinate), F.lit(0.0)), F.lit(1.0)) * (size - 1)).cast("int")
+    """The index of the pixel at a coordinate that is held within 0 to 1, cut and not rounded; null without one."""
+    return F.when(F.col(coordinate).isNotNull(), F.floor(F.least(F.greatest(F.col(coordinate), F.lit(0.0)), F.lit(1.0)) * (size - 1))).cast("int")
 
 
 def texels(images: DataFrame) -> DataFrame:
