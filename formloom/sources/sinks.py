@@ -51,7 +51,7 @@ def vtp_text(points: DataFrame, faces: DataFrame, arrays: tuple[str, ...] = ())
     f = faces.groupBy("specimen_id").agg(F.array_sort(F.collect_list(F.struct("face_id", "v0", "v1", "v2"))).alias("f"))
     both = v.join(f, "specimen_id").withColumn("at", F.map_from_arrays(F.col("v.point_id"), F.sequence(F.lit(0), F.size("v") - 1)))
     flat = F.array_join(F.transform("v", lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"), p["z"].cast("string"))), " ")
-    named = [F.concat(F.lit(f'<DataArray type="Float64" Name="{a}" format="ascii">'), F.array_join(F.transform("v", lambda p, a=a: p[a].cast("string")), " "), F.lit("</DataArray>")) for a in arrays]
+    named = [F.concat(F.lit(f'<DataArray type="Float64" Name="{a}" format="ascii">'), F.array_join(F.col("v").getField(a).cast("array<string>"), " "), F.lit("</DataArray>")) for a in arrays]
     connect = F.array_join(F.transform("f", lambda t: F.concat_ws(" ", *[F.element_at(F.col("at"), t[f"v{k}"]).cast("string") for k in range(3)])), " ")
     ends = F.array_join(F.transform(F.sequence(F.lit(1), F.size("f")), lambda i: (3 * i).cast("string")), " ")
     text = F.concat(
