@@ -73,10 +73,13 @@ def fit_transforms(landmarks: DataFrame, target: DataFrame, scale: str | None =
     return checked.mapInPandas(solve, f"specimen_id {landmarks.schema['specimen_id'].dataType.simpleString()}, m array<double>")
 
 
-def align(points: DataFrame, landmarks: DataFrame, target: DataFrame, remove_scale: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Points and landmarks of every specimen that has landmarks, moved to the target; with remove_scale also resized."""
+def align(points: DataFrame, landmarks: DataFrame, target: DataFrame, remove_scale: bool = False, *more: DataFrame) -> tuple[DataFrame, ...]:
+    """Points and landmarks of every specimen that has landmarks, moved to the target; with remove_scale also resized.
+
+    more: further tables of points by specimen, semilandmarks say, to be moved likewise.
+    """
     m = fit_transforms(landmarks, target, "symmetric" if remove_scale else None)
-    return apply_affine(points, m), apply_affine(landmarks, m)
+    return apply_affine(points, m), apply_affine(landmarks, m), *(apply_affine(x, m) for x in more)
 
 
 def _centred(landmarks: DataFrame, unit: bool) -> DataFrame:

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from formloom.operators.affine import XYZ
 
 
+def _chunk(n: int) -> int:
+    """How many points to compare with n others at a time: four million pairs, a hundred megabytes at most."""
+    return max(1, (1 << 22) // max(1, n))
+
+
 def spline(source: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Weights of the spline with U(r) = r that takes source landmarks to the target's exactly: n rows, then four affine ones."""
     n = len(source)
@@ -23,9 +28,9 @@ def spline(source: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.linalg.solve(system, np.vstack([target, np.zeros((4, 3))]))
 
 
-def warp(points: np.ndarray, source: np.ndarray, weights: np.ndarray, chunk: int = 1 << 14) -> np.ndarray:
-    """Points under a spline, some thousands at a time."""
-    out = np.empty((len(points), 3))
+def warp(points: np.ndarray, source: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Points under a spline, a part at a time."""
+    out, chunk = np.empty((len(points), 3)), _chunk(len(source))
     for i in range(0, len(points), chunk):
         own = points[i : i + chunk]
         r = np.linalg.norm(own[:, None] - source[None], axis=2)
@@ -33,7 +38,7 @@ def warp(points: np.ndarray, source: np.ndarray, weights: np.ndarray, chunk: int
     return out
 
 
-def closest_on_triangles(query: np.ndarray, corners: np.ndarray, chunk: int = 256) -> tuple[np.ndarray, np.ndarray]:
+def closest_on_triangles(query: np.ndarray, corners: np.ndarray, chunk: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(closest point of the surface, index of its triangle) for each query; of equal ones the first triangle.
 
     A triangle lies within a radius of its centre, so those farther off than the nearest can be are left out unseen.
@@ -41,6 +46,7 @@ def closest_on_triangles(query: np.ndarray, corners: np.ndarray, chunk: int = 25
     centre = corners.mean(1)
     radius = np.linalg.norm(corners - centre[:, None], axis=2).max(1)
     point, face = np.empty((len(query), 3)), np.empty(len(query), np.int64)
+    chunk = chunk or _chunk(len(corners))
     for i in range(0, len(query), chunk):
         own = query[i : i + chunk]
         d = np.linalg.norm(own[:, None] - centre[None], axis=2)
@@ -119,7 +125,7 @@ def closest_surface(queries: DataFrame, points: DataFrame, faces: DataFrame) ->
     return queries.groupBy("specimen_id").cogroup(corners.groupBy("specimen_id")).applyInPandas(found, schema)
 
 
-def nearest_vertex(queries: DataFrame, points: DataFrame, chunk: int = 512) -> DataFrame:
+def nearest_vertex(queries: DataFrame, points: DataFrame) -> DataFrame:
     """(specimen_id, point_id, vertex_id): for each query point the nearest vertex of its specimen, of equal ones the first."""
 
     def found(own: pd.DataFrame, mesh: pd.DataFrame) -> pd.DataFrame:
@@ -127,6 +133,7 @@ def nearest_vertex(queries: DataFrame, points: DataFrame, chunk: int = 512) -> D
             return pd.DataFrame(columns=["specimen_id", "point_id", "vertex_id"])
         mesh = mesh.sort_values("point_id")
         q, v = own[list(XYZ)].to_numpy(float), mesh[list(XYZ)].to_numpy(float)
+        chunk = _chunk(len(v))
         at = np.concatenate([((q[i : i + chunk, None] - v[None]) ** 2).sum(2).argmin(1) for i in range(0, len(q), chunk)])
         return pd.DataFrame({"specimen_id": own.specimen_id.to_numpy(), "point_id": own.point_id.to_numpy(), "vertex_id": mesh.point_id.to_numpy()[at]})
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from formloom.functions.schema import require
 from formloom.operators import affine, align, features, segment, texture, warp
 
 
@@ -31,6 +32,18 @@ class Atlas:
     landmarks: DataFrame
 
 
+def check(s: Specimens, textures: bool = False) -> None:
+    """An error if a table lacks columns that workflows need, or if textures are asked for and there are none."""
+    require(s.points, "specimen_id", "point_id", "x", "y", "z")
+    require(s.faces, "specimen_id", "face_id", "v0", "v1", "v2")
+    require(s.landmarks, "specimen_id", "lm_id", "x", "y", "z")
+    if textures:
+        if s.texels is None:
+            raise ValueError("colours need textures")
+        require(s.points, "u", "v")
+        require(s.texels, "specimen_id", "row", "col", "r", "g", "b")
+
+
 def unpaired(s: Specimens) -> DataFrame:
     """(specimen_id, missing): specimens that have points without landmarks, or landmarks without points."""
     p, lm = s.points.select("specimen_id").distinct(), s.landmarks.select("specimen_id").distinct()
@@ -45,6 +58,7 @@ def closest_specimen(landmarks: DataFrame) -> DataFrame:
 
 def make_atlas(s: Specimens, remove_scale: bool = True) -> Atlas:
     """The mean of all specimens, in correspondence, in the frame of the one closest to their mean."""
+    check(s)
     base = closest_specimen(s.landmarks).first()
     if base is None:
         raise ValueError("there are no landmarks")
@@ -75,11 +89,14 @@ def shape(s: Specimens, atlas: Atlas, remove_scale: bool = True) -> tuple[DataFr
     return results, features.color_mean(colors), features.color_variance(colors)
 
 
-def mirrored(points: DataFrame, marks: DataFrame, index: Sequence[int], axes: Sequence[int] = (-1, 1, 1), first: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Points and landmarks mirrored, left and right landmarks exchanged, and fitted to what they were before."""
+def mirrored(points: DataFrame, marks: DataFrame, index: Sequence[int], axes: Sequence[int] = (-1, 1, 1), first: int = 0, more: Sequence[DataFrame] = ()) -> tuple[DataFrame, ...]:
+    """Points and landmarks mirrored, left and right landmarks exchanged, and fitted to what they were before.
+
+    more: further tables of points by specimen, semilandmarks say, to be mirrored and moved likewise.
+    """
     turned = affine.reorder(affine.mirror(marks, axes), index, first)
     m = align.fit_transforms(turned, marks.select("specimen_id", "lm_id", "x", "y", "z"))
-    return affine.apply_affine(affine.mirror(points, axes), m), affine.apply_affine(turned, m)
+    return affine.apply_affine(affine.mirror(points, axes), m), affine.apply_affine(turned, m), *(affine.apply_affine(affine.mirror(x, axes), m) for x in more)
 
 
 def symmetry(s: Specimens, atlas: Atlas, index: Sequence[int], remove_scale: bool = True, first: int = 0) -> DataFrame:
@@ -109,8 +126,7 @@ def dense_landmarks(s: Specimens, atlas: Atlas, percent: float = 4.0) -> DataFra
 
 def recolor(s: Specimens, mode: str = "uchar-vector", k: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(encoded colours, points of a mesh for each colour cluster, its faces)."""
-    if s.texels is None:
-        raise ValueError("colours need textures")
+    check(s, textures=True)
     colors = texture.sample(s.points, s.texels)
     at, centroids = segment.kmeans_colors(colors, k)
     own, own_faces = segment.child_meshes(s.points, s.faces, at, centroids)

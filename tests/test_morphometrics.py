@@ -156,8 +156,24 @@ def test_mirror_twice_and_reorder(spark):
     assert affine.mirror_index("2,1,3", first=1) == [1, 0, 2]
     with pytest.raises(ValueError):
         affine.mirror_index("0,0,1")
-    p, m = pipelines.mirrored(lm.withColumnRenamed("lm_id", "point_id"), lm, [0, 1, 2, 3, 4])
-    assert p.count() == 5 and m.count() == 5
+    own = lm.withColumnRenamed("lm_id", "point_id")
+    p, m, semi = pipelines.mirrored(own, lm, [0, 1, 2, 3, 4], more=(own,))
+    assert m.count() == 5 and np.allclose(xyz(semi, "point_id"), xyz(p, "point_id"))
+
+
+def test_inputs_are_checked(spark):
+    s = specimens(spark)
+    pipelines.check(s)
+    with pytest.raises(ValueError, match="textures"):
+        pipelines.recolor(s)
+    s.faces = s.faces.drop("v2")
+    with pytest.raises(ValueError, match="v2"):
+        pipelines.make_atlas(s)
+
+
+def test_recolor(spark):
+    encoded, points, faces = pipelines.recolor(specimens(spark, textures=True), "float-vector", k=2)
+    assert encoded.count() == 24 and "color" in points.columns and faces.count() >= 0
 
 
 def test_straddling_faces_vanish_and_ids_close_up(spark):
