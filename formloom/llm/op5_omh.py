@@ -31,58 +31,68 @@ PLACE_BITS = 28
 SPREAD = 4
 
 
-def _kmers(text: Column, k: int) -> Column:
-    """Hashes of the k-mers in the order of the text."""
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    runs = hashed
-    for i in range(1, k):
-        runs = F.zip_with(runs, F.slice(hashed, i + 1, F.greatest(F.size(hashed) - i, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
-    runs = F.filter(runs, lambda x: x.isNotNull()) if k > 1 else runs
-    return F.when(F.size(hashed) >= k, runs).when(F.size(hashed) > 0, F.array(F.xxhash64(hashed))).otherwise(F.array().cast("array<long>"))
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+
+
+def _runs(words: str, k: int) -> Column:
+    """The runs of k words in the order of the text; a text of fewer words is one run, with nulls for what it lacks."""
+    n = F.greatest(F.size(words) - (k - 1), F.lit(1))
+    return F.arrays_zip(*[F.slice(words, i + 1, n) for i in range(k)])
 
 
 def _tuples(minima: list[Column], size: int) -> Column:
-    """The fingerprint: each tuple's elements by place, hashed, as eight hexadecimal digits."""
+    """The fingerprint: each tuple's elements by place, hashed, as four hexadecimal digits."""
     low = (1 << PLACE_BITS) - 1
     parts = []
     for j in range(len(minima)):
         own = F.array(*[F.struct(minima[(j + i) % len(minima)].bitwiseAND(low).alias("at"), minima[(j + i) % len(minima)].bitwiseAND(~low).alias("element")) for i in range(size)])
         in_order = F.sort_array(own)
-        parts.append(F.lpad(F.lower(F.hex(F.xxhash64(*[in_order[i]["element"] for i in range(size)]).bitwiseAND(0xFFFFFFFF))), 8, "0"))
+        parts.append(F.lpad(F.lower(F.hex(F.xxhash64(*[in_order[i]["element"] for i in range(size)]).bitwiseAND(0xFFFF))), 4, "0"))
     return F.concat(*parts)
 
 
 def likeness(a: Column, b: Column, minima: int = MINIMA) -> Column:
     """The share of places at which two fingerprints agree, 0 to 1."""
-    same = [F.when(F.substring(a, 8 * j + 1, 8) == F.substring(b, 8 * j + 1, 8), 1).otherwise(0) for j in range(minima)]
+    same = [F.when(F.substring(a, 4 * j + 1, 4) == F.substring(b, 4 * j + 1, 4), 1).otherwise(0) for j in range(minima)]
     total = same[0]
     for x in same[1:]:
         total = total + x
     return total.cast("double") / F.lit(float(minima))
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_cols: Sequence[str] = ("text",), keep: Column | None = None, k: int = K, minima: int = MINIMA, tuple_size: int = TUPLE, dealt: bool = False) -> DataFrame:
-    """A row for each row of df: id_col, kept, and fp_0, fp_1, ... for the texts of text_cols.
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_cols: Sequence[str] = ("text",), keep: dict[str, Column] | None = None, k: int = K, minima: int = MINIMA, tuple_size: int = TUPLE, dealt: bool = False) -> DataFrame:
+    """A row for each row of df: id_col, the numbers of `keep`, and fp_0, fp_1, ... for the texts of text_cols.
 
-    keep: what else to carry for each row, as the column `kept`. dealt: df lies in partitions by id_col already.
+    keep: longs to carry with each row, by name; they and the elements are aggregated in fixed-width buffers.
+    dealt: df lies in partitions by id_col already.
     """
-    n = SPREAD * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if not dealt:
-        df = df.repartition(n, F.col(f"`{id_col}`"))
-    numbered = df.select(F.col(f"`{id_col}`").alias("doc"), F.monotonically_increasing_id().alias("row"), (F.lit(None).cast("string") if keep is None else keep).alias("kept"), *[text_of(df, c).alias(f"t{i}") for i, c in enumerate(text_cols)])
-    each = numbered.select("doc", "row", F.posexplode(F.array(*[F.struct(F.when(F.lit(i == 0), F.col("kept")).alias("kept"), _kmers(F.col(f"t{i}"), k).alias("kmers")) for i in range(len(text_cols))])).alias("which", "t"))
-    # texts of a row are numbered in one key, which leaves the rows of k-mers small
-    each = each.select("doc", (F.col("row") * len(text_cols) + F.col("which")).alias("unit"), "t.kept", F.posexplode_outer("t.kmers").alias("at", "kmer"))
-    each = each.select("doc", "unit", "at", "kmer", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("kept")).alias("kept"))
+    keep = {f"k_{name}": c for name, c in (keep or {}).items()}
+    own = F.col(f"`{id_col}`").cast("long")
+    if not dealt:  # rows are dealt by their place, so an id that many of them have, or lack, is no harm
+        keep = {"k_": own} | keep
+    key, row = (own, F.monotonically_increasing_id()) if dealt else (F.monotonically_increasing_id(), F.lit(0).cast("long"))
+    texts = len(text_cols)
+    if dealt:
+        held = df.select(key.alias("doc"), row.alias("row"), *[c.alias(n) for n, c in keep.items()], *[text_of(df, c).alias(f"t{i}") for i, c in enumerate(text_cols)])
+    else:
+        held = df.select(key.alias("doc"), *[c.alias(n) for n, c in keep.items()], *[text_of(df, c).alias(f"t{i}") for i, c in enumerate(text_cols)])
+        held = held.repartition(SPREAD * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc").withColumn("row", row)
+    each = held.select("doc", "row", *keep, F.array(*[_words(F.col(f"t{i}")) for i in range(texts)]).alias("all"))
+    each = each.select("doc", "row", *keep, F.posexplode("all").alias("which", "words"))
+    # a row's texts have a number of their own each; what is kept goes with the first k-mer, which leaves the others small
+    each = each.select("doc", (F.col("row") * texts + F.col("which")).alias("unit"), *keep, F.posexplode_outer(_runs("words", k)).alias("at", "run"))
+    first = F.coalesce("at", F.lit(0)) == 0
+    kmer = F.when(F.col("at").isNotNull(), F.xxhash64(*[F.col("run")[str(i)] for i in range(k)]))
+    each = each.select("doc", "unit", "at", kmer.alias("kmer"), *[F.when(first, F.col(n)).alias(n) for n in keep])
     occurrence = F.row_number().over(Window.partitionBy("doc", "unit", "kmer").orderBy("at"))
     each = each.withColumn("element", F.when(F.col("kmer").isNotNull(), F.xxhash64("kmer", occurrence)))
     low = (1 << PLACE_BITS) - 1
     least = [F.min(F.when(F.col("element").isNotNull(), F.xxhash64("element", F.lit(j)).bitwiseAND(~low).bitwiseOR(F.least("at", F.lit(low))))).alias(f"m{j}") for j in range(minima)]
-    chosen = each.groupBy("doc", "unit").agg(F.max("kept").alias("kept"), *least)
-    made = chosen.select("doc", F.expr(f"unit div {len(text_cols)}").alias("row"), F.expr(f"unit % {len(text_cols)}").alias("which"), "kept", _tuples([F.coalesce(F.col(f"m{j}"), F.lit(0).cast("long")) for j in range(minima)], tuple_size).alias("fp"))
-    out = made.groupBy("doc", "row").agg(F.max("kept").alias("kept"), *[F.max(F.when(F.col("which") == i, F.col("fp"))).alias(f"fp_{i}") for i in range(len(text_cols))])
-    return out.select(F.col("doc").alias(id_col), "kept", *[f"fp_{i}" for i in range(len(text_cols))])
+    chosen = each.groupBy("doc", "unit").agg(*[F.max(n).alias(n) for n in keep], *least)
+    made = chosen.select("doc", F.expr(f"unit div {texts}").alias("row"), F.expr(f"unit % {texts}").alias("which"), *keep, _tuples([F.coalesce(F.col(f"m{j}"), F.lit(0).cast("long")) for j in range(minima)], tuple_size).alias("fp"))
+    out = made.groupBy("doc", "row").agg(*[F.max(n).alias(n) for n in keep], *[F.max(F.when(F.col("which") == i, F.col("fp"))).alias(f"fp_{i}") for i in range(texts)])
+    return out.select(F.col("doc" if dealt else "k_").alias(id_col), *[F.col(n).alias(n[2:]) for n in keep if n != "k_"], *[f"fp_{i}" for i in range(texts)])
 
 
 def next_ids(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -99,29 +109,45 @@ def next_ids(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return written(ids.withColumn("own", own).join(heads, "part").select("id", F.coalesce("own", "head").alias("next_id")), "op5-next")
 
 
+def _cut(text: str) -> str:
+    return f"(length({text}) div 3)"
+
+
+def _edited(head: str) -> Column:
+    return F.expr(f"concat(substring(text, 1, length(text) - {_cut('text')}), substring(coalesce({head}, ''), 1, {_cut('text')}))").alias("edited")
+
+
 def with_edits(df: DataFrame, links: DataFrame) -> DataFrame:
-    """(doc_id, text, edited): the last third of each text replaced by as much of the next one's beginning."""
+    """(doc_id, text, edited) of the rows with ids: the last third of a text replaced by as much of the next one's beginning.
+
+    Of rows that share the next id, the beginning that sorts first is taken. Texts are dealt by id once, for both uses.
+    """
     n = SPREAD * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(df, "text").alias("text")).repartition(n, "doc_id")
+    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(df, "text").alias("text")).where("doc_id is not null").repartition(n, "doc_id")
     sizes = df.select(F.col("doc_id").cast("long").alias("id"), F.expr("length(coalesce(text, '')) div 3").alias("cut")).groupBy("id").agg(F.max("cut").alias("cut"))
     asked = links.join(sizes, "id").select(F.col("next_id").alias("doc_id"), "id", "cut")
     heads = docs.join(asked, "doc_id").select("id", F.expr("substring(text, 1, cut)").alias("head")).repartition(n, "id").groupBy("id").agg(F.min("head").alias("head"))
-    cut = "(length(text) div 3)"
-    return docs.join(heads.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "text", F.expr(f"concat(substring(text, 1, length(text) - {cut}), substring(coalesce(head, ''), 1, {cut}))").alias("edited"))
+    return docs.join(heads.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "text", _edited("head"))
 
 
 def op5_omh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole table `documents`: each text's fingerprint, its edited text's, and their likeness."""
+    """The whole table `documents`: each text's fingerprint, its edited text's, and their likeness.
+
+    A row without an id has no next text: its edited text lacks the last third, and near_next is 0.
+    """
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     links = next_ids(df)
-    facts = F.concat_ws(":", F.length("text"), F.sha2("edited", 256))
-    made = written(fingerprints(with_edits(df, links), text_cols=("text", "edited"), keep=facts, dealt=True), "op5-fingerprints")
-    after = made.groupBy("doc_id").agg(F.min("fp_0").alias("next_fp")).withColumnRenamed("doc_id", "next_id")
-    both = made.join(links.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(after, "next_id", "left")
+    digest = F.sha2("edited", 256)
+    facts = {"n_chars": F.length("text").cast("long")} | {f"sha_{i}": F.conv(F.substring(digest, 16 * i + 1, 16), 16, -10).cast("long") for i in range(4)}
+    made = fingerprints(with_edits(df, links), text_cols=("text", "edited"), keep=facts, dealt=True)
+    without = df.where("doc_id is null").select("doc_id", text_of(df, "text").alias("text")).select("doc_id", "text", _edited("''"))
+    made = written(made.unionByName(fingerprints(without, text_cols=("text", "edited"), keep=facts)), "op5-fingerprints")
+    after = made.select(F.col("doc_id").alias("next_id"), "fp_0").join(links, "next_id").groupBy("id").agg(F.min("fp_0").alias("next_fp"))
+    both = made.join(after.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return both.select(
         "doc_id",
-        F.split("kept", ":")[0].cast("long").alias("n_chars"),
-        F.split("kept", ":")[1].alias("edited_sha256"),
+        "n_chars",
+        F.concat(*[F.lpad(F.lower(F.hex(f"sha_{i}")), 16, "0") for i in range(4)]).alias("edited_sha256"),
         F.col("fp_0").alias("fingerprint"),
         F.col("fp_1").alias("edited_fingerprint"),
         likeness(F.col("fp_0"), F.col("fp_1")).alias("near_edited"),
