@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs, in numpy.
 
 A word enters as the sum of what it is (an embedding, for words that several training texts have) and how it is spelt
-(the mean embedding of its character trigrams); what the gates take from a word is worked out once for each distinct
+(the mean embedding of its runs of three and five characters); what the gates take from a word is worked out once for each distinct
 word. A text is scored in windows of WINDOW words of which STRIDE are new, all of them, to its end. Attention pools the
 states of a window into its logit; the windows' logits, weighted by their softmax, make the text's.
 
@@ -28,8 +28,12 @@ from formloom.llm._shared import in_batches, rows, slices, text_of
 
 WINDOW, STRIDE = 32, 24
 MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 1500, 3000, 16_000
-EMBED, HIDDEN, ATTEND, TRIGRAMS, MOST_WORDS = 8, 8, 8, 4096, 20_000
+EMBED, HIDDEN, ATTEND, MOST_WORDS = 8, 8, 8, 20_000
+#: Runs of characters that spell a word, and the buckets into which they are hashed.
+SIZES, PIECES = (3, 5), 16_384
 STEPS, BATCH, RATE, SEED = 700, 32, 0.01, 9
+#: From this step on the network is the running average of what the steps give.
+AVERAGED_FROM = 300
 #: A text is called toxic from this score on.
 TOXIC_FROM = 0.7
 _WORD = re.compile(r"\w+")
@@ -51,23 +55,31 @@ def windows(n: int) -> Iterator[tuple[int, int]]:
         begin += STRIDE
 
 
-def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words' trigrams (with an end mark on each side), and where each word's begin."""
-    text = "".join(f"\x02{w}\x03" for w in words)
+def pieces(words: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words' runs of `size` characters (with two marks on each side), and how many each word has."""
+    text = "".join(f"\x02\x02{w}\x03\x03" for w in words)
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    length = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    bucket = ((c[:-2] * np.uint64(1_000_003) + c[1:-1]) * np.uint64(1_000_003) + c[2:]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(52)
-    ends = np.cumsum(length)
+    length = np.fromiter(map(len, words), np.int64, len(words)) + 4
+    h = np.full(len(c) - size + 1, size, np.uint64)
+    for k in range(size):
+        h = h * np.uint64(1_000_003) + c[k : len(c) - size + 1 + k]
+    h = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
     inside = np.ones(len(c), bool)
-    inside[ends - 1] = inside[ends - 2] = False
-    begin = np.cumsum(length - 2) - (length - 2)
-    return bucket[inside[:-2]].astype(np.int64) % TRIGRAMS, begin
+    ends = np.cumsum(length)
+    for k in range(1, size):  # runs that would reach into the next word
+        inside[ends - k] = False
+    return (h[inside[: len(h)]] % np.uint64(PIECES)).astype(np.int64), length - size + 1
 
 
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _gathered(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the rows of values that fall on the same place."""
+    return np.stack([np.bincount(at, weights=v, minlength=size) for v in values.T], axis=1).astype(np.float32)
+
+
 class Network:
     """Parameters, scores and gradients."""
 
@@ -77,7 +89,7 @@ class Network:
         self.vocabulary = vocabulary
         self.p = {
             "word": 0.3 * r.standard_normal((len(vocabulary) + 1, EMBED)).astype(np.float32),
-            "char": 0.3 * r.standard_normal((TRIGRAMS, EMBED)).astype(np.float32),
+            "char": 0.3 * r.standard_normal((PIECES, EMBED)).astype(np.float32),
             "in": draw(2 * EMBED, 6 * h),
             "in0": np.zeros(6 * h, np.float32),
             "fwd": draw(h, 3 * h),
@@ -94,11 +106,11 @@ class Network:
         known = np.fromiter((self.vocabulary.get(w, 0) for w in words), np.int64, len(words))
         if forget is not None:
             known[forget] = 0
-        bucket, begin = trigrams(words)
-        n = np.diff(np.append(begin, len(bucket)))
-        spelt = np.add.reduceat(self.p["char"][bucket], begin, axis=0) / n[:, None]
+        own = [pieces(words, size) for size in SIZES]
+        n = sum(k for _, k in own)
+        spelt = sum(np.add.reduceat(self.p["char"][b], np.cumsum(k) - k, axis=0) for b, k in own) / n[:, None]
         x = np.concatenate([self.p["word"][known], spelt], axis=1).astype(np.float32)
-        return x @ self.p["in"] + self.p["in0"], (known, bucket, n, x)
+        return x @ self.p["in"] + self.p["in0"], (known, own, n, x)
 
     def _run(self, gates: np.ndarray, u: np.ndarray, mask: np.ndarray, keep: bool):
         """States of one direction. gates: time x windows x 3 hidden."""
@@ -147,14 +159,13 @@ class Network:
         d_gates = np.empty((*index.shape, 6 * h), np.float32)
         g["fwd"] = self._back(past_f, p["fwd"], mask, d_states[:, :, :h], d_gates[:, :, : 3 * h])
         g["bwd"] = self._back(past_b, p["bwd"], mask[::-1], d_states[::-1, :, h:], d_gates[::-1, :, 3 * h :])
-        d_table = np.zeros((rows_of_table, 6 * h), np.float32)
-        np.add.at(d_table, index.ravel(), d_gates.reshape(-1, 6 * h) * mask.reshape(-1, 1))
-        known, bucket, n, x = table_parts
+        d_table = _gathered(index.ravel(), d_gates.reshape(-1, 6 * h) * mask.reshape(-1, 1), rows_of_table)
+        known, own, n, x = table_parts
         g["in"], g["in0"] = x.T @ d_table, d_table.sum(0)
         d_x = d_table @ p["in"].T
-        g["word"], g["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
-        np.add.at(g["word"], known, d_x[:, :EMBED])
-        np.add.at(g["char"], bucket, np.repeat(d_x[:, EMBED:] / n[:, None], n, axis=0))
+        g["word"] = _gathered(known, d_x[:, :EMBED], len(p["word"]))
+        each = d_x[:, EMBED:] / n[:, None]
+        g["char"] = sum(_gathered(bucket, np.repeat(each, k, axis=0), PIECES) for bucket, k in own)
         return g
 
     @staticmethod
@@ -207,6 +218,7 @@ def fit(texts: list[str], toxic: list[int], steps: int = STEPS, seed: int = SEED
     net = Network({w: i + 1 for i, w in enumerate(common)}, seed)
     label = np.array(toxic, np.float32)
     mean, square = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
+    average = {k: v.copy() for k, v in net.p.items()}
     order = np.empty(0, np.int64)
     for step in range(1, steps + 1):
         if len(order) < min(BATCH, len(split)):
@@ -228,6 +240,8 @@ def fit(texts: list[str], toxic: list[int], steps: int = STEPS, seed: int = SEED
             mean[k] += 0.1 * (g - mean[k])
             square[k] += 0.001 * (g * g - square[k])
             net.p[k] -= rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-8) + 1e-3 * rate * net.p[k] * (k in ("word", "char"))
+            average[k] += (1.0 if step < AVERAGED_FROM else 0.01) * (net.p[k] - average[k])
+    net.p = average
     return net
 
 
