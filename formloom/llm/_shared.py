@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import itertools
 import json
 import os
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -31,7 +33,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="formloom-")
+        own = tempfile.mkdtemp(prefix="formloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = "file://" + own
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -40,6 +44,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/formloom/{name}-{uuid.uuid4().hex}"
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Deletes the tables that operators have written; for the end of a job, when all results have been stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/formloom")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df by way of a Parquet table in the shared folder, which cuts the lineage and survives lost executors."""
     path = new_folder(df.sparkSession, name)

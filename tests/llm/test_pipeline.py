@@ -36,3 +36,12 @@ def test_stages_of_an_empty_table(spark, folder):
     none = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id = -1")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, folder).count() == 0
+
+
+def test_tables_are_dropped(spark):
+    from formloom.llm._shared import drop_tables, shared_folder, written
+
+    assert written(spark.range(3).select("id"), "test").count() == 3
+    drop_tables(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/formloom")
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
