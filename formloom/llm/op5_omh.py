@@ -1,10 +1,10 @@
 """Document fingerprints by Order MinHash, in DataFrame operations only.
 
-A text's k-mers are runs of k words, numbered by occurrence: the third "of the" is another element than the first. Under
-each of `minima` permutations (hashes of k-mer, occurrence and the permutation's number) the least element is selected.
-Each `tuple_size` selected elements in succession are put in the order in which they stand in the text, and that ordered
-tuple is hashed. The fingerprint is the row of these hashes; likeness is the share of places at which two agree. Moving or
-editing passages changes which elements are selected and in which order they stand, so likeness falls with edit distance.
+A text's k-mers are runs of k words, numbered by occurrence: the third "of the" is another element than the first. Elements
+fall into bins by their hash's first bits, and in each bin the least element by the rest of its hash is selected; an empty
+bin takes the next bin's. Each `tuple_size` bins in succession give a tuple: their elements in the order in which they stand
+in the text, hashed. The fingerprint is the row of these hashes; likeness is the share of places at which two agree. Moving
+or editing passages changes which elements are selected and in which order they stand, so likeness falls with edit distance.
 
 Texts are dealt by their row's id once; numbering, selection and tuples follow in the same partitions.
 
@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 from formloom.llm._shared import text_of, written
 
 K = 2
-MINIMA = 48
+BIN_BITS = 6
+BINS = 1 << BIN_BITS
 TUPLE = 2
-#: A selected element is one number: its hash in the high bits and its place in the text in the low ones.
-PLACE_BITS = 28
+#: A selected element is one number: some bits of its hash, and below them its place in the text.
+HASH_BITS, PLACE_BITS = 36, 27
 #: Partitions of the texts for each shuffle partition of the session, as a text takes more room in k-mers.
 SPREAD = 4
 
@@ -41,27 +42,28 @@ def _runs(words: str, k: int) -> Column:
     return F.arrays_zip(*[F.slice(words, i + 1, n) for i in range(k)])
 
 
-def _tuples(minima: list[Column], size: int) -> Column:
-    """The fingerprint: each tuple's elements by place, hashed, as four hexadecimal digits."""
-    low = (1 << PLACE_BITS) - 1
-    parts = []
-    for j in range(len(minima)):
-        own = F.array(*[F.struct(minima[(j + i) % len(minima)].bitwiseAND(low).alias("at"), minima[(j + i) % len(minima)].bitwiseAND(~low).alias("element")) for i in range(size)])
-        in_order = F.sort_array(own)
-        parts.append(F.lpad(F.lower(F.hex(F.xxhash64(*[in_order[i]["element"] for i in range(size)]).bitwiseAND(0xFFFF))), 4, "0"))
-    return F.concat(*parts)
+def _fingerprint(chosen: str, size: int) -> Column:
+    """From an array of (bin, least), by bin: each tuple's elements by place, hashed, as four hexadecimal digits."""
+    filled = (
+        f"concat(flatten(transform({chosen}, (e, k) -> array_repeat(e.least, e.bin - if(k = 0, -1, {chosen}[k - 1].bin)))),"
+        f" array_repeat({chosen}[0].least, {BINS - 1} - element_at({chosen}, -1).bin))"
+    )
+    place, element = f"(1L << {PLACE_BITS}) - 1", f"(1L << {HASH_BITS}) - 1"
+    by_place = f"array_sort(transform(sequence(0, {size - 1}), s -> shiftleft(get(f, (i + s) % {BINS}) & ({place}), {HASH_BITS}) | shiftrightunsigned(get(f, (i + s) % {BINS}), {PLACE_BITS})))"
+    folded = f"aggregate({by_place}, 0L, (h, x) -> xxhash64(h, x & ({element})))"
+    digits = f"lpad(lower(hex({folded} & 65535L)), 4, '0')"
+    row = f"array_join(transform(sequence(0, {BINS - 1}), i -> {digits}), '')"
+    # the filled bins are named by a lambda of their own, so that they are worked out once
+    return F.expr(f"if(size({chosen}) > 0, transform(array({filled}), f -> {row})[0], repeat('0', {4 * BINS}))")
 
 
-def likeness(a: Column, b: Column, minima: int = MINIMA) -> Column:
-    """The share of places at which two fingerprints agree, 0 to 1."""
-    same = [F.when(F.substring(a, 4 * j + 1, 4) == F.substring(b, 4 * j + 1, 4), 1).otherwise(0) for j in range(minima)]
-    total = same[0]
-    for x in same[1:]:
-        total = total + x
-    return total.cast("double") / F.lit(float(minima))
+def likeness(a: Column, b: Column) -> Column:
+    """The share of places at which two fingerprints agree, 0 to 1; null if one is null."""
+    same = F.filter(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda j: F.substring(a, 4 * j + 1, F.lit(4)) == F.substring(b, 4 * j + 1, F.lit(4)))
+    return F.when(a.isNotNull() & b.isNotNull(), F.size(same) / F.lit(float(BINS)))
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_cols: Sequence[str] = ("text",), keep: dict[str, Column] | None = None, k: int = K, minima: int = MINIMA, tuple_size: int = TUPLE, dealt: bool = False) -> DataFrame:
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_cols: Sequence[str] = ("text",), keep: dict[str, Column] | None = None, k: int = K, tuple_size: int = TUPLE, dealt: bool = False) -> DataFrame:
     """A row for each row of df: id_col, the numbers of `keep`, and fp_0, fp_1, ... for the texts of text_cols.
 
     keep: longs to carry with each row, by name; they and the elements are aggregated in fixed-width buffers.
@@ -87,10 +89,12 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_cols: Sequence[str]
     each = each.select("doc", "unit", "at", kmer.alias("kmer"), *[F.when(first, F.col(n)).alias(n) for n in keep])
     occurrence = F.row_number().over(Window.partitionBy("doc", "unit", "kmer").orderBy("at"))
     each = each.withColumn("element", F.when(F.col("kmer").isNotNull(), F.xxhash64("kmer", occurrence)))
-    low = (1 << PLACE_BITS) - 1
-    least = [F.min(F.when(F.col("element").isNotNull(), F.xxhash64("element", F.lit(j)).bitwiseAND(~low).bitwiseOR(F.least("at", F.lit(low))))).alias(f"m{j}") for j in range(minima)]
-    chosen = each.groupBy("doc", "unit").agg(*[F.max(n).alias(n) for n in keep], *least)
-    made = chosen.select("doc", F.expr(f"unit div {texts}").alias("row"), F.expr(f"unit % {texts}").alias("which"), *keep, _tuples([F.coalesce(F.col(f"m{j}"), F.lit(0).cast("long")) for j in range(minima)], tuple_size).alias("fp"))
+    # one pass over the elements leaves a number for each bin, and one over these the bins of a text side by side
+    least = F.shiftleft(F.col("element").bitwiseAND((1 << HASH_BITS) - 1), PLACE_BITS).bitwiseOR(F.least("at", F.lit((1 << PLACE_BITS) - 1)).cast("long"))
+    bins = each.withColumn("bin", F.shiftrightunsigned("element", 64 - BIN_BITS).cast("int")).groupBy("doc", "unit", "bin").agg(F.min(least).alias("least"), *[F.max(n).alias(n) for n in keep])
+    found = F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "least")))
+    chosen = bins.groupBy("doc", "unit").agg(F.sort_array(found).alias("chosen"), *[F.max(n).alias(n) for n in keep])
+    made = chosen.select("doc", F.expr(f"unit div {texts}").alias("row"), F.expr(f"unit % {texts}").alias("which"), *keep, _fingerprint("chosen", tuple_size).alias("fp"))
     out = made.groupBy("doc", "row").agg(*[F.max(n).alias(n) for n in keep], *[F.max(F.when(F.col("which") == i, F.col("fp"))).alias(f"fp_{i}") for i in range(texts)])
     return out.select(F.col("doc" if dealt else "k_").alias(id_col), *[F.col(n).alias(n[2:]) for n in keep if n != "k_"], *[f"fp_{i}" for i in range(texts)])
 

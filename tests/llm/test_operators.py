@@ -159,7 +159,7 @@ def test_order_minhash(spark, docs, empty):
 
 
 def test_order_minhash_against_numbers(spark):
-    """Elements, minima and tuples worked out again in Python from Spark's hash alone."""
+    """Elements, bins and tuples worked out again in Python from Spark's hash alone."""
     text = "a b a b c a b"
     words = text.split()
     runs = list(zip(words, words[1:], strict=False))
@@ -168,14 +168,21 @@ def test_order_minhash_against_numbers(spark):
     for k in kmers:
         seen[k] = seen.get(k, 0) + 1
         elements.append(spark.range(1).select(F.xxhash64(F.lit(k).cast("long"), F.lit(seen[k]))).first()[0])
-    low = (1 << op5_omh.PLACE_BITS) - 1
-    minima = [min((spark.range(1).select(F.xxhash64(F.lit(e).cast("long"), F.lit(j))).first()[0] & ~low) | i for i, e in enumerate(elements)) for j in range(3)]
+    spark_hash = lambda a, b: spark.range(1).select(F.xxhash64(F.lit(a).cast("long"), F.lit(b).cast("long"))).first()[0]
+    bins = {}
+    for at, e in enumerate(elements):
+        own = (e & (1 << op5_omh.HASH_BITS) - 1) << op5_omh.PLACE_BITS | at
+        b = (e % (1 << 64)) >> 64 - op5_omh.BIN_BITS
+        bins[b] = min(own, bins.get(b, own))
+    filled = [bins[min((b for b in bins if b >= i), default=min(bins))] for i in range(op5_omh.BINS)]
     want = ""
-    for j in range(3):
-        pair = sorted([(m & low, m & ~low) for m in (minima[j], minima[(j + 1) % 3])])
-        want += f"{spark.range(1).select(F.xxhash64(*[F.lit(e).cast('long') for _, e in pair])).first()[0] & 0xFFFF:04x}"
-    got = op5_omh.fingerprints(spark.createDataFrame([(1, text)], "doc_id long, text string"), minima=3).first().fp_0
-    assert got == want
+    for i in range(op5_omh.BINS):
+        pair = sorted((m & (1 << op5_omh.PLACE_BITS) - 1, m >> op5_omh.PLACE_BITS) for m in (filled[i], filled[(i + 1) % op5_omh.BINS]))
+        h = 0
+        for _, x in pair:
+            h = spark_hash(h, x)
+        want += f"{h & 0xFFFF:04x}"
+    assert op5_omh.fingerprints(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().fp_0 == want
 
 
 def simhash(text, k=3):
@@ -317,7 +324,7 @@ def test_gradients_are_right():
     g = net.gradients(parts, len(table), index, mask, kept, np.array([1.0, -2.0]))
     draw = np.random.default_rng(0)
     for k, v in net.p.items():
-        at = tuple(draw.integers(0, s) for s in v.shape) if k not in ("char",) else (int(op9_toxicity.trigrams(["cde"])[0][0]), 2)
+        at = tuple(draw.integers(0, s) for s in v.shape) if k not in ("char",) else (int(op9_toxicity.pieces(["cde"], 3)[0][0]), 2)
         if k == "word":
             at = (1, 3)
         old, e = v[at], 1e-2
