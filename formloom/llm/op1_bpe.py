@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from formloom.llm._shared import CHUNK, byte_of, coder, in_batches, rows, slices, text_of, tokenizer_json
 
 BYTE_BPE = "byte_bpe_50k.json"
-#: Characters in a block, and blocks of words for each shuffle partition.
+#: Characters in a block, and the least number of buckets into which its words are dealt.
 BLOCK_CHARS = 8 << 20
 BUCKETS = 64
 
@@ -159,13 +159,14 @@ def _placed(id_col: str) -> tuple[str, Callable]:
     return f"`{id_col}` long, ids array<int>", joined
 
 
-def encode(df: DataFrame, tokenizer_file: str = BYTE_BPE, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, buckets: int = BUCKETS) -> DataFrame:
+def encode(df: DataFrame, tokenizer_file: str = BYTE_BPE, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, buckets: int | None = None) -> DataFrame:
     """(id_col, ids array<int>): each text's ids under the tokenizer of tokenizer_file, without added special tokens.
 
     The input is read twice and must give the same rows in the same order both times, as a scan of files does;
-    checksums of each block's words confirm it. buckets: packets of words that a block makes; at a cluster's scale,
-    a few for each executor core.
+    checksums of each block's words confirm it. buckets: packets of words that a block makes, by default as many as
+    there are shuffle partitions and BUCKETS at least; a task holds the distinct words of its buckets.
     """
+    buckets = buckets or max(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), text_of(df, text_col).alias("text"))
     lists = docs.mapInArrow(_lists(block_chars, buckets), "bucket int, block long, words binary, lengths binary")
     ids = lists.repartition("bucket").mapInArrow(_encoder(tokenizer_json(tokenizer_file)), "block long, bucket int, ids binary, lengths binary, n long, check long")
