@@ -222,9 +222,12 @@ def components(links: DataFrame) -> DataFrame:
             return links
         before = now
         both = links.select("a", "b").union(links.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # the least neighbours are a table of their own, so that both sides of the join are exchanges and the links of a
+        # node that very many share can be split among tasks
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "op6-least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = written(large, "op6-large")
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "op6-least")
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         links = written(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "op6-links")
 
