@@ -33,6 +33,8 @@ from formloom.llm._shared import in_batches, rows, text_of, written
 BITS, RADIUS, WORDS, SEED = 64, 3, 3, 42
 #: (query, block) combinations that are compared at a time.
 COMBINATIONS = 1 << 16
+#: Fingerprints whose bits are unpacked at a time.
+AT_A_TIME = 1 << 12
 
 
 def pigeonhole(bits: int = BITS, radius: int = RADIUS, same: int = 2) -> list[list[int]]:
@@ -154,18 +156,19 @@ def _roots(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def bucket_links(fps: list[bytes], begin: np.ndarray, end: np.ndarray, radius: int) -> Iterator[tuple[bytes, bytes]]:
     """Links of each fingerprint to the first of its component in its bucket. begin, end: the bucket of each."""
-    n = len(fps)
-    bit = _bits(fps, len(fps[0]))
-    padded = np.zeros((-(-n // 64) * 64, bit.shape[1]), np.uint8)
-    padded[:n] = bit
-    planes = np.packbits(padded.T.copy(), axis=1, bitorder="little").view("<u8")
-    asked = np.where(bit.T, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
+    n, size = len(fps), len(fps[0])
+    planes = np.zeros((8 * size, -(-n // 64)), "<u8")
+    for k in range(0, n, AT_A_TIME):  # a number of whole blocks
+        bit = _bits(fps[k : k + AT_A_TIME], size)
+        padded = np.zeros((-(-len(bit) // 64) * 64, 8 * size), np.uint8)
+        padded[: len(bit)] = bit
+        planes[:, k // 64 : k // 64 + len(padded) // 64] = np.packbits(padded.T.copy(), axis=1, bitorder="little").view("<u8")
     i = np.arange(n)
     first, last = (i + 1) // 64, (end - 1) // 64
     many = np.where(i + 1 < end, last - first + 1, 0)
     parent, at, upto = np.arange(n), 0, np.cumsum(many)
     while at < n:
-        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + COMBINATIONS, "right")))
+        stop = min(at + AT_A_TIME, max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + COMBINATIONS, "right"))))
         own, m = i[at:stop], many[at:stop]
         query = np.repeat(own, m)
         block = np.repeat(first[at:stop], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
@@ -173,7 +176,9 @@ def bucket_links(fps: list[bytes], begin: np.ndarray, end: np.ndarray, radius: i
         high = np.minimum(end[query] - 64 * block, 64)
         lanes = np.uint64(0xFFFFFFFFFFFFFFFF) << low
         lanes &= np.where(high == 64, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (high % 64).astype(np.uint64)) - np.uint64(1))
-        parent = _roots(parent, *near(planes, asked, query, block, lanes, radius))
+        asked = np.where(_bits(fps[at:stop], size).T, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
+        found, lane = near(planes, asked, query - at, block, lanes, radius)
+        parent = _roots(parent, found + at, lane)
         at = stop
     for k in np.flatnonzero(parent != i).tolist():
         yield fps[k], fps[parent[k]]
