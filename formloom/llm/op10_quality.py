@@ -195,8 +195,8 @@ def _scoring(model: Model):
 
 
 def held_out(id_col: str = "doc_id"):
-    """Rows whose labels are never learnt."""
-    return F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string")), F.lit(3)) == 1
+    """Rows whose labels are never learnt; a null id isn't one of them, and meets no label."""
+    return F.coalesce(F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
 def _seen(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
