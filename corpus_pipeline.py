@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from formloom.llm import op2_exact, op4_packing, op6_simhash, op7_pii, op9_toxicity
 from formloom.llm._shared import written
 
-#: Near duplicates: shingles of five words, as good as 0.8 alike. Of two texts that share 0.8 of their shingles, bits of
-#: fingerprints differ with a chance of about 0.15, which is 38 of 256; random texts differ in half of them.
-NEAR_WORDS, NEAR_BITS, NEAR_RADIUS = 5, 256, 44
+#: Near duplicates: distinct shingles of five words, 0.8 alike or more.
+NEAR_WORDS, NEAR_ALIKE = 5, 0.8
+#: Which texts are compared: of two that share 0.8 of their shingles, bits of fingerprints differ with a chance of about
+#: 0.15, which is 38 of 256; random texts differ in half of them.
+NEAR_BITS, NEAR_RADIUS = 256, 44
 #: Tables of random bits in which near fingerprints meet.
 NEAR_TABLES, NEAR_WIDTH = 48, 16
 
@@ -52,9 +54,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near texts."""
+    """One document of each group of texts that pairs of NEAR_ALIKE or more connect."""
     tables = op6_simhash.sampled(NEAR_BITS, NEAR_TABLES, NEAR_WIDTH)
-    groups = op6_simhash.near_groups(_numbered(docs), id_col="_row", bits=NEAR_BITS, words=NEAR_WORDS, radius=NEAR_RADIUS, tables=tables)
+    groups = op6_simhash.near_groups(_numbered(docs), id_col="_row", bits=NEAR_BITS, words=NEAR_WORDS, radius=NEAR_RADIUS, tables=tables, alike=NEAR_ALIKE)
     return _one_of_each(docs, groups.select("_row", F.col("component_id").alias("group")))
 
 

@@ -35,6 +35,8 @@ BITS, RADIUS, WORDS, SEED = 64, 3, 3, 42
 COMBINATIONS = 1 << 16
 #: Fingerprints whose bits are unpacked at a time.
 AT_A_TIME = 1 << 12
+#: Shingles of a component's block, two of which are compared in a task.
+BLOCK = 1 << 21
 
 
 def pigeonhole(bits: int = BITS, radius: int = RADIUS, same: int = 2) -> list[list[int]]:
@@ -65,11 +67,16 @@ def hashes(raw: bytes, words: int) -> Iterator[np.ndarray]:
         left -= n
 
 
-def fingerprint(text: str, bits: int = BITS, words: int = WORDS) -> bytes:
-    """A bit is set if over half the shingles' hashes have it. Beyond 64 bits, further hashes are mixed from the first."""
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *hashes(text.encode(), words)]))
+
+
+def _majority(hashed: Iterable[np.ndarray], bits: int) -> bytes:
+    """A bit is set if over half the hashes have it. Beyond 64 bits, further hashes are mixed from the first."""
     lanes = bits // 64
     counts, n = np.zeros((lanes, 64), np.int64), 0
-    for h in hashes(text.encode(), words):
+    for h in hashed:
         n += len(h)
         for k in range(lanes):
             if k:
@@ -85,11 +92,35 @@ def fingerprint(text: str, bits: int = BITS, words: int = WORDS) -> bytes:
     return np.packbits(2 * counts > n).tobytes()
 
 
+def fingerprint(text: str, bits: int = BITS, words: int = WORDS) -> bytes:
+    """Of all shingles of a text, repeated ones included."""
+    return _majority(hashes(text.encode(), words), bits)
+
+
+def set_fingerprint(held: np.ndarray, bits: int) -> bytes:
+    """Of a set of shingles."""
+    return _majority((held[i : i + 255 * 64] for i in range(0, len(held), 255 * 64)), bits)
+
+
 def _fingerprints(bits: int, words: int):
     schema = pa.schema([("doc", pa.int64()), ("fp", pa.binary())])
     return lambda batches: in_batches(((doc, fingerprint(text, bits, words)) for doc, text in rows(batches)), schema, lambda r: 64)
 
 
+def _set_fingerprints(bits: int, words: int):
+    """(doc, fp, name): name stands for the set of shingles."""
+    schema = pa.schema([("doc", pa.int64()), ("fp", pa.binary()), ("name", pa.binary())])
+
+    def made(batches):
+        import xxhash
+
+        for doc, text in rows(batches):
+            held = shingle_set(text, words)
+            yield doc, set_fingerprint(held, bits), xxhash.xxh128_digest(held.tobytes())
+
+    return lambda batches: in_batches(made(batches), schema, lambda r: 96)
+
+
 def _bits(fps: Iterable[bytes], size: int) -> np.ndarray:
     """A row of bits for each fingerprint."""
     return np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(-1, size), axis=1)
@@ -218,6 +249,83 @@ def _linker(radius: int, most: int = 1 << 14):
     return lambda batches: in_batches(made(batches), schema, lambda r: 64)
 
 
+def alike_roots(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """For each set of shingles, the first of those that it is connected with by pairs at least so much alike.
+
+    Two such sets share one of the first few of their elements, in any order that both keep; here the rarest come first.
+    """
+    n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
+    member = np.repeat(np.arange(n), sizes)
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    r = rank[code]
+    r = r[np.lexsort((r, member))]
+    start = np.cumsum(sizes) - sizes
+    prefix = sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1
+    early = np.arange(len(r)) - start[member] < prefix[member]
+    asked, holder = r[early], member[early]
+    order = np.lexsort((holder, asked))
+    holder, first = holder[order], np.searchsorted(asked[order], np.arange(len(count) + 1))
+    parent, mark = np.arange(n), np.zeros(len(count), np.int64)
+    for i in np.flatnonzero(sizes).tolist():
+        own = r[start[i] : start[i] + sizes[i]]
+        near = np.concatenate([holder[first[c] : first[c + 1]] for c in own[: prefix[i]].tolist()])
+        near = np.unique(near[(near > i) & (parent[near] != parent[i])])
+        near = near[np.minimum(sizes[near], sizes[i]) >= least * np.maximum(sizes[near], sizes[i]) - 1e-9]
+        for k in range(0, len(near), AT_A_TIME):
+            some = near[k : k + AT_A_TIME]
+            begin = np.cumsum(sizes[some]) - sizes[some]
+            at = np.repeat(start[some] - begin, sizes[some]) + np.arange(sizes[some].sum())
+            mark[own] = 1
+            both = np.add.reduceat(mark[r[at]], begin)
+            mark[own] = 0
+            found = some[both / (sizes[some] + sizes[i] - both) >= least]
+            parent = _roots(parent, np.full(len(found), i), found)
+    return parent
+
+
+def _confirmer(least: float):
+    """Rows (root, p, q, name, held) in order of the first three to links of names."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def made(batches):
+        for _, group in itertools.groupby(rows(batches), lambda r: r[:3]):
+            names, sets = zip(*((name, np.frombuffer(held, np.uint64)) for *_, name, held in group), strict=True)
+            for k, j in enumerate(alike_roots(list(sets), least).tolist()):
+                if k != j:
+                    yield names[k], names[j]
+
+    return lambda batches: in_batches(made(batches), schema, lambda r: 64)
+
+
+def _held_sets(words: int):
+    """Rows (root, name, text) to (root, name, n, held)."""
+    schema = pa.schema([("root", pa.binary()), ("name", pa.binary()), ("n", pa.int64()), ("held", pa.binary())])
+
+    def made(batches):
+        for root, name, text in rows(batches):
+            held = shingle_set(text, words)
+            yield root, name, len(held), held.tobytes()
+
+    return lambda batches: in_batches(made(batches), schema, lambda r: 96 + 8 * r[2])
+
+
+def confirmed(texts: DataFrame, member: DataFrame, words: int, least: float, block: int = BLOCK) -> DataFrame:
+    """(a, b) as components() has it, of sets' names. texts: (doc, t); member: (name, doc, root), a row for each set."""
+    crowded = member.groupBy("root").agg(F.count("*").alias("sets")).where("sets > 1").select("root")
+    asked = written(member.join(crowded, "root").select("root", "name", "doc"), "op6-asked")
+    sets = texts.join(asked, "doc").select("root", "name", "t").mapInArrow(_held_sets(words), "root binary, name binary, n long, held binary")
+    sets = written(sets, "op6-sets")
+    # a large component's sets are dealt to blocks, and any two blocks make a task
+    parts = sets.groupBy("root").agg(F.ceil(F.sum("n") / block).alias("parts"))
+    own = sets.join(parts, "root").withColumn("own", F.pmod(F.xxhash64("name"), F.greatest("parts", F.lit(1))))
+    other = F.expr("if(parts > 1, filter(sequence(0L, parts - 1), x -> x <> own), array(own))")
+    dealt = own.withColumn("other", F.explode(other)).select("root", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "name", "held")
+    dealt = dealt.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q")
+    return components(dealt.mapInArrow(_confirmer(least), "a binary, b binary"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(a, b): every linked node a but the least of its component, and that least one, b."""
     links, before = written(links.where("a <> b").distinct(), "op6-links"), None
@@ -237,18 +345,27 @@ def components(links: DataFrame) -> DataFrame:
         links = written(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "op6-links")
 
 
-def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, words: int = WORDS, radius: int = RADIUS, tables: list[list[int]] | None = None) -> DataFrame:
-    """A row for each row of df: id_col, fingerprint (hexadecimal), component_id (the least id of its group)."""
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, words: int = WORDS, radius: int = RADIUS, tables: list[list[int]] | None = None, alike: float | None = None) -> DataFrame:
+    """A row for each row of df: id_col, fingerprint (hexadecimal), component_id (the least id of its group).
+
+    alike: the share of their distinct shingles that two texts must have in common for a link."""
     tables = tables or pigeonhole(bits, radius)
-    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), text_of(df, text_col).alias("t"))
-    docs = written(docs.mapInArrow(_fingerprints(bits, words), "doc long, fp binary"), "op6-fingerprints")
+    texts = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), text_of(df, text_col).alias("t"))
+    if alike is None:
+        docs = written(texts.mapInArrow(_fingerprints(bits, words), "doc long, fp binary"), "op6-fingerprints")
+    else:
+        docs = written(texts.mapInArrow(_set_fingerprints(bits, words), "doc long, fp binary, name binary"), "op6-fingerprints")
     distinct = docs.groupBy("fp").agg(F.min("doc").alias("least"))
     dealt = distinct.select("fp").mapInArrow(_buckets(tables, bits), "table int, key long, fp binary").repartition("table", "key").sortWithinPartitions("table", "key")
-    stars = components(dealt.mapInArrow(_linker(radius), "a binary, b binary"))
-    member = distinct.join(stars.withColumnRenamed("a", "fp"), "fp", "left").select("fp", "least", F.coalesce("b", "fp").alias("root"))
+    stars, node = components(dealt.mapInArrow(_linker(radius), "a binary, b binary")), "fp"
+    if alike is not None:
+        distinct, node = docs.groupBy("name", "fp").agg(F.min("doc").alias("least")), "name"
+        member = distinct.join(stars.withColumnRenamed("a", "fp"), "fp", "left").select("name", F.col("least").alias("doc"), F.coalesce("b", "fp").alias("root"))
+        stars = confirmed(texts, member, words, alike)
+    member = distinct.join(stars.withColumnRenamed("a", node), node, "left").select(node, "least", F.coalesce("b", node).alias("root"))
     ids = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = member.join(ids, "root").select("fp", "component_id")
-    return docs.join(named, "fp").select(F.col("doc").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    named = member.join(ids, "root").select(node, "component_id")
+    return docs.join(named, node).select(F.col("doc").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 
 import corpus_pipeline
+from formloom.llm import op6_simhash
 from formloom.llm._shared import new_folder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -45,3 +46,40 @@ def test_tables_are_dropped(spark):
     drop_tables(spark)
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/formloom")
     assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def _edited(text, places):
+    words = text.split()
+    for k in places:
+        words[k] = f"edit{k}"
+    return " ".join(words)
+
+
+def _texts(spark, texts):
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def _alike(a, b):
+    a, b = (set(zip(*(t.lower().split()[i:] for i in range(5)), strict=False)) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_texts_below_the_similarity_stay(spark, folder):
+    texts = []
+    for k in range(30):
+        base = " ".join(f"w{k}x{i}" for i in range(404))
+        texts += [base, _edited(base, range(5, 404, 36))]
+    assert all(0.7 < _alike(a, b) < 0.8 for a, b in zip(texts[::2], texts[1::2], strict=True))
+    passage = " ".join(f"again{i}" for i in range(20))
+    texts += [" ".join([passage] * 30 + [f"t{k}x{i}" for i in range(60)]) for k in range(4)]
+    assert corpus_pipeline.near_dedup(spark, _texts(spark, texts), folder).count() == len(texts)
+
+
+def test_links_of_a_split_component(spark):
+    base = " ".join(f"w{i}" for i in range(204))
+    texts = [_edited(base, [7 * k + 3 for k in range(j, j + 2)]) for j in range(12)] + [_edited(base, range(3, 204, 20))]
+    rows = spark.createDataFrame([(i, t, bytes([i]), b"r") for i, t in enumerate(texts)], "doc long, t string, name binary, root binary")
+    for block in (1 << 21, 500):
+        found = op6_simhash.confirmed(rows.select("doc", "t"), rows.select("name", "doc", "root"), 5, 0.8, block).collect()
+        assert sorted((r.a[0], r.b[0]) for r in found) == [(i, 0) for i in range(1, 12)]
