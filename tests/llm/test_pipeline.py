@@ -1,5 +1,6 @@
 """The pipeline's stages on their own and together."""
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -83,3 +84,29 @@ def test_links_of_a_split_component(spark):
     for block in (1 << 21, 500):
         found = op6_simhash.confirmed(rows.select("doc", "t"), rows.select("name", "doc", "root"), 5, 0.8, block).collect()
         assert sorted((r.a[0], r.b[0]) for r in found) == [(i, 0) for i in range(1, 12)]
+
+
+def test_near_texts_just_above_the_similarity_go(spark, folder):
+    texts = []
+    for k in range(100):
+        base = " ".join(f"u{k}x{i}" for i in range(229))
+        texts += [base, _edited(base, range(5, 229, 46))]
+    assert all(0.8 <= _alike(a, b) < 0.81 for a, b in zip(texts[::2], texts[1::2], strict=True))
+    assert corpus_pipeline.near_dedup(spark, _texts(spark, texts), folder).count() == len(texts) // 2
+
+
+def test_links_by_similarity_are_all_that_there_are():
+    draw = np.random.default_rng(5)
+    sets = []
+    for _ in range(12):
+        base = draw.choice(400, 40, replace=False)
+        sets += [np.unique(np.concatenate([base[: 40 - n], draw.choice(400, n)])).astype(np.uint64) for n in (0, 2, 4, 6, 8)]
+    sets.append(np.empty(0, np.uint64))
+    want = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(np.intersect1d(a, b))
+            if both and both / (len(a) + len(b) - both) >= 0.8:
+                old, new = max(want[i], want[j]), min(want[i], want[j])
+                want = [new if w == old else w for w in want]
+    assert op6_simhash.alike_roots(sets, 0.8).tolist() == want and len(set(want)) < len(sets) - 12
