@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -40,10 +42,26 @@ def child_meshes(points: DataFrame, faces: DataFrame, assignment: DataFrame, cen
     return own, out.select("specimen_id", "cluster_id", "face_id", *[F.col(f"n{k}").alias(f"v{k}") for k in range(3)])
 
 
-def kmeans_colors(colors: DataFrame, k: int = 5, restarts: int = 3, iterations: int = 25, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+def _round(centres: dict[int, np.ndarray]):
+    """Colours (r, g, b, n) to a row for each start's cluster: the sums of its colours, their number and their cost."""
+
+    def made(batches):
+        for b in batches:
+            c, n = b[["r", "g", "b"]].to_numpy(float), b["n"].to_numpy(np.int64)
+            for start, m in centres.items():
+                d2 = np.stack([((c[:, 0] - x[0]) ** 2 + (c[:, 1] - x[1]) ** 2) + (c[:, 2] - x[2]) ** 2 for x in m])
+                at = d2.argmin(0)
+                part = pd.DataFrame({"cluster_id": at, "n": n, "cost": d2.min(0) * n} | {k: c[:, i] * n for i, k in enumerate("rgb")})
+                yield part.groupby("cluster_id", as_index=False).sum().assign(start=start)[["start", "cluster_id", "r", "g", "b", "n", "cost"]]
+
+    return made
+
+
+def kmeans_colors(colors: DataFrame, k: int = 5, restarts: int = 15, iterations: int = 300, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(assignment, centroids): clusters of colours by Lloyd's rounds, the best of some seeded starts.
 
-    Only distinct colours with their counts are clustered, of which there are 256**3 at most; a round is one aggregation.
+    Only distinct colours with their counts are clustered, of which there are 256**3 at most; a round is one aggregation
+    for all starts that haven't settled, and a warning tells if some haven't after all rounds.
     Clusters are numbered by their centroids' colours.
     """
     if not 1 <= k <= 15:
@@ -57,23 +75,27 @@ def kmeans_colors(colors: DataFrame, k: int = 5, restarts: int = 3, iterations:
         best = F.array_min(F.array(*[F.struct(d.alias("d2"), F.lit(i).alias("cluster_id")) for i, d in enumerate(d2)]))
         return best
 
-    found = (np.inf, [])
+    centres, costs = {}, {}
     for start in range(max(1, restarts)):
         rows = distinct.orderBy(F.xxhash64("r", "g", "b", F.lit(seed + start)), "r", "g", "b").limit(k).collect()
-        centres, cost = [(r.r, r.g, r.b) for r in rows], np.inf
-        for _ in range(iterations if centres else 0):
-            at = distinct.withColumn("best", nearest(centres))
-            sums = at.groupBy("best.cluster_id").agg(*[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in "rgb"], F.sum(F.col("best.d2") * F.col("n")).alias("cost")).collect()
-            new = list(centres)
-            for r in sums:
-                new[r.cluster_id] = (r.r, r.g, r.b)
-            now = sum(r.cost for r in sums)
-            done, centres, cost = np.allclose(new, centres, atol=1e-9), new, now
-            if done:
-                break
-        if centres and cost < found[0]:
-            found = (cost, centres)
-    centres = sorted(found[1])
+        if rows:
+            centres[start] = np.array([(r.r, r.g, r.b) for r in rows], float)
+    moving = dict(centres)
+    for _ in range(iterations):
+        if not moving:
+            break
+        parts = distinct.mapInPandas(_round(moving), "start int, cluster_id int, r double, g double, b double, n long, cost double")
+        sums = parts.groupBy("start", "cluster_id").agg(*[(F.sum(c) / F.sum("n")).alias(c) for c in "rgb"], F.sum("cost").alias("cost")).collect()
+        new, now = {s: m.copy() for s, m in moving.items()}, dict.fromkeys(moving, 0.0)
+        for r in sorted(sums, key=lambda r: (r.start, r.cluster_id)):
+            new[r.start][r.cluster_id] = (r.r, r.g, r.b)
+            now[r.start] += r.cost
+        centres, costs = centres | new, costs | now
+        moving = {s: m for s, m in new.items() if not np.allclose(m, moving[s], rtol=0, atol=1e-9)}
+    if moving:
+        warnings.warn(f"{len(moving)} of {len(centres)} starts haven't settled in {iterations} rounds", stacklevel=2)
+    best = min(costs, key=lambda s: (costs[s], s), default=None)
+    centres = sorted(map(tuple, centres[best].tolist())) if best is not None else []
     table = spark.createDataFrame([(i, *map(float, m)) for i, m in enumerate(centres)], "cluster_id int, r double, g double, b double")
     keys = [c for c in colors.columns if c not in "rgb"]
     return known.withColumn("cluster_id", nearest(centres)["cluster_id"] if centres else F.lit(None).cast("int")).select(*keys, "cluster_id"), table

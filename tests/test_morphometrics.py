@@ -241,3 +241,14 @@ def test_ids_of_files(spark):
     assert [r[0] for r in df.select(specimen_id(F.col("path"))).collect()] == ["fish_1", "fish.2", "fish_align", "skull"]
     with pytest.raises(ValueError, match="missing"):
         require(df, "path", "x")
+
+
+def test_kmeans_is_settled_and_best_of_fifteen(spark):
+    draw = np.random.default_rng(3)
+    c = draw.integers(0, 256, (3000, 3))
+    at, centres = segment.kmeans_colors(spark.createDataFrame([("s", i, *map(int, x)) for i, x in enumerate(c)], "specimen_id string, point_id int, r int, g int, b int"), 8)
+    m = np.array([(r.r, r.g, r.b) for r in centres.orderBy("cluster_id").collect()])
+    own = np.array([r.cluster_id for r in at.orderBy("point_id").collect()])
+    assert np.allclose([c[own == k].mean(0) for k in range(8)], m, atol=1e-6)
+    with pytest.warns(UserWarning, match="settled"):
+        segment.kmeans_colors(spark.createDataFrame([("s", i, *map(int, x)) for i, x in enumerate(c)], "specimen_id string, point_id int, r int, g int, b int"), 8, 2, 2)
