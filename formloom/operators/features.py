@@ -63,8 +63,10 @@ def select_result(results: DataFrame, name: str) -> DataFrame:
     return results.where(F.col("name") == name).select("point_id", "value")
 
 
-def wide(results: DataFrame, names: list[str]) -> DataFrame:
-    """A column for each of the names, for exports."""
+def wide(results: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """A column for each of the names, or of all names, for exports."""
+    if names is None:
+        names = sorted(r.name for r in result_names(results).where("name is not null").collect())
     return results.groupBy("point_id").pivot("name", names).agg(F.first("value"))
 
 

@@ -60,6 +60,12 @@ def _pivot(spark, d):
     return wide.select(F.col("point_id").cast("long").alias("point_id"), *[_r(f"`{a}`").alias(b) for a, b in (("Magnitude Mean", "magnitude_mean"), ("Magnitude SD", "magnitude_sd"), ("0", "specimen_0"), ("1", "specimen_1"))])
 
 
+def _pivot_all(spark, d):
+    """The whole export: the long results' names are the columns, one for each specimen beside mean and deviation."""
+    wide = features.wide(features.point_results(_magnitudes(spark, d)))
+    return wide.select(F.col("point_id").cast("long").alias("point_id"), *[_r(F.col(f"`{c}`")).alias(c) for c in wide.columns if c != "point_id"])
+
+
 def _kept(spark, d):
     return segment.faces_within(views.faces(spark, d), views.assignment(spark, d))
 
@@ -233,6 +239,7 @@ REGISTERED: dict[str, tuple[Callable, str | None]] = {
         _pivot,
         _sql(f"{_P}, {_f(f'avg({_DIST})', 'magnitude_mean')}, {_f(f'stddev_pop({_DIST})', 'magnitude_sd')}, {_f(f'max({_DIST}) filter (s = 0)', 'specimen_0')}, {_f(f'max({_DIST}) filter (s = 1)', 'specimen_1')}", "pt join atlas using (pid) group by pid"),
     ),
+    "pivot_magnitudes_all": (_pivot_all, None),
     "result_names": (
         lambda s, d: features.result_names(features.point_results(_magnitudes(s, d))),
         _sql("distinct name", "(select cast(s as varchar) as name from pt union all select 'Magnitude Mean' union all select 'Magnitude SD')"),

@@ -32,3 +32,12 @@ def test_contract():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_pivot_has_all_specimens(spark, sf):
+    got = registry.queries()["pivot_magnitudes_all"](spark, sf).toPandas()
+    long = registry.queries()["shape_magnitude_long"](spark, sf).toPandas()
+    names = sorted(map(str, long.specimen_id.unique()))
+    assert len(names) > 2 and sorted(got.columns) == sorted(["point_id", "Magnitude Mean", "Magnitude SD", *names])
+    for s, own in long.groupby("specimen_id"):
+        assert dict(zip(own.point_id, own.distance, strict=True)) == dict(zip(got.point_id, got[str(s)], strict=True))
