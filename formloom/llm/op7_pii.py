@@ -31,7 +31,7 @@ PATTERNS = {
     "iban": (r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", 0.9, "iban|account|bank|transfer"),
     "local_phone": (r"[0-9]{3}[ -]?[0-9]{3}", r"(?<![0-9+.)-])\(?[0-9]{3,5}\)?[ -][0-9]{3,4}[ -]?[0-9]{3,4}(?![0-9.-])", 0.3, "phone|tel|call|fax|mobile|dial"),
 }
-#: What a word nearby adds to a score, the characters in front of a span that are near it, and the score from which an added span stays.
+#: What a word nearby adds to a score, the characters in front of a span and behind it that are near it, and the score from which an added span stays.
 CONTEXT_SCORE, CONTEXT_CHARS, ADDED_FROM = 0.3, 40, 0.6
 
 
@@ -69,7 +69,8 @@ def _spans(kind: str) -> Column:
     ).replace(f"split(t, {p}, -1) as gap, regexp_extract_all(t, {p}, 0) as m", f"split(t, {p}, -1), regexp_extract_all(t, {p}, 0)")
     placed = placed.replace("x.gap", "x['0']").replace("x.m", "x['1']")
     valid = f"filter({placed}, s -> exists(array(s.text), m -> {_VALID[kind]}))"
-    near = f"lower(substring(t, greatest(s.start - {CONTEXT_CHARS}, 0) + 1, least(s.start, {CONTEXT_CHARS}))) rlike {_sql(f'(?:{words})')}"
+    before = f"substring(t, greatest(s.start - {CONTEXT_CHARS}, 0) + 1, least(s.start, {CONTEXT_CHARS}))"
+    near = " or ".join(f"lower({part}) rlike {_sql(f'(?:{words})')}" for part in (before, f"substring(t, s.end + 1, {CONTEXT_CHARS})"))
     scored = f"transform({valid}, s -> named_struct('kind', '{kind}', 'start', s.start, 'end', s.end, 'text', s.text, 'score', {score}D + if({near}, least({CONTEXT_SCORE}D, 1D - {score}D), 0D)))"
     if kind not in BASE:
         scored = f"filter({scored}, s -> s.score >= {ADDED_FROM}D)"

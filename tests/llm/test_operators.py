@@ -385,3 +385,11 @@ def test_op5_query_edits(spark):
         c = len(t) // 3
         assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256((t[: len(t) - c] + n[:c]).encode()).hexdigest()
     assert zlib.crc32(b"") == 0
+
+
+def test_context_behind_a_span(spark):
+    rows = [(1, "020 7946 0958 (tel)"), (2, "020 7946 0958" + " " * 37 + "tel"), (3, "020 7946 0958" + " " * 38 + "tel"), (4, "020 7946 0958"), (5, "🙂 020 7946 0958 is my phone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end, s.score) for s in r.spans] for r in op7_pii.find(df).collect()}
+    assert got == {1: [("local_phone", 0, 13, 0.6)], 2: [("local_phone", 0, 13, 0.6)], 3: [], 4: [], 5: [("local_phone", 2, 15, 0.6)]}
+    assert {r.doc_id: r.text for r in op7_pii.redact(df).collect()}[1] == "[LOCAL_PHONE] (tel)"
