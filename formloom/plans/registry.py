@@ -70,6 +70,11 @@ def _kept(spark, d):
     return segment.faces_within(views.faces(spark, d), views.assignment(spark, d))
 
 
+def _kept_once(spark, d):
+    """The kept faces of all specimens, each once, as the SQL's `kept` has them."""
+    return _kept(spark, d).select("face_id", "v0", "v1", "v2", "cluster_id").distinct()
+
+
 def _affine(spark, d):
     """A turn by 90 degrees about z, twice the size, and a shift."""
     s = views.points(spark, d).select("specimen_id").distinct()
@@ -220,11 +225,11 @@ REGISTERED: dict[str, tuple[Callable, str | None]] = {
         _sql(f"{_S}, cast(pid / 2 as bigint) as lm_id, cast(cast(pid / 2 as bigint) as varchar) as label, " + ", ".join(_f(c, c) for c in _XYZ), "lm where pid % 2 = 0"),
     ),
     "cluster_faces": (
-        lambda s, d: _kept(s, d).where("specimen_id = 0").groupBy("cluster_id").agg(F.count("*").alias("n_faces")),
+        lambda s, d: _kept_once(s, d).groupBy("cluster_id").agg(F.count("*").alias("n_faces")),
         _sql("cast(c as bigint) as cluster_id, count(*) as n_faces", "kept group by c"),
     ),
     "cluster_reindex": (
-        lambda s, d: segment.reindex(_kept(s, d).where("specimen_id = 0"), first=1).select(*[F.col(c).cast("long").alias(c) for c in ("cluster_id", "point_id", "new_id")]),
+        lambda s, d: segment.reindex(_kept_once(s, d).withColumn("specimen_id", F.lit(0)), first=1).select(*[F.col(c).cast("long").alias(c) for c in ("cluster_id", "point_id", "new_id")]),
         _sql("cast(c as bigint) as cluster_id, cast(vid as bigint) as point_id, row_number() over (partition by c order by vid) as new_id", "vert"),
     ),
     "child_mesh_points": (

@@ -41,3 +41,11 @@ def test_pivot_has_all_specimens(spark, sf):
     assert len(names) > 2 and sorted(got.columns) == sorted(["point_id", "Magnitude Mean", "Magnitude SD", *names])
     for s, own in long.groupby("specimen_id"):
         assert dict(zip(own.point_id, own.distance, strict=True)) == dict(zip(got.point_id, got[str(s)], strict=True))
+
+
+@pytest.mark.parametrize("name", ["cluster_faces", "cluster_reindex"])
+def test_clusters_without_a_label_0(spark, sf, tmp_path, name):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    e.withColumn("label", (e.label + 3).cast(e.schema["label"].dataType)).write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = registry.queries()[name](spark, sf).collect()
+    assert want and sorted(registry.queries()[name](spark, str(tmp_path)).collect()) == sorted(want)
