@@ -30,9 +30,11 @@ CHUNK = re.compile(
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset in local mode (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset; it must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="formloom-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = "file://" + own
@@ -40,13 +42,18 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_folder(spark)}/formloom/{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/formloom/{name}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def drop_tables(spark: SparkSession) -> None:
-    """Deletes the tables that operators have written; for the end of a job, when all results have been stored."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/formloom")
+    """Deletes the tables that this application's operators have written; for the end of a job, when all results have been stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -57,6 +64,49 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread_join(many: DataFrame, few: DataFrame, key: str, by: str, salts: int = 32, how: str = "inner") -> DataFrame:
+    """many joined with few on `key`, of which few has one row each; rows of one key are dealt to `salts` parts by the column `by`."""
+    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(salted, [key, "_salt"], how).drop("_salt")
+
+
+def held_out(id_col: str = "doc_id"):
+    """Rows whose labels are never learnt; a null id isn't one of them, and meets no label."""
+    return F.coalesce(F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string")), F.lit(3)) == 1, F.lit(False))
+
+
+def bounded_sample(rows_: DataFrame, ids: DataFrame, most_chars: int, name: str) -> list:
+    """The rows (i, t, ...) of ids (i, ...), one for each id (the least), as the driver may hold them.
+
+    ids must be few. In the order of their ids' hashes, rows are taken that still fit into most_chars characters of t in all.
+    """
+    more = [c for c in rows_.columns if c != "i"]
+    own = [c for c in ids.columns if c != "i"]
+    one = rows_.join(F.broadcast(ids), "i").groupBy("i", *own).agg(F.min(F.struct("t", *[c for c in more if c != "t"])).alias("r"))
+    one = written(one.select("i", *own, "r.*"), name)
+    left, taken = most_chars, []
+    for r in one.select("i", F.length("t").alias("n")).orderBy(F.xxhash64("i"), "i").collect():
+        if r["n"] <= left:
+            left -= r["n"]
+            taken.append(r["i"])
+    return one.where(F.col("i").isin(taken)).collect() if taken else []
+
+
+_BLANK = re.compile(r"\s")
+
+
+def parts_of(text: str, size: int = 1 << 20) -> Iterator[str]:
+    """A text in parts of about so many characters, cut before white space."""
+    begin = 0
+    while len(text) - begin > size:
+        found = _BLANK.search(text, begin + size)
+        if not found:
+            break
+        yield text[begin : found.start()]
+        begin = found.start()
+    yield text[begin:] if begin else text
+
+
 def text_of(df: DataFrame, text_col: str):
     return F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
 
@@ -71,6 +121,16 @@ def tokenizer_json(name_or_path: str) -> str:
         return f.read()
 
 
+def in_id_order(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) in ranges of ascending ids, null first; rows that share an id are ordered by their texts.
+
+    An id that very many rows have, or lack, is spread by its texts' hashes and their places in the input. Rows that
+    are equal in both columns may change places, which nothing can tell.
+    """
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_at"))
+    return keyed.repartitionByRange("doc_id", "_h", "_at").sortWithinPartitions("doc_id", "_h", "text").select("doc_id", "text")
+
+
 @functools.lru_cache(maxsize=4)
 def tokenizer(content: str):
     """One tokenizer a worker. Truncation and padding are off."""
@@ -88,6 +148,10 @@ _UNUSUAL = re.compile(r"<\||[^\t\n\r -~À-ÖØ-öø-ÿ¡¿«»°§£€–—‘
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 _LOWER_PIECES = re.compile(rf"{_CONTRACTIONS}|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 _BYTE_PIECES = rf"{_CONTRACTIONS}| ?\p{{L}}+| ?\p{{N}}+| ?[^\s\p{{L}}\p{{N}}]+|\s+(?!\S)|\s+"
+#: The pattern for bytes looks back over every blank of a run, which its matcher can't do for very long ones. Such runs
+#: go to the tokenizer; a text that is shorter than this has none.
+_LONG_RUN = 10_000
+_BLANKS = re.compile(r"[\t\n\r ]{%d}" % _LONG_RUN)
 #: Stands for a word's end in byte pairs; texts that have it aren't usual ones.
 _END = "\x01"
 
@@ -155,7 +219,7 @@ class Coder:
         return tuple(parts) == merge
 
     def encode(self, text: str) -> np.ndarray:
-        if self.fast is None or _UNUSUAL.search(text):
+        if self.fast is None or _UNUSUAL.search(text) or (len(text) >= _LONG_RUN and _BLANKS.search(text)):
             words = CHUNK.findall(text)  # pieces of a very long text are encoded one by one
             return np.fromiter(itertools.chain.from_iterable(x.ids for x in tokenizer(self.content).encode_batch_fast(words, add_special_tokens=False)), np.int32)
         if self.suffix:

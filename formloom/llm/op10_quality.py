@@ -1,17 +1,17 @@
 """Quality by co-training of two views, in numpy.
 
-One classifier sees a document's content: its words and marks, hashed. The other sees the page it came as: language,
-source, length and layout (lines, blanks, digits, capitals, marks, repetition). Both are logistic regressions. Over some
+One classifier sees a document's content: its words and marks, hashed, and their shares and repetition. The other sees the page it came as: language,
+source, length and layout (lines and blanks), and none of its words. Both are logistic regressions. Over some
 rounds each labels the unlabelled documents of which it is most confident, as many of each label as that label's share
 asks for, and the other learns from them. Each view is then calibrated on labelled rows that it hasn't learnt from, and
 the calibrated logits are combined by one more regression into the score of every document.
 
 Fitting takes at most MOST_LABELLED labelled and MOST_UNLABELLED unlabelled rows, those whose ids' hashes are least, of
-at most MOST_CHARS characters; every document is scored, on its whole text.
+MOST_CHARS characters in all on each side; every document is scored, on its whole text.
 
 Defined results: a null or empty text has content without words and is scored like others; null metadata are a value of
 their own; repeated rows are scored each, null ids included; rows with a null label teach nothing, rows labelled twice
-their higher label; where the labels are all of one kind, every score is their mean (1 without labels: all are kept);
+their higher label, and of rows that share an id the least is learnt from; where the labels are all of one kind, every score is their mean (1 without labels: all are kept);
 an empty table gives an empty table; columns other than those named are never read.
 """
 
@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formloom.llm._shared import in_batches, rows, text_of
+from formloom.llm._shared import bounded_sample, held_out, in_batches, parts_of, rows, text_of
 
-MOST_LABELLED, MOST_UNLABELLED, MOST_CHARS = 3000, 2000, 16_000
-BUCKETS, ROUNDS, SHARE, STEPS, SEED = 4096, 4, 0.05, 250, 10
+MOST_LABELLED, MOST_UNLABELLED, MOST_CHARS = 3000, 2000, 32_000_000
+BUCKETS, STYLES, ROUNDS, SHARE, STEPS, SEED = 4096, 9, 4, 0.05, 250, 10
 KEEP_FROM = 0.5
+#: Features of a page: its numbers, and codes of language and source.
+PAGES = 6 + 16 + 48
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -43,40 +45,44 @@ class _Buckets(dict):
         return b
 
 
-def content(text: str, buckets: _Buckets) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text's words and marks, and their weights; the squares of the weights sum up to one."""
-    found = _TOKEN.findall(text.lower())
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.float32)
-    at, n = np.unique(np.fromiter(map(buckets.__getitem__, found), np.int64, len(found)), return_counts=True)
-    w = np.log1p(n).astype(np.float32)
-    return at, w / np.sqrt((w * w).sum())
+def content(texts: list[str], buckets: _Buckets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bucket, weight) of the texts' words and marks; the squares of a text's weights sum up to one."""
+    held = [np.empty((2, 0), np.int64)]
+    for k, text in enumerate(texts):
+        for part in parts_of(text):
+            found = _TOKEN.findall(part.lower())
+            at, n = np.unique(np.fromiter(map(buckets.__getitem__, found), np.int64, len(found)), return_counts=True)
+            held.append(np.stack([k * BUCKETS + at, n]))
+    place, n = np.concatenate(held, axis=1)
+    place, back = np.unique(place, return_inverse=True)
+    w = np.log1p(np.bincount(back, weights=n, minlength=len(place)))
+    row = place // BUCKETS
+    return row, place % BUCKETS, (w / np.sqrt(np.bincount(row, weights=w * w, minlength=len(texts)))[row]).astype(np.float32)
 
 
-def page(text: str, lang: str | None, source: str | None) -> np.ndarray:
+def style(text: str) -> np.ndarray:
+    """Shares of kinds of characters in a text, and how much of it is new."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    n, c, words, lines = max(1, len(raw)), np.bincount(raw, minlength=256), text.split(), text.split("\n")
+    many = max(1, len(words))
+    capitals, digits = c[65:91].sum(), c[48:58].sum()
+    letters, marks = capitals + c[97:123].sum() + c[128:].sum(), c[33:48].sum() + c[58:65].sum() + c[91:97].sum() + c[123:127].sum()
+    ends = c[46] + c[33] + c[63]
+    return np.array([letters / n, capitals / n, digits / n, marks / n, c[124] / many, ends / many, n / many, len(set(words)) / many, len(set(lines)) / len(lines)], np.float32)
+
+
+def page(text: str, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
     """Numbers and one-of-many codes of a page: its size, layout, language and source."""
     raw = np.frombuffer(text.encode(), np.uint8)
-    n = max(1, len(raw))
-    c = np.bincount(raw, minlength=256)
-    lines = text.split("\n")
-    words = text.split()
-    letters = c[65:91].sum() + c[97:123].sum() + c[128:].sum()
-    marks = c[33:48].sum() + c[58:65].sum() + c[91:97].sum() + c[123:127].sum()
+    n, breaks = max(1, len(raw)), np.flatnonzero(raw == 10)
+    lines = len(breaks) + 1
     numbers = [
-        np.log1p(len(raw)),
-        np.log1p(len(words)),
-        np.log1p(len(lines)),
-        np.log1p(n / len(lines)),
-        n / max(1, len(words)) / 10,
-        letters / n,
-        c[65:91].sum() / n * 10,
-        c[48:58].sum() / n * 10,
-        marks / n * 5,
-        c[32] / n * 4,
-        len(set(words)) / max(1, len(words)),
-        len(set(lines)) / len(lines),
-        (c[46] + c[33] + c[63]) / max(1, len(words)) * 10,
-        c[124] / max(1, len(words)) * 5,
+        np.log1p(max(0, n_chars or 0)),
+        float(n_chars is None),
+        np.log1p(lines),
+        np.log1p(n / lines),
+        np.count_nonzero(np.diff(breaks) == 1) / lines,
+        np.count_nonzero((raw == 32) | (raw == 9)) / n * 4,
     ]
     coded = np.zeros(64, np.float32)
     coded[zlib.crc32(f"lang={lang}".encode()) % 16] = 1
@@ -89,11 +95,12 @@ def _sigmoid(x):
 
 
 class Logistic:
-    """Logistic regression by Adam on standardised features, with weights decayed."""
+    """Logistic regression by Adam, with weights decayed. Features from `dense` on are standardised, those before are sparse."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, scale: bool, decay: float = 1e-3, steps: int = STEPS):
-        self.mean = x.mean(0) if scale else np.zeros(x.shape[1], np.float32)
-        self.sd = x.std(0) + 1e-2 if scale else np.full(x.shape[1], 1 / 8, np.float32)
+    def __init__(self, x: np.ndarray, y: np.ndarray, dense: int = 0, decay: float = 1e-3, steps: int = STEPS):
+        self.mean = np.concatenate([np.zeros(dense, np.float32), x[:, dense:].mean(0)])
+        self.sd = np.concatenate([np.full(dense, 1 / 8, np.float32), x[:, dense:].std(0) + 1e-2])
+        self.dense = dense
         draw = np.random.default_rng(SEED)
         self.w, self.b = np.zeros(x.shape[1], np.float32), 0.0
         m, v, mb, vb = np.zeros_like(self.w), np.zeros_like(self.w), 0.0, 0.0
@@ -111,9 +118,10 @@ class Logistic:
     def logit(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.mean) / self.sd) @ self.w + self.b
 
-    def sparse(self, at: np.ndarray, weight: np.ndarray) -> float:
-        """Of a row without means."""
-        return float((weight / self.sd[at]) @ self.w[at] + self.b)
+    def sparse(self, row: np.ndarray, at: np.ndarray, weight: np.ndarray, more: np.ndarray) -> np.ndarray:
+        """The logits of rows whose sparse features are given by place; more: the others."""
+        k = self.dense
+        return np.bincount(row, weights=weight / self.sd[at] * self.w[at], minlength=len(more)) + ((more - self.mean[k:]) / self.sd[k:]) @ self.w[k:] + self.b
 
 
 class Model:
@@ -122,10 +130,11 @@ class Model:
     def __init__(self, views: list[Logistic], calibration: list[tuple[float, float]], join: Logistic):
         self.views, self.calibration, self.join = views, calibration, join
 
-    def score(self, text: str, lang, source, buckets: _Buckets) -> tuple[float, float, float]:
-        raw = (self.views[0].sparse(*content(text, buckets)), float(self.views[1].logit(page(text, lang, source)[None])[0]))
-        own = [a * x + b for (a, b), x in zip(self.calibration, raw, strict=True)]
-        return float(_sigmoid(own[0])), float(_sigmoid(own[1])), float(_sigmoid(self.join.logit(np.array([own], np.float32))[0]))
+    def score(self, pages: list[tuple], buckets: _Buckets) -> np.ndarray:
+        """The two views' scores and the joint one, for each (text, lang, source, n_chars)."""
+        raw = (self.views[0].sparse(*content([r[0] for r in pages], buckets), np.array([style(r[0]) for r in pages])), self.views[1].logit(np.array([page(*r) for r in pages], np.float32)))
+        own = np.stack([a * x + b for (a, b), x in zip(self.calibration, raw, strict=True)], axis=1)
+        return np.column_stack([_sigmoid(own), _sigmoid(self.join.logit(own.astype(np.float32)))])
 
 
 def _platt(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -143,17 +152,18 @@ def _platt(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(labelled: list[tuple], unlabelled: list[tuple], rounds: int = ROUNDS, share: float = SHARE) -> Model:
-    """labelled: (text, lang, source, label); unlabelled: (text, lang, source). Every fourth labelled row calibrates."""
+    """labelled: (text, lang, source, n_chars, label); unlabelled: without label. Every fourth labelled row calibrates."""
     buckets = _Buckets()
 
     def views(found: list[tuple]) -> list[np.ndarray]:
-        x = np.zeros((len(found), BUCKETS), np.float32)
+        x = np.zeros((len(found), BUCKETS + STYLES), np.float32)
+        row, at, w = content([r[0] for r in found], buckets)
+        x[row, at] = w
         for i, r in enumerate(found):
-            at, w = content(r[0], buckets)
-            x[i, at] = w
-        return [x, np.array([page(*r[:3]) for r in found], np.float32).reshape(len(found), -1)]
+            x[i, BUCKETS:] = style(r[0])
+        return [x, np.array([page(*r[:4]) for r in found], np.float32).reshape(-1, PAGES)]
 
-    y = np.array([r[3] for r in labelled], np.float32)
+    y = np.array([r[4] for r in labelled], np.float32)
     calibrates = np.arange(len(y)) % 4 == 3
     for side in (calibrates, ~calibrates):
         if len(set(y[side])) < 2:  # too few to set rows apart
@@ -164,7 +174,7 @@ def fit(labelled: list[tuple], unlabelled: list[tuple], rounds: int = ROUNDS, sh
     free = [np.ones(len(unlabelled), bool) for _ in x]
     rate = float(y.mean())
     for n in range(rounds + 1):
-        made = [Logistic(*learn[k], scale=k == 1) for k in range(2)]
+        made = [Logistic(*learn[k], dense=(BUCKETS, 0)[k]) for k in range(2)]
         if n == rounds or not len(unlabelled):
             break
         for k in range(2):  # what view k is sure of, the other learns
@@ -180,46 +190,55 @@ def fit(labelled: list[tuple], unlabelled: list[tuple], rounds: int = ROUNDS, sh
     logits = [made[k].logit(x[k][judge]) for k in range(2)]
     calibration = [_platt(v, y[judge]) for v in logits]
     both = np.stack([a * v + b for (a, b), v in zip(calibration, logits, strict=True)], axis=1).astype(np.float32)
-    return Model(made, calibration, Logistic(both, y[judge], scale=True))
+    return Model(made, calibration, Logistic(both, y[judge]))
 
 
 def _scoring(model: Model):
     schema = pa.schema([("i", pa.int64()), ("text_score", pa.float64()), ("page_score", pa.float64()), ("score", pa.float64())])
 
     def made(batches):
-        buckets = _Buckets()
-        for i, text, lang, source in rows(batches):
-            yield i, *model.score(text, lang, source, buckets)
+        buckets, held, size = _Buckets(), [], 0
 
-    return lambda batches: in_batches(made(batches), schema, lambda r: 64)
+        def out():
+            return ((i, *made) for (i, *_), made in zip(held, model.score([r[1:] for r in held], buckets).tolist(), strict=True))
 
+        for r in rows(batches):
+            held.append(r)
+            size += len(r[1])
+            if size >= 1 << 18:
+                yield from out()
+                held, size = [], 0
+        if held:
+            yield from out()
 
-def held_out(id_col: str = "doc_id"):
-    """Rows whose labels are never learnt; a null id isn't one of them, and meets no label."""
-    return F.coalesce(F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string")), F.lit(3)) == 1, F.lit(False))
+    return lambda batches: in_batches(made(batches), schema, lambda r: 64)
 
 
-def _seen(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    return df.select(F.col(f"`{id_col}`").cast("long").alias("i"), text_of(df, text_col).alias("t"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{source_col}`").cast("string").alias("source"))
+def _seen(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, chars_col: str) -> DataFrame:
+    own = {"i": (id_col, "long"), "lang": (lang_col, "string"), "source": (source_col, "string"), "n_chars": (chars_col, "long")}
+    named = {n: F.col(f"`{c}`").cast(t).alias(n) for n, (c, t) in own.items()}
+    return df.select(named["i"], text_of(df, text_col).alias("t"), named["lang"], named["source"], named["n_chars"])
 
 
-def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality") -> Model | float:
+def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", chars_col: str = "n_chars", label_col: str = "quality") -> Model | float:
     """The model from bounded samples; the labels' mean if they are all of one kind, 1 if there are none."""
     known = labels.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{label_col}`").alias("label")).where("label is not null and i is not null").groupBy("i").agg(F.max("label").alias("label"))
     some = known.where(~held_out("i")).orderBy(F.xxhash64("i"), "i").limit(MOST_LABELLED)
-    texts = _seen(df, id_col, text_col, lang_col, source_col).where(F.length("t") <= MOST_CHARS)
-    found = sorted(((r["i"], r["t"], r["lang"], r["source"], int(r["label"])) for r in texts.join(F.broadcast(some), "i").collect()), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1]))
-    kinds = {r[4] for r in found}
+    seen = _seen(df, id_col, text_col, lang_col, source_col, chars_col)
+    pages = lambda found: sorted(((r["i"], r["t"], r["lang"], r["source"], r["n_chars"]) for r in found), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
+    taken = bounded_sample(seen, some, MOST_CHARS, "op10-labelled")
+    label = {r["i"]: int(r["label"]) for r in taken}
+    kinds = set(label.values())
     if len(kinds) < 2:
         return float(kinds.pop()) if kinds else 1.0
-    rest = df.select(F.col(f"`{id_col}`").cast("long").alias("i")).where("i is not null").join(known, "i", "left_anti").distinct().orderBy(F.xxhash64("i"), "i").limit(MOST_UNLABELLED)
-    free = sorted((r["i"], r["t"], r["lang"] or "", r["source"] or "") for r in texts.join(F.broadcast(rest), "i").collect())
-    return fit([r[1:] for r in found], [r[1:] for r in free])
+    rest = seen.select("i").where("i is not null").join(known, "i", "left_anti").distinct().orderBy(F.xxhash64("i"), "i").limit(MOST_UNLABELLED)
+    free = pages(bounded_sample(seen, rest, MOST_CHARS, "op10-unlabelled"))
+    return fit([(*r[1:], label[r[0]]) for r in pages(taken)], [r[1:] for r in free])
 
 
-def score(df: DataFrame, model: Model | float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def score(df: DataFrame, model: Model | float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
     """(id_col, text_score, page_score, score) for each row of df."""
-    seen = _seen(df, id_col, text_col, lang_col, source_col)
+    seen = _seen(df, id_col, text_col, lang_col, source_col, chars_col)
     if isinstance(model, float):
         return seen.select(F.col("i").alias(id_col), *[F.lit(model).alias(c) for c in ("text_score", "page_score", "score")])
     return seen.mapInArrow(_scoring(model), f"`{id_col}` long, text_score double, page_score double, score double")

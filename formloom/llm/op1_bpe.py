@@ -32,6 +32,13 @@ BYTE_BPE = "byte_bpe_50k.json"
 #: Characters in a block, and the least number of buckets into which its words are dealt.
 BLOCK_CHARS = 8 << 20
 BUCKETS = 64
+BUCKET_BYTES = 64 << 20
+
+
+def _bytes(df: DataFrame) -> int:
+    """What Spark takes for df's size; 0 where it has no figure."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
 
 
 class _Numbers(dict):
@@ -119,8 +126,11 @@ def _encoder(content: str) -> Callable:
 
     def made(batches):
         encode = coder(content).encode
-        table: dict[bytes, bytes] = {}  # the distinct words of this task's buckets
+        table: dict[bytes, bytes] = {}  # the distinct words of a bucket
+        last = None
         for bucket, block, words, lengths in rows(batches):
+            if bucket != last:
+                table, last = {}, bucket
             ends = np.cumsum(np.frombuffer(lengths, "<u4"), dtype=np.int64).tolist()
             own = [words[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             new = [w for w in own if w not in table]
@@ -163,13 +173,14 @@ def encode(df: DataFrame, tokenizer_file: str = BYTE_BPE, id_col: str = "doc_id"
     """(id_col, ids array<int>): each text's ids under the tokenizer of tokenizer_file, without added special tokens.
 
     The input is read twice and must give the same rows in the same order both times, as a scan of files does;
-    checksums of each block's words confirm it. buckets: packets of words that a block makes, by default as many as
-    there are shuffle partitions and BUCKETS at least; a task holds the distinct words of its buckets.
+    checksums of each block's words confirm it. buckets: packets of words that a block makes, by default one for each
+    BUCKET_BYTES of the input, as many as there are shuffle partitions at least, and never fewer than BUCKETS; a task holds
+    the distinct words of one bucket at a time.
     """
-    buckets = buckets or max(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or max(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), _bytes(df) // BUCKET_BYTES)
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), text_of(df, text_col).alias("text"))
     lists = docs.mapInArrow(_lists(block_chars, buckets), "bucket int, block long, words binary, lengths binary")
-    ids = lists.repartition("bucket").mapInArrow(_encoder(tokenizer_json(tokenizer_file)), "block long, bucket int, ids binary, lengths binary, n long, check long")
+    ids = lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encoder(tokenizer_json(tokenizer_file)), "block long, bucket int, ids binary, lengths binary, n long, check long")
     codes = docs.mapInArrow(_occurrences(block_chars, buckets), "block long, doc_ids array<long>, counts binary, codes binary, n_codes long, bucket binary, n_words long, checks long")
     schema, joined = _placed(id_col)
     return ids.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(joined, schema)

@@ -3,9 +3,11 @@
 Rows lie in ascending id order, across files and within them, so that the statistics of row groups and the page
 index let a reader of a few ids skip the rest. Ids are a list<int32> column with a dictionary (or, with
 encoding="delta", delta-packed pages); a document's own count and its place in its file are columns of their own,
-so that metadata is read without any token.
+so that metadata is read without any token. A small table beside the files, written with them, has each file's first and
+last id and the number of ids before it; a read of a few ids opens that and the pages of those ids.
 
-Defined results: a null or empty text has the end id alone; a null id sorts first; repeated rows are each written;
+Defined results: a null or empty text has the end id alone; a null id sorts first, and rows that share an
+id lie in the order of their texts; repeated rows are each written;
 an empty table gives an empty table; columns other than id and text are left behind.
 """
 
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from formloom.llm._shared import encoded, in_batches, new_folder, slices, text_of, tokenizer_json, written
+from formloom.llm._shared import encoded, in_batches, in_id_order, new_folder, slices, text_of, tokenizer_json
 
 WORD_BPE = "word_bpe_49k.json"
 END_ID = 1
@@ -45,14 +47,14 @@ def _tokens(content: str, end_id: int):
 
 
 def write_tokens(df: DataFrame, path: str, tokenizer_file: str = WORD_BPE, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, encoding: str = "dictionary") -> None:
-    """Encodes df and writes it to path: one file for each range of ids, `file` being the range's number.
+    """Encodes df and writes it to path: one file for each range of ids, `file` being the range's number; and path/_files.
 
     encoding: "dictionary", or "delta" for DELTA_BINARY_PACKED pages, which suit ids without frequent values.
     """
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"encoding is {encoding!r}; it must be 'dictionary' or 'delta'")
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(df, text_col).alias("text"))
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = in_id_order(docs)
     (
         ordered.mapInArrow(_tokens(tokenizer_json(tokenizer_file), end_id), _SCHEMA)
         .write.option("compression", "zstd")
@@ -63,30 +65,35 @@ def write_tokens(df: DataFrame, path: str, tokenizer_file: str = WORD_BPE, id_co
         .option("parquet.writer.version", "v1" if encoding == "dictionary" else "v2")
         .parquet(path)
     )
+    table = df.sparkSession.read.schema(_SCHEMA).parquet(path)
+    files = table.groupBy("file").agg(F.sum("n_tokens").alias("total"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    before = (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("before")
+    files.select("file", "first_id", "last_id", before).coalesce(1).write.parquet(f"{path}/_files")
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, file, start, n_tokens), without reading a token; start counts the ids of all rows before."""
-    return _started(spark, path, "doc_id", "n_tokens")
+    return _started(spark, path, None, None, "doc_id", "n_tokens")
 
 
 def read_tokens(spark: SparkSession, path: str, first_id: int | None = None, last_id: int | None = None) -> DataFrame:
-    """(doc_id, file, start, n_tokens, tokens) of the ids from first_id to last_id; other pages are skipped."""
-    found = _started(spark, path, "doc_id", "n_tokens", "tokens")
-    if first_id is not None:
-        found = found.where(F.col("doc_id") >= first_id)
-    return found if last_id is None else found.where(F.col("doc_id") <= last_id)
+    """(doc_id, file, start, n_tokens, tokens) of the ids from first_id to last_id; other files and pages are skipped."""
+    return _started(spark, path, first_id, last_id, "doc_id", "n_tokens", "tokens")
 
 
-def _started(spark: SparkSession, path: str, *columns: str) -> DataFrame:
-    """What is read, with start from the totals of the files before.
+def _started(spark: SparkSession, path: str, first_id: int | None, last_id: int | None, *columns: str) -> DataFrame:
+    """What is read, with start from the ids of the files before.
 
-    There is one total for each file, of a few bytes; up to MOST_BROADCAST of them go to the tokens, and not they to them.
+    There is one row for each file, of a few bytes; up to MOST_BROADCAST of them go to the tokens, and not they to them.
     """
+    files = spark.read.schema("file int, first_id long, last_id long, before long").parquet(f"{path}/_files")
     table = spark.read.schema(_SCHEMA).parquet(path)
-    totals = written(table.groupBy("file").agg(F.sum("n_tokens").alias("total")), "op3-totals")
-    before = totals.select("file", (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("before"))
-    before = F.broadcast(before) if totals.count() <= MOST_BROADCAST else before
+    if first_id is not None:
+        files, table = files.where(F.col("last_id") >= first_id), table.where(F.col("doc_id") >= first_id)
+    if last_id is not None:
+        files, table = files.where(F.col("first_id") <= last_id), table.where(F.col("doc_id") <= last_id)
+    before = files.select("file", "before")
+    before = F.broadcast(before) if before.count() <= MOST_BROADCAST else before
     return table.select("file", "file_start", *columns).join(before, "file").withColumn("start", F.col("before") + F.col("file_start")).drop("before", "file_start")
 
 

@@ -1,8 +1,8 @@
 """Packing documents into windows of fixed length, in order, by dynamic programming.
 
 A task holds a range of ids in ascending order and packs it as one stream of tokens. A window may end where a document
-ends, where a sentence ends, or, so that little is padded, at a point of a grid within a sentence. An end within a
-document costs a penalty, the more within a sentence; padding costs one for each token. For the ends t[0] < t[1] < ...
+ends, where a sentence ends, or, as texts without sentences need it, at a point of a grid within a sentence. An end within a
+document costs a penalty, within a sentence so high a one that it is the exception; padding costs one for each token. For the ends t[0] < t[1] < ...
 with penalties p, the least cost f of the stream up to t[j] is
 
     f[j] = min over i with t[j] - t[i] <= length of f[i] + (length - (t[j] - t[i])) + p[j],
@@ -12,7 +12,7 @@ in stretches; the last window of a stretch is carried into the next. At the end
 short of `length` is cut into windows of powers of two, which need no padding, where that costs less than padding it.
 
 Defined results: a null or empty text is the end id alone; a null id sorts first; rows that share an id are packed one
-after another, each with its own tokens from start 0; an empty table gives an empty table; a document longer than a
+after another in the order of their texts, each with its own tokens from start 0; an empty table gives an empty table; a document longer than a
 window is cut, and none of its tokens is lost; columns other than id and text are left behind.
 """
 
@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formloom.llm._shared import encoded, in_batches, slices, text_of, tokenizer_json
+from formloom.llm._shared import encoded, in_batches, in_id_order, slices, text_of, tokenizer_json
 
 BYTE_BPE = "byte_bpe_50k.json"
 LENGTH = 1024
 END_ID = 0
 #: Costs, in tokens of padding: a window's end at the end of a sentence, elsewhere in a document, and a window by itself.
 SENTENCE_PENALTY = 4
-WORD_PENALTY = 16
+WORD_PENALTY = 64
 WINDOW_COST = 16
 #: Tokens between the points within sentences, and tokens that are planned at a time.
 GRID = 16
@@ -158,7 +158,7 @@ def pack(df: DataFrame, tokenizer_file: str = BYTE_BPE, id_col: str = "doc_id",
     """A row for each piece of a document in a window: doc_id, start (its document's ids before it), length, doc_tokens,
     sequence_id (the window), offset (in the window, gapless from 0) and ids."""
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(df, text_col).alias("text"))
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = in_id_order(docs)
     return ordered.mapInArrow(_packing(tokenizer_json(tokenizer_file), length, end_id, grid, stretch), _PIECES)
 
 

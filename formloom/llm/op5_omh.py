@@ -1,16 +1,23 @@
 """Document fingerprints by Order MinHash, in DataFrame operations only.
 
-A text's k-mers are runs of k words, numbered by occurrence: the third "of the" is another element than the first. Elements
-fall into bins by their hash's first bits, and in each bin the least element by the rest of its hash is selected; an empty
-bin takes the next bin's. Each `tuple_size` bins in succession give a tuple: their elements in the order in which they stand
-in the text, hashed. The fingerprint is the row of these hashes; likeness is the share of places at which two agree. Moving
-or editing passages changes which elements are selected and in which order they stand, so likeness falls with edit distance.
+A text's k-mers are runs of k units, numbered by occurrence: the second "of the" is another element than the first. Units
+are words; a word of more than LONGEST characters, and a character of a script that sets no blanks, is cut into characters.
+For each of ORDERS orders of the elements the least `tuple_size` of them are selected, put in the order in which they stand
+in the text, and hashed. The fingerprint is the row of these hashes; likeness is the share of places at which two agree.
+Editing a passage changes which elements there are, and moving one the order in which they stand, so likeness falls with
+edit distance.
 
-Texts are dealt by their row's id once; numbering, selection and tuples follow in the same partitions.
+The orders are turns of one circle of hashes: in the i-th, elements are ordered from the circle's i-th mark on. Elements
+are sorted once, and the least of each order are the first ones after its mark.
+
+A row's fingerprint is worked out within the row, by functions of arrays: nothing is shuffled, and a text takes memory in
+proportion to its length.
 
 Defined results: a null or empty text, or one of white space, has the fingerprint of no element, which is like itself and
-nothing else; fewer words than k are one k-mer; rows are fingerprinted each for itself, with whatever ids they repeat or
-lack; an empty table gives an empty table; columns other than id and texts are left behind, and may have any names.
+nothing else; fewer units than k are one k-mer, and fewer elements than a tuple has are taken again; more units than
+MOST_UNITS, which would take gigabytes for one row, are an error and never cut off; rows are fingerprinted
+each for itself, with whatever ids they repeat or lack; an empty table gives an empty table; columns other than id and
+texts are left behind, and may have any names.
 """
 
 from __future__ import annotations
@@ -23,80 +30,80 @@ from pyspark.sql import functions as F
 from formloom.llm._shared import text_of, written
 
 K = 2
-BIN_BITS = 6
-BINS = 1 << BIN_BITS
+ORDER_BITS = 6
+ORDERS = 1 << ORDER_BITS
 TUPLE = 2
-#: A selected element is one number: some bits of its hash, and below them its place in the text.
-HASH_BITS, PLACE_BITS = 36, 27
+#: Hexadecimal digits of a tuple's hash in the fingerprint.
+DIGITS = 8
+#: Characters of the longest word that is one unit.
+LONGEST = 24
+#: Bits of an element's place in the text; above them stands its hash. No Spark row holds a text of so many units with their array.
+PLACE_BITS = 27
+MOST_UNITS = 1 << PLACE_BITS
+_HASH, _PLACE = f"{-MOST_UNITS}L", f"{MOST_UNITS - 1}L"
 #: Partitions of the texts for each shuffle partition of the session, as a text takes more room in k-mers.
 SPREAD = 4
-
-
-def _words(text: Column) -> Column:
-    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
-
-
-def _runs(words: str, k: int) -> Column:
-    """The runs of k words in the order of the text; a text of fewer words is one run, with nulls for what it lacks."""
-    n = F.greatest(F.size(words) - (k - 1), F.lit(1))
-    return F.arrays_zip(*[F.slice(words, i + 1, n) for i in range(k)])
-
-
-def _fingerprint(chosen: str, size: int) -> Column:
-    """From an array of (bin, least), by bin: each tuple's elements by place, hashed, as four hexadecimal digits."""
-    filled = (
-        f"concat(flatten(transform({chosen}, (e, k) -> array_repeat(e.least, e.bin - if(k = 0, -1, {chosen}[k - 1].bin)))),"
-        f" array_repeat({chosen}[0].least, {BINS - 1} - element_at({chosen}, -1).bin))"
-    )
-    place, element = f"(1L << {PLACE_BITS}) - 1", f"(1L << {HASH_BITS}) - 1"
-    by_place = f"array_sort(transform(sequence(0, {size - 1}), s -> shiftleft(get(f, (i + s) % {BINS}) & ({place}), {HASH_BITS}) | shiftrightunsigned(get(f, (i + s) % {BINS}), {PLACE_BITS})))"
-    folded = f"aggregate({by_place}, 0L, (h, x) -> xxhash64(h, x & ({element})))"
-    digits = f"lpad(lower(hex({folded} & 65535L)), 4, '0')"
-    row = f"array_join(transform(sequence(0, {BINS - 1}), i -> {digits}), '')"
-    # the filled bins are named by a lambda of their own, so that they are worked out once
-    return F.expr(f"if(size({chosen}) > 0, transform(array({filled}), f -> {row})[0], repeat('0', {4 * BINS}))")
+_BLANKS = r"[\x20\x09-\x0D]+"
+#: Characters of scripts that set no blanks between words.
+UNBROKEN = r"[\u0E00-\u0EFF\u2E80-\uFFEF]"
+_WORDLIKE = r"[^\x20\x09-\x0D\u0E00-\u0EFF\u2E80-\uFFEF]"
+UNIT = rf"{_WORDLIKE}{{1,{LONGEST}}}+(?!{_WORDLIKE})|[^\x20\x09-\x0D]"
+
+
+def _sql(pattern: str) -> str:
+    """A pattern within a literal of SQL."""
+    return pattern.replace("\\", "\\\\")
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """body with a name for value, which is worked out once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _elements(text: str, k: int) -> str:
+    """A text's k-mers as sorted numbers: bits of its hash, then the place. A k-mer's first occurrence has its own hash, the c-th a hash of that and c."""
+    numbered = f"if(size(u) > {MOST_UNITS}, raise_error('a text has more than {MOST_UNITS} units'), xxhash64(x{''.join(f', get(u, i + {j})' for j in range(1, k))}) & {_HASH} | i)"
+    # the last k-mer of a text that has fewer units than k lacks some
+    kmers = f"sort_array(transform(slice(u, 1, greatest(size(u) - {k - 1}, least(size(u), 1))), (x, i) -> {numbered}))"
+    same = lambda a, b: f"(({a}) ^ ({b})) & {_HASH} = 0"
+    again = f"filter(s, (x, j) -> j > 0 and {same('x', 's[j - 1]')})"
+    first = f"filter(s, (x, j) -> j = 0 or not {same('x', 's[j - 1]')})"
+    runs = f"filter(sequence(0, size(d) - 1), j -> j = 0 or not {same('d[j]', 'd[j - 1]')})"
+    renamed = f"flatten(transform(r, (b, q) -> transform(slice(d, b + 1, coalesce(get(r, q + 1), size(d)) - b), (x, j) -> xxhash64(x & {_HASH}, j + 2) & {_HASH} | x & {_PLACE})))"
+    whole = _let("d", again, f"if(size(d) = 0, s, {_let('r', runs, f'sort_array(concat({first}, {renamed}))')})")
+    # where no word is cut, a plain split gives the same units
+    cut = f"({text} rlike '{_sql(UNBROKEN)}' or exists(w, x -> length(x) > {LONGEST}))"
+    units = _let("w", f"split({text}, '{_sql(_BLANKS)}')", f"if({cut}, regexp_extract_all({text}, '{_sql(UNIT)}', 0), array_remove(w, ''))")
+    return _let("u", units, _let("s", kmers, whole))
+
+
+def _fingerprint(text: str, k: int, size: int) -> Column:
+    """Each order's tuple of elements, by their places in the text, hashed."""
+    mark = lambda x: f"shiftright({x}, {64 - ORDER_BITS})"
+    # the first few after each mark are all that any order selects
+    few = f"filter(a, (x, j) -> j < {size} or {mark('x')} <> {mark(f'a[j - {size}]')})"
+    begins = f"filter(sequence(0, size(e) - 1), j -> j = 0 or {mark('e[j]')} <> {mark('e[j - 1]')})"
+    chosen = [f"e[(j + {i}) % size(e)]" for i in range(size)]
+    placed = ", ".join(f"shiftleft({x} & {_PLACE}, {63 - PLACE_BITS}) | shiftrightunsigned({x}, {PLACE_BITS + 1})" for x in chosen)
+    hashed = ", ".join(f"z[{i}] & {(1 << 63 - PLACE_BITS) - 1}L" for i in range(size))
+    digits = _let("z", f"sort_array(array({placed}))", f"lpad(hex(xxhash64({hashed}) & {(1 << 4 * DIGITS) - 1}L), {DIGITS}, '0')")
+    least, top = -(ORDERS // 2), ORDERS // 2 - 1
+    row = f"concat(array_join(transform(b, (j, q) -> repeat(c[q], int({mark('e[j]')} - if(q = 0, {least - 1}, {mark('e[b[q - 1]]')})))), ''), repeat(c[0], int({top} - {mark('element_at(e, -1)')})))"
+    made = _let("b", begins, _let("c", f"transform(b, j -> {digits})", f"lower({row})"))
+    return F.expr(_let("e", _let("a", _elements(text, k), few), f"if(size(e) = 0, repeat('0', {DIGITS * ORDERS}), {made})"))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """The share of places at which two fingerprints agree, 0 to 1; null if one is null."""
-    same = F.filter(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda j: F.substring(a, 4 * j + 1, F.lit(4)) == F.substring(b, 4 * j + 1, F.lit(4)))
-    return F.when(a.isNotNull() & b.isNotNull(), F.size(same) / F.lit(float(BINS)))
+    same = F.filter(F.sequence(F.lit(0), F.lit(ORDERS - 1)), lambda j: F.substring(a, DIGITS * j + 1, F.lit(DIGITS)) == F.substring(b, DIGITS * j + 1, F.lit(DIGITS)))
+    return F.when(a.isNotNull() & b.isNotNull(), F.size(same) / F.lit(float(ORDERS)))
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_cols: Sequence[str] = ("text",), keep: dict[str, Column] | None = None, k: int = K, tuple_size: int = TUPLE, dealt: bool = False) -> DataFrame:
-    """A row for each row of df: id_col, the numbers of `keep`, and fp_0, fp_1, ... for the texts of text_cols.
-
-    keep: longs to carry with each row, by name; they and the elements are aggregated in fixed-width buffers.
-    dealt: df lies in partitions by id_col already.
-    """
-    keep = {f"k_{name}": c for name, c in (keep or {}).items()}
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_cols: Sequence[str] = ("text",), keep: dict[str, Column] | None = None, k: int = K, tuple_size: int = TUPLE) -> DataFrame:
+    """A row for each row of df: id_col, the columns of `keep` by name, and fp_0, fp_1, ... for the texts of text_cols."""
     own = F.col(f"`{id_col}`").cast("long")
-    if not dealt:  # rows are dealt by their place, so an id that many of them have, or lack, is no harm
-        keep = {"k_": own} | keep
-    key, row = (own, F.monotonically_increasing_id()) if dealt else (F.monotonically_increasing_id(), F.lit(0).cast("long"))
-    texts = len(text_cols)
-    if dealt:
-        held = df.select(key.alias("doc"), row.alias("row"), *[c.alias(n) for n, c in keep.items()], *[text_of(df, c).alias(f"t{i}") for i, c in enumerate(text_cols)])
-    else:
-        held = df.select(key.alias("doc"), *[c.alias(n) for n, c in keep.items()], *[text_of(df, c).alias(f"t{i}") for i, c in enumerate(text_cols)])
-        held = held.repartition(SPREAD * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc").withColumn("row", row)
-    each = held.select("doc", "row", *keep, F.array(*[_words(F.col(f"t{i}")) for i in range(texts)]).alias("all"))
-    each = each.select("doc", "row", *keep, F.posexplode("all").alias("which", "words"))
-    # a row's texts have a number of their own each; what is kept goes with the first k-mer, which leaves the others small
-    each = each.select("doc", (F.col("row") * texts + F.col("which")).alias("unit"), *keep, F.posexplode_outer(_runs("words", k)).alias("at", "run"))
-    first = F.coalesce("at", F.lit(0)) == 0
-    kmer = F.when(F.col("at").isNotNull(), F.xxhash64(*[F.col("run")[str(i)] for i in range(k)]))
-    each = each.select("doc", "unit", "at", kmer.alias("kmer"), *[F.when(first, F.col(n)).alias(n) for n in keep])
-    occurrence = F.row_number().over(Window.partitionBy("doc", "unit", "kmer").orderBy("at"))
-    each = each.withColumn("element", F.when(F.col("kmer").isNotNull(), F.xxhash64("kmer", occurrence)))
-    # one pass over the elements leaves a number for each bin, and one over these the bins of a text side by side
-    least = F.shiftleft(F.col("element").bitwiseAND((1 << HASH_BITS) - 1), PLACE_BITS).bitwiseOR(F.least("at", F.lit((1 << PLACE_BITS) - 1)).cast("long"))
-    bins = each.withColumn("bin", F.shiftrightunsigned("element", 64 - BIN_BITS).cast("int")).groupBy("doc", "unit", "bin").agg(F.min(least).alias("least"), *[F.max(n).alias(n) for n in keep])
-    found = F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "least")))
-    chosen = bins.groupBy("doc", "unit").agg(F.sort_array(found).alias("chosen"), *[F.max(n).alias(n) for n in keep])
-    made = chosen.select("doc", F.expr(f"unit div {texts}").alias("row"), F.expr(f"unit % {texts}").alias("which"), *keep, _fingerprint("chosen", tuple_size).alias("fp"))
-    out = made.groupBy("doc", "row").agg(*[F.max(n).alias(n) for n in keep], *[F.max(F.when(F.col("which") == i, F.col("fp"))).alias(f"fp_{i}") for i in range(texts)])
-    return out.select(F.col("doc" if dealt else "k_").alias(id_col), *[F.col(n).alias(n[2:]) for n in keep if n != "k_"], *[f"fp_{i}" for i in range(texts)])
+    held = df.select(own.alias("i"), *[c.alias(f"k_{n}") for n, c in (keep or {}).items()], *[text_of(df, c).alias(f"t{j}") for j, c in enumerate(text_cols)])
+    return held.select(F.col("i").alias(id_col), *[F.col(f"k_{n}").alias(n) for n in keep or {}], *[_fingerprint(f"t{j}", k, tuple_size).alias(f"fp_{j}") for j in range(len(text_cols))])
 
 
 def next_ids(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -141,17 +148,16 @@ def op5_omh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     links = next_ids(df)
-    digest = F.sha2("edited", 256)
-    facts = {"n_chars": F.length("text").cast("long")} | {f"sha_{i}": F.conv(F.substring(digest, 16 * i + 1, 16), 16, -10).cast("long") for i in range(4)}
-    made = fingerprints(with_edits(df, links), text_cols=("text", "edited"), keep=facts, dealt=True)
-    without = df.where("doc_id is null").select("doc_id", text_of(df, "text").alias("text")).select("doc_id", "text", _edited("''"))
-    made = written(made.unionByName(fingerprints(without, text_cols=("text", "edited"), keep=facts)), "op5-fingerprints")
+    facts = {"n_chars": F.length("text").cast("long"), "edited_sha256": F.sha2("edited", 256)}
+    without = df.where("doc_id is null").select(F.col("doc_id").cast("long"), text_of(df, "text").alias("text")).select("doc_id", "text", _edited("''"))
+    edits = with_edits(df, links).unionByName(without)
+    made = written(fingerprints(edits, text_cols=("text", "edited"), keep=facts), "op5-fingerprints")
     after = made.select(F.col("doc_id").alias("next_id"), "fp_0").join(links, "next_id").groupBy("id").agg(F.min("fp_0").alias("next_fp"))
     both = made.join(after.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return both.select(
         "doc_id",
         "n_chars",
-        F.concat(*[F.lpad(F.lower(F.hex(f"sha_{i}")), 16, "0") for i in range(4)]).alias("edited_sha256"),
+        "edited_sha256",
         F.col("fp_0").alias("fingerprint"),
         F.col("fp_1").alias("edited_fingerprint"),
         likeness(F.col("fp_0"), F.col("fp_1")).alias("near_edited"),

@@ -10,7 +10,8 @@ for which blocks would be too small, and find a pair with a probability that gro
 
 A bucket gives links to the least fingerprint that each is connected with, never all pairs, and the links of all buckets
 are joined into components by alternating large-star and small-star steps. Only distinct fingerprints are compared;
-equal ones, however many, are one row from the first aggregation on.
+equal ones, however many, are one row from the first aggregation on. A bucket of more than BUCKET fingerprints is cut into
+blocks of so many, and any two of its blocks are compared in a task of their own.
 
 Defined results: a null or empty text, or one of white space, has the fingerprint zero, which is linked like any other;
 fewer words than a shingle has are one shingle; repeated rows are returned each; a null id can't be a component's least
@@ -20,7 +21,7 @@ id unless it has no other; an empty table gives an empty table; columns other th
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formloom.llm._shared import in_batches, rows, text_of, written
+from formloom.llm._shared import in_batches, rows, spread_join, text_of, written
 
 BITS, RADIUS, WORDS, SEED = 64, 3, 3, 42
 #: (query, block) combinations that are compared at a time.
@@ -37,6 +38,8 @@ COMBINATIONS = 1 << 16
 AT_A_TIME = 1 << 12
 #: Shingles of a component's block, two of which are compared in a task.
 BLOCK = 1 << 21
+#: Fingerprints of a bucket's block, two of which are compared in a task.
+BUCKET = 1 << 15
 
 
 def pigeonhole(bits: int = BITS, radius: int = RADIUS, same: int = 2) -> list[list[int]]:
@@ -185,8 +188,8 @@ def _roots(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             parent = parent[parent]
 
 
-def bucket_links(fps: list[bytes], begin: np.ndarray, end: np.ndarray, radius: int) -> Iterator[tuple[bytes, bytes]]:
-    """Links of each fingerprint to the first of its component in its bucket. begin, end: the bucket of each."""
+def bucket_links(fps: list[bytes], since: np.ndarray, end: np.ndarray, radius: int) -> Iterator[tuple[bytes, bytes]]:
+    """Links of fingerprints to the first of those that they are connected with. since, end: the range of places with which each is compared."""
     n, size = len(fps), len(fps[0])
     planes = np.zeros((8 * size, -(-n // 64)), "<u8")
     for k in range(0, n, AT_A_TIME):  # a number of whole blocks
@@ -195,15 +198,15 @@ def bucket_links(fps: list[bytes], begin: np.ndarray, end: np.ndarray, radius: i
         padded[: len(bit)] = bit
         planes[:, k // 64 : k // 64 + len(padded) // 64] = np.packbits(padded.T.copy(), axis=1, bitorder="little").view("<u8")
     i = np.arange(n)
-    first, last = (i + 1) // 64, (end - 1) // 64
-    many = np.where(i + 1 < end, last - first + 1, 0)
+    first, last = since // 64, (end - 1) // 64
+    many = np.where(since < end, last - first + 1, 0)
     parent, at, upto = np.arange(n), 0, np.cumsum(many)
     while at < n:
         stop = min(at + AT_A_TIME, max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + COMBINATIONS, "right"))))
         own, m = i[at:stop], many[at:stop]
         query = np.repeat(own, m)
         block = np.repeat(first[at:stop], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-        low = np.maximum(query + 1 - 64 * block, 0).astype(np.uint64)
+        low = np.maximum(since[query] - 64 * block, 0).astype(np.uint64)
         high = np.minimum(end[query] - 64 * block, 64)
         lanes = np.uint64(0xFFFFFFFFFFFFFFFF) << low
         lanes &= np.where(high == 64, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (high % 64).astype(np.uint64)) - np.uint64(1))
@@ -215,40 +218,87 @@ def bucket_links(fps: list[bytes], begin: np.ndarray, end: np.ndarray, radius: i
         yield fps[k], fps[parent[k]]
 
 
-def _linker(radius: int, most: int = 1 << 14):
-    """Rows in order of their buckets to links."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+_LINKS = "a binary, b binary, bucket long, block int, held binary"
+_LINKED = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("bucket", pa.int64()), ("block", pa.int32()), ("held", pa.binary())])
+
+
+def _linker(radius: int, most: int):
+    """Rows (table, key, fp) in order of their buckets to links, and to the blocks of buckets that are too large for that.
 
-    def found(fps: list[bytes], table: np.ndarray, key: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
-        new = np.flatnonzero((np.diff(table, prepend=-1) != 0) | (np.diff(key, prepend=key[:1]) != 0))
-        sizes = np.diff(np.append(new, len(key)))
-        keep = np.repeat(sizes > 1, sizes)
-        if keep.any():
-            sizes = sizes[sizes > 1]
-            ends = np.cumsum(sizes)
-            yield from bucket_links([fps[k] for k in np.flatnonzero(keep).tolist()], np.repeat(ends - sizes, sizes), np.repeat(ends, sizes), radius)
+    A bucket is named by the place of its first row in the task, after the task's number.
+    """
+
+    def found(fps: list[bytes], sizes: list[int]) -> Iterator[tuple]:
+        own = np.array(sizes)
+        ends = np.repeat(np.cumsum(own), own)
+        for a, b in bucket_links(fps, np.arange(1, len(fps) + 1), ends, radius):
+            yield a, b, None, None, None
 
     def made(batches):
-        held: tuple = ([], np.empty(0, np.int64), np.empty(0, np.int64))
+        from pyspark import TaskContext
+
+        name = TaskContext.get().partitionId() << 40
+        waiting, sizes = [], []  # whole buckets that are compared together
+        bucket, held, blocks, row = None, [], 0, 0  # the bucket that goes on
+
+        def close() -> Iterator[tuple]:
+            nonlocal held, blocks, waiting, sizes
+            if blocks:
+                if held:
+                    yield None, None, name + row, blocks, b"".join(held)
+            elif len(held) > 1:
+                waiting += held
+                sizes.append(len(held))
+                if len(waiting) >= most:
+                    yield from found(waiting, sizes)
+                    waiting, sizes = [], []
+            held, blocks = [], 0
+
         for b in batches:
-            fps = held[0] + b.column(2).to_pylist()
-            table = np.concatenate([held[1], b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)])
-            key = np.concatenate([held[2], b.column(1).to_numpy(zero_copy_only=False)])
-            if not len(fps):
+            if not b.num_rows:
                 continue
-            # the last bucket may go on in the next batch
-            open_at = 1 + int(np.max(np.flatnonzero((table != table[-1]) | (key != key[-1])), initial=-1))
-            if open_at >= most or open_at and len(fps) >= 2 * most:
-                yield from found(fps[:open_at], table[:open_at], key[:open_at])
-                held = (fps[open_at:], table[open_at:], key[open_at:])
-            else:
-                held = (fps, table, key)
-        if held[0]:
-            yield from found(*held)
+            table, key, fps = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_pylist()
+            new = [0, *(1 + np.flatnonzero((np.diff(table) != 0) | (np.diff(key) != 0))).tolist(), len(fps)]
+            for i, j in zip(new[:-1], new[1:], strict=True):
+                if (int(table[i]), int(key[i])) != bucket:
+                    yield from close()
+                    bucket, row = (int(table[i]), int(key[i])), row + 1
+                held += fps[i:j]
+                while len(held) > most:
+                    yield None, None, name + row, blocks, b"".join(held[:most])
+                    held, blocks = held[most:], blocks + 1
+        yield from close()
+        if waiting:
+            yield from found(waiting, sizes)
+
+    return lambda batches: in_batches(made(batches), _LINKED, lambda r: 64 + len(r[4] or b""))
+
+
+def _pair_linker(radius: int, size: int):
+    """Rows (bucket, p, q, block, held) in order of the first three to links between the blocks p and q, or within p."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def made(batches):
+        for (_, p, q), group in itertools.groupby(rows(batches), lambda r: r[:3]):
+            first, *second = [[r[-1][k : k + size] for k in range(0, len(r[-1]), size)] for r in sorted(group, key=lambda r: r[3])]
+            fps = first + (second[0] if second else [])
+            since = np.arange(1, len(fps) + 1) if p == q else np.full(len(fps), len(first))
+            end = np.where(np.arange(len(fps)) < len(first), len(fps), 0)
+            yield from bucket_links(fps, since, end, radius)
 
     return lambda batches: in_batches(made(batches), schema, lambda r: 64)
 
 
+def _links(dealt: DataFrame, bits: int, radius: int, most: int) -> DataFrame:
+    """(a, b): the links of fingerprints (table, key, fp) that lie in their buckets, in order."""
+    found = written(dealt.mapInArrow(_linker(radius, most), _LINKS), "op6-linked")
+    blocks = found.where("held is not null").select("bucket", "block", "held")
+    many = blocks.groupBy("bucket").agg(F.max("block").alias("last"))
+    each = blocks.join(many, "bucket").withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
+    pairs = each.select("bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "held").repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
+    return found.where("a is not null").select("a", "b").union(pairs.mapInArrow(_pair_linker(radius, bits // 8), "a binary, b binary"))
+
+
 def alike_roots(sets: list[np.ndarray], least: float) -> np.ndarray:
     """For each set of shingles, the first of those that it is connected with by pairs at least so much alike.
 
@@ -314,12 +364,12 @@ def _held_sets(words: int):
 def confirmed(texts: DataFrame, member: DataFrame, words: int, least: float, block: int = BLOCK) -> DataFrame:
     """(a, b) as components() has it, of sets' names. texts: (doc, t); member: (name, doc, root), a row for each set."""
     crowded = member.groupBy("root").agg(F.count("*").alias("sets")).where("sets > 1").select("root")
-    asked = written(member.join(crowded, "root").select("root", "name", "doc"), "op6-asked")
+    asked = written(spread_join(member, crowded, "root", "name").select("root", "name", "doc"), "op6-asked")
     sets = texts.join(asked, "doc").select("root", "name", "t").mapInArrow(_held_sets(words), "root binary, name binary, n long, held binary")
     sets = written(sets, "op6-sets")
     # a large component's sets are dealt to blocks, and any two blocks make a task
     parts = sets.groupBy("root").agg(F.ceil(F.sum("n") / block).alias("parts"))
-    own = sets.join(parts, "root").withColumn("own", F.pmod(F.xxhash64("name"), F.greatest("parts", F.lit(1))))
+    own = spread_join(sets, parts, "root", "name").withColumn("own", F.pmod(F.xxhash64("name"), F.greatest("parts", F.lit(1))))
     other = F.expr("if(parts > 1, filter(sequence(0L, parts - 1), x -> x <> own), array(own))")
     dealt = own.withColumn("other", F.explode(other)).select("root", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "name", "held")
     dealt = dealt.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q")
@@ -345,10 +395,12 @@ def components(links: DataFrame) -> DataFrame:
         links = written(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "op6-links")
 
 
-def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, words: int = WORDS, radius: int = RADIUS, tables: list[list[int]] | None = None, alike: float | None = None) -> DataFrame:
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, words: int = WORDS, radius: int = RADIUS, tables: list[list[int]] | Callable[[int], list[list[int]]] | None = None, alike: float | None = None, most: int = BUCKET) -> DataFrame:
     """A row for each row of df: id_col, fingerprint (hexadecimal), component_id (the least id of its group).
 
-    alike: the share of their distinct shingles that two texts must have in common for a link."""
+    tables: which bits make the keys of each table, or a function that says so for a number of distinct fingerprints.
+    alike: the share of their distinct shingles that two texts must have in common for a link.
+    most: fingerprints of a bucket that are compared in one task."""
     tables = tables or pigeonhole(bits, radius)
     texts = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), text_of(df, text_col).alias("t"))
     if alike is None:
@@ -356,15 +408,18 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     else:
         docs = written(texts.mapInArrow(_set_fingerprints(bits, words), "doc long, fp binary, name binary"), "op6-fingerprints")
     distinct = docs.groupBy("fp").agg(F.min("doc").alias("least"))
+    if callable(tables):
+        tables = tables(docs.select("fp").distinct().count())
     dealt = distinct.select("fp").mapInArrow(_buckets(tables, bits), "table int, key long, fp binary").repartition("table", "key").sortWithinPartitions("table", "key")
-    stars, node = components(dealt.mapInArrow(_linker(radius), "a binary, b binary")), "fp"
+    stars, node = components(_links(dealt, bits, radius, most)), "fp"
     if alike is not None:
         distinct, node = docs.groupBy("name", "fp").agg(F.min("doc").alias("least")), "name"
         member = distinct.join(stars.withColumnRenamed("a", "fp"), "fp", "left").select("name", F.col("least").alias("doc"), F.coalesce("b", "fp").alias("root"))
         stars = confirmed(texts, member, words, alike)
-    member = distinct.join(stars.withColumnRenamed("a", node), node, "left").select(node, "least", F.coalesce("b", node).alias("root"))
-    ids = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = member.join(ids, "root").select(node, "component_id")
+    member = written(distinct.join(stars.withColumnRenamed("a", node), node, "left").select(node, "least", F.coalesce("b", node).alias("root")), "op6-members")
+    # a root of one member needs no join; a large component's members are many tasks' work
+    ids = member.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("members")).where("members > 1").select("root", "first")
+    named = spread_join(member, ids, "root", node, how="left").select(node, F.coalesce("first", "least").alias("component_id"))
     return docs.join(named, node).select(F.col("doc").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 

@@ -2,18 +2,19 @@
 
 How many rows go from each partition of the input to each shard is drawn first: a matrix whose rows sum up to the
 partitions' counts and whose columns to the shards' sizes, row after row from the multivariate hypergeometric law, as in
-a uniform permutation of all rows. Each partition then permutes its rows by a hash and deals them out by its row of the
+a uniform permutation of all rows. Each partition permutes its rows by a hash and deals them out by its row of the
 matrix, the rows are exchanged, and each shard permutes what it got. Only counts reach the driver.
 
-A shard's rows are ordered in blocks by their hash's first bits, so that a shard of any size is many tasks' work; counts
-of the blocks give each its first slot.
+The local permutation is a sort within the input's own partitions, without an exchange. Its result, each row with its
+partition and place, is written once, and counting and dealing both read that table: whatever the input's splits, or the
+executors, do between two jobs, a row has one place. A shard's rows are ordered in blocks by their hash's first bits, so
+that a shard of any size is many tasks' work; counts of the blocks give each its first slot.
 
-The law is `rows`: the shards' counts are at most one apart. Hashes are of a row's place in the input, so repeated rows,
-or ids, of any number are dealt like all others, and no group is kept together.
+The law is `rows`: the shards' counts are at most one apart. Hashes are of a row's place, so repeated rows, or ids, of any
+number are dealt like all others, and no group is kept together.
 
 Defined results: null and empty texts and null ids are rows like others; an empty table gives an empty table; fewer rows
 than shards leave some shards empty; columns stay as they are, but those named shard or slot are replaced.
-The input must give the same partitions each time it is read, as a scan of files does; otherwise the job fails.
 """
 
 from __future__ import annotations
@@ -24,12 +25,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from formloom.llm._shared import text_of
+from formloom.llm._shared import new_folder, text_of, written
 
 SHARDS = 24
 SEED = 20_000
 #: Rows in a block of a shard, about.
 BLOCK_ROWS = 8192
+#: Rows of the matrix that are written at a time, and those up to which it goes to the rows by broadcast.
+MATRIX_ROWS, MOST_BROADCAST = 2048, 50_000
+#: Bits of a row's place in its partition; the partition's number stands above them.
+PLACE_BITS = 33
 
 
 def matrix(counts: list[int], shards: int, seed: int = SEED) -> np.ndarray:
@@ -43,28 +48,45 @@ def matrix(counts: list[int], shards: int, seed: int = SEED) -> np.ndarray:
     return out
 
 
+def _permuted(df: DataFrame, seed: int) -> DataFrame:
+    """(r, part, place): df's rows, permuted within its partitions. It is read from a table, and so never changes."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]) if df.columns else F.lit(None).cast("int")
+    held = df.select(row.alias("r"), F.monotonically_increasing_id().alias("from")).withColumn("by", F.xxhash64("from", F.lit(seed)))
+    placed = held.sortWithinPartitions("by", "from").select("r", F.monotonically_increasing_id().alias("at"))
+    return written(placed.select("r", F.shiftright("at", PLACE_BITS).alias("part"), F.col("at").bitwiseAND((1 << PLACE_BITS) - 1).alias("place")), "op8-permuted")
+
+
+def _written_matrix(spark: SparkSession, counts: list[tuple[int, int]], shards: int, seed: int) -> DataFrame:
+    """(part, n, upto): a partition's rows, and the places below which they go to the first shard, the first two, and so on."""
+    path, schema = new_folder(spark, "op8-matrix"), "part long, n long, upto array<long>"
+    listed = F.lit("array<struct<part:long,n:long,upto:array<long>>>")
+    upto = np.cumsum(matrix([n for _, n in counts], shards, seed), axis=1)
+    for i in range(0, max(1, len(counts)), MATRIX_ROWS):
+        some = [{"part": p, "n": n, "upto": u} for (p, n), u in zip(counts[i : i + MATRIX_ROWS], upto[i : i + MATRIX_ROWS].tolist(), strict=True)]
+        spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(some)), listed))).coalesce(1).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def shuffle(df: DataFrame, shards: int = SHARDS, seed: int = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """df with `shard` and `slot`, the place in the shard, gapless from 0."""
     df = df.drop("shard", "slot")
-    spark = df.sparkSession
-    held = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("r") if df.columns else F.lit(None).alias("r"), F.monotonically_increasing_id().alias("at"))
-    held = held.withColumn("part", F.shiftright("at", 33))
-    counts = sorted((r["part"], r["n"]) for r in held.groupBy("part").agg(F.count("*").alias("n")).collect())
-    drawn = matrix([n for _, n in counts], shards, seed)
-    upto = [{"part": p, "n": n, "upto": c} for (p, n), c in zip(counts, np.cumsum(drawn, axis=1).tolist(), strict=True)]
-    plan = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(upto)), "array<struct<part:long,n:long,upto:array<long>>>")))
+    rows = _permuted(df, seed)
+    counts = sorted((r["part"], r["n"]) for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect())
+    plan = _written_matrix(df.sparkSession, counts, shards, seed)
+    plan = F.broadcast(plan) if len(counts) <= MOST_BROADCAST else plan
     blocks = max(1, -(-sum(n for _, n in counts) // (shards * block_rows)))
 
-    def dealt(rows: DataFrame) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy("part").orderBy(F.xxhash64("at", F.lit(seed)), "at"))
-        ranked = rows.withColumn("place", place).join(plan, "part")
-        to = F.when(F.col("place") <= F.col("n"), F.size(F.filter("upto", lambda c: c < F.col("place")))).otherwise(F.raise_error(F.lit("the input's partitions changed between two reads; write it to a table first")))
-        return ranked.withColumn("shard", to.cast("int")).withColumn("second", F.xxhash64("at", F.lit(seed + 1))).withColumn("block", F.pmod(F.shiftright("second", 20), F.lit(blocks)).cast("int"))
+    def dealt(some: DataFrame) -> DataFrame:
+        # a row without a place in the matrix is an error, and never left out
+        known = F.col("n").isNotNull() & (F.col("place") < F.col("n"))
+        shard = F.when(known, F.size(F.filter("upto", lambda c: c <= F.col("place")))).otherwise(F.raise_error(F.lit("a row has no place in the matrix")))
+        second = F.xxhash64("part", "place", F.lit(seed + 1))
+        return some.join(plan, "part", "left").withColumn("shard", shard.cast("int")).withColumn("second", second).withColumn("block", F.pmod(F.shiftright("second", 20), F.lit(blocks)).cast("int")).drop("n", "upto")
 
-    sizes = dealt(held.select("at", "part")).groupBy("shard", "block").agg(F.count("*").alias("size"))
+    sizes = dealt(rows.select("part", "place")).groupBy("shard", "block").agg(F.count("*").alias("size"))
     firsts = sizes.select("shard", "block", (F.sum("size").over(Window.partitionBy("shard").orderBy("block")) - F.col("size")).alias("first"))
-    slot = F.row_number().over(Window.partitionBy("shard", "block").orderBy("second", "at"))
-    moved = dealt(held).select("r", "at", "shard", "block", "second").withColumn("own", slot).join(firsts, ["shard", "block"])
+    own = F.row_number().over(Window.partitionBy("shard", "block").orderBy("second", "part", "place"))
+    moved = dealt(rows).withColumn("own", own).join(firsts, ["shard", "block"])
     return moved.select(*[F.col(f"r.`{c}`").alias(c) for c in df.columns], "shard", (F.col("first") + F.col("own") - 1).cast("long").alias("slot"))
 
 

@@ -6,11 +6,13 @@ word. A text is scored in windows of WINDOW words of which STRIDE are new, all o
 states of a window into its logit; the windows' logits, weighted by their softmax, make the text's.
 
 The network is fitted on the driver from at most MOST_TOXIC and MOST_CLEAN labelled rows, those whose ids' hashes are
-least, of texts of at most MOST_CHARS characters. This bound is the only one: every text is scored whole.
+least, of MOST_CHARS characters in all. Of a text of more than MOST_WINDOWS windows a step of the fit learns from those
+that the network finds most toxic, as the softmax hardly lets any others count. These bounds are the only ones: every text
+is scored whole.
 
 Defined results: a null or empty text, or one without words, is one window without words, scored by the network's bias;
-repeated rows are scored each, null ids included; rows with a null label, or labelled twice, teach nothing or their
-higher label; where there are no labels of both kinds, every score is the share of toxic labels (0 without labels);
+repeated rows are scored each, null ids included; rows with a null label teach nothing, rows labelled twice their
+higher label, and of rows that share a labelled id the least text is learnt from; where there are no labels of both kinds, every score is the share of toxic labels (0 without labels);
 an empty table gives an empty table; columns other than id and text are never read.
 """
 
@@ -24,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formloom.llm._shared import in_batches, rows, slices, text_of
+from formloom.llm._shared import bounded_sample, held_out, in_batches, parts_of, rows, slices, text_of
 
 WINDOW, STRIDE = 32, 24
-MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 1500, 3000, 16_000
+MOST_TOXIC, MOST_CLEAN, MOST_CHARS, MOST_WINDOWS = 1500, 3000, 32_000_000, 64
 EMBED, HIDDEN, ATTEND, MOST_WORDS = 8, 8, 8, 20_000
 #: Runs of characters that spell a word, and the buckets into which they are hashed.
 SIZES, PIECES = (3, 5), 16_384
@@ -187,14 +189,41 @@ class Network:
         return d_u
 
 
-def _laid_out(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of texts of word numbers as index and mask (time x windows), and the text of each window."""
-    cut = [(k, a, b) for k, x in enumerate(texts) for a, b in windows(len(x))]
+def _cut(sizes: list[int]) -> list[tuple[int, int, int]]:
+    """(text, begin, end) of the windows of texts of so many words."""
+    return [(k, a, b) for k, n in enumerate(sizes) for a, b in windows(n)]
+
+
+def _filled(texts: list[np.ndarray], cut: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of texts of word numbers as index and mask (time x windows)."""
     index, mask = np.zeros((len(cut), WINDOW), np.int64), np.zeros((len(cut), WINDOW), np.float32)
     for i, (k, a, b) in enumerate(cut):
         index[i, : b - a] = texts[k][a:b]
         mask[i, : b - a] = 1
-    return index.T.copy(), mask.T.copy(), np.array([k for k, _, _ in cut])
+    return index.T.copy(), mask.T.copy()
+
+
+def _laid_out(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows as index and mask (time x windows), and the text of each window."""
+    cut = _cut([len(x) for x in texts])
+    return *_filled(texts, cut), np.array([k for k, _, _ in cut])
+
+
+def _all_logits(net: Network, table: np.ndarray, texts: list[np.ndarray], cut: list[tuple[int, int, int]], at_a_time: int = 1024) -> np.ndarray:
+    """Logits of windows, which are laid out some at a time."""
+    return np.concatenate([net.logits(table, *_filled(texts, cut[i : i + at_a_time]))[0] for i in range(0, len(cut), at_a_time)])
+
+
+def _strongest(net: Network, table: np.ndarray, texts: list[np.ndarray], most: int) -> list[tuple[int, int, int]]:
+    """The texts' windows, of each text at most so many: those of the highest logits."""
+    out = []
+    for k, x in enumerate(texts):
+        own = [(k, a, b) for a, b in windows(len(x))]
+        if len(own) > most:
+            order = np.argsort(-_all_logits(net, table, texts, own), kind="stable")
+            own = [own[i] for i in np.sort(order[:most]).tolist()]
+        out += own
+    return out
 
 
 def _pooled(logits: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,7 +256,9 @@ def fit(texts: list[str], toxic: list[int], steps: int = STEPS, seed: int = SEED
         number: dict[str, int] = {PAD: 0}
         coded = [np.array([number.setdefault(w, len(number)) for w in split[k]], np.int64) for k in own]
         table, parts = net.inputs(list(number), draw.random(len(number)) < 0.1)
-        index, mask, text = _laid_out(coded)
+        cut = _strongest(net, table, coded, MOST_WINDOWS)
+        index, mask = _filled(coded, cut)
+        text = np.array([k for k, _, _ in cut])
         logits, kept = net.logits(table, index, mask, keep=True)
         pooled, weight = _pooled(logits, text)
         d = (_sigmoid(pooled) - label[own]) / len(own)
@@ -259,11 +290,9 @@ class Scorer:
         self.table = self.net.inputs([PAD])[0]
         self.used = 1
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        split = [words_of(t) for t in texts]
-        if self.used > self.MOST:
-            self.forget()
-        new = [w for w in dict.fromkeys(w for own in split for w in own) if w not in self.number]
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The words' numbers in the table, which gets those that it lacks."""
+        new = [w for w in dict.fromkeys(words) if w not in self.number]
         if new:
             made = self.net.inputs(new)[0]
             self.number.update(zip(new, range(self.used, self.used + len(new)), strict=True))
@@ -271,10 +300,15 @@ class Scorer:
                 self.table = np.concatenate([self.table, np.empty_like(self.table)])
             self.table[self.used : self.used + len(new)] = made
             self.used += len(new)
-        get = self.number.__getitem__
-        index, mask, text = _laid_out([np.fromiter(map(get, own), np.int64, len(own)) for own in split])
-        logits = np.concatenate([self.net.logits(self.table, index[:, i : i + 1024], mask[:, i : i + 1024])[0] for i in range(0, len(text), 1024)])
-        return _sigmoid(_pooled(logits.astype(np.float64), text)[0])
+        return np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        if self.used > self.MOST:
+            self.forget()
+        coded = [np.concatenate([self.numbers(words_of(part)) for part in parts_of(t)]) for t in texts]
+        cut = _cut([len(x) for x in coded])
+        logits = _all_logits(self.net, self.table, coded, cut)
+        return _sigmoid(_pooled(logits.astype(np.float64), np.array([k for k, _, _ in cut]))[0])
 
 
 def _scoring(net: Network):
@@ -299,17 +333,13 @@ def _scoring(net: Network):
     return lambda batches: in_batches(made(batches), schema, lambda r: 64)
 
 
-def held_out(id_col: str = "doc_id"):
-    """Rows whose labels are never learnt; a null id isn't one of them, and meets no label."""
-    return F.coalesce(F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string")), F.lit(3)) == 1, F.lit(False))
-
-
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network | float:
     """The network from a bounded sample of labelled rows; the share of toxic labels if they are all of one kind."""
     known = labels.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{label_col}`").alias("label")).where(F.col("label").isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max("label").alias("label"))
     least = [known.where(F.col("label") == v).orderBy(F.xxhash64(id_col), id_col).limit(n) for v, n in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
-    texts = df.select(F.col(f"`{id_col}`").alias(id_col), text_of(df, text_col).alias("t")).where(F.length("t") <= MOST_CHARS)
-    found = sorted((r["label"], r[id_col], r["t"]) for r in texts.join(F.broadcast(least[0].union(least[1])), id_col).collect())
+    texts = df.select(F.col(f"`{id_col}`").alias("i"), text_of(df, text_col).alias("t"))
+    asked = least[0].union(least[1]).select(F.col(id_col).alias("i"), "label")
+    found = sorted((r["label"], r["i"], r["t"]) for r in bounded_sample(texts, asked, MOST_CHARS, "op9-sample"))
     toxic = [int(label) for label, _, _ in found]
     if len(set(toxic)) < 2:
         return float(np.mean(toxic)) if toxic else 0.0

@@ -158,31 +158,55 @@ def test_order_minhash(spark, docs, empty):
     assert r.same == 1 and r.few > r.turned > 0
 
 
-def test_order_minhash_against_numbers(spark):
-    """Elements, bins and tuples worked out again in Python from Spark's hash alone."""
-    text = "a b a b c a b"
-    words = text.split()
-    runs = list(zip(words, words[1:], strict=False))
-    h = lambda *c: spark.range(1).select(F.xxhash64(*[F.lit(x) for x in c])).first()[0]
-    kmers, seen, elements = [h(*r) for r in runs], {}, []
-    for k in kmers:
-        seen[k] = seen.get(k, 0) + 1
-        elements.append(spark.range(1).select(F.xxhash64(F.lit(k).cast("long"), F.lit(seen[k]))).first()[0])
-    spark_hash = lambda a, b: spark.range(1).select(F.xxhash64(F.lit(a).cast("long"), F.lit(b).cast("long"))).first()[0]
-    bins = {}
-    for at, e in enumerate(elements):
-        own = (e & (1 << op5_omh.HASH_BITS) - 1) << op5_omh.PLACE_BITS | at
-        b = (e % (1 << 64)) >> 64 - op5_omh.BIN_BITS
-        bins[b] = min(own, bins.get(b, own))
-    filled = [bins[min((b for b in bins if b >= i), default=min(bins))] for i in range(op5_omh.BINS)]
-    want = ""
-    for i in range(op5_omh.BINS):
-        pair = sorted((m & (1 << op5_omh.PLACE_BITS) - 1, m >> op5_omh.PLACE_BITS) for m in (filled[i], filled[(i + 1) % op5_omh.BINS]))
-        h = 0
-        for _, x in pair:
-            h = spark_hash(h, x)
-        want += f"{h & 0xFFFF:04x}"
-    assert op5_omh.fingerprints(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().fp_0 == want
+def order_minhash(text, k=op5_omh.K, size=op5_omh.TUPLE):
+    """Order MinHash by plain loops: units, numbered k-mers, and for each order the least few elements by place."""
+    units = []
+    for w in re.split(r"[\x20\x09-\x0D]+", text or ""):
+        for run in re.findall(r"[\u0E00-\u0EFF\u2E80-\uFFEF]|[^\u0E00-\u0EFF\u2E80-\uFFEF]+", w):
+            while len(run) > op5_omh.LONGEST:
+                units.append(run[0])
+                run = run[1:]
+            units += [run] * bool(run)
+    top, seen, elements = (1 << 64) - op5_omh.MOST_UNITS, {}, []
+    for i in range(max(len(units) - k + 1, min(len(units), 1))):
+        h = 42
+        for u in units[i : i + k]:
+            h = xxhash.xxh64_intdigest(u.encode(), h)
+        h &= top
+        seen[h] = seen.get(h, 0) + 1
+        if seen[h] > 1:
+            h = xxhash.xxh64_intdigest(seen[h].to_bytes(4, "little"), xxhash.xxh64_intdigest(h.to_bytes(8, "little"), 42)) & top
+        elements.append((h, i))
+    out = ""
+    for order in range(op5_omh.ORDERS):
+        mark = ((order << 64 - op5_omh.ORDER_BITS) + (1 << 63)) % (1 << 64)
+        least = sorted(elements, key=lambda e, mark=mark: ((e[0] - mark) % (1 << 64), e[1]))
+        least = (least * size)[:size]
+        h = 42
+        for e in sorted(least, key=lambda e: e[1]):
+            h = xxhash.xxh64_intdigest((e[0] >> op5_omh.PLACE_BITS + 1).to_bytes(8, "little"), h)
+        out += f"{h & 0xFFFFFFFF:08x}" if elements else "00000000"
+    return out
+
+
+def likeness(a, b):
+    return sum(a[i : i + 8] == b[i : i + 8] for i in range(0, len(a), 8)) / (len(a) // 8)
+
+
+def test_order_minhash_against_plain_loops(spark):
+    draw = np.random.default_rng(5)
+    made = [" ".join(draw.choice(["the", "cat", "of", "moon", "日本", "x" * 30, "tree"], n)) for n in (1, 2, 3, 5, 9, 30, 200, 900)]
+    rows = list(enumerate([*ODD, *made, "日本語テキスト" * 40]))
+    got = {r.doc_id: r.fp_0 for r in op5_omh.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        assert got[i] == order_minhash(t), t
+
+
+def test_order_minhash_of_texts_without_blanks(spark):
+    a = "".join(chr(0x4E00 + i * 7919 % 3000) for i in range(3000))
+    b = "".join("x" if i % 300 == 7 else c for i, c in enumerate(a))
+    r = op5_omh.fingerprints(spark.createDataFrame([(1, a, b)], "doc_id long, a string, b string"), text_cols=("a", "b")).first()
+    assert likeness(r.fp_0, r.fp_1) > 0.8
 
 
 def simhash(text, k=3):
@@ -363,9 +387,9 @@ def test_quality(spark, docs, empty):
     words = ["tree", "river", "stone", "cloud", "meadow"]
     good = [" ".join(draw.choice(words, 40)) + "." for _ in range(60)]
     bad = [" | ".join(draw.choice(words, 40)) + " ###" for _ in range(60)]
-    model = op10_quality.fit([(t, "en", "s", 1) for t in good[:40]] + [(t, "en", "s", 0) for t in bad[:40]], [(t, "en", "s") for t in good[40:50] + bad[40:50]])
+    model = op10_quality.fit([(t, "en", "s", 9, 1) for t in good[:40]] + [(t, "en", "s", 9, 0) for t in bad[:40]], [(t, "en", "s", 9) for t in good[40:50] + bad[40:50]])
     b = op10_quality._Buckets()
-    assert all(model.score(t, "en", "s", b)[2] > 0.5 for t in good[50:]) and all(model.score(t, "en", "s", b)[2] < 0.5 for t in bad[50:])
+    assert all(model.score([(t, "en", "s", 9)], b)[0, 2] > 0.5 for t in good[50:]) and all(model.score([(t, "en", "s", 9)], b)[0, 2] < 0.5 for t in bad[50:])
     got = op10_quality.score(docs, model).collect()
     assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
     assert op10_quality.score(empty, model).count() == 0

@@ -40,13 +40,44 @@ def test_stages_of_an_empty_table(spark, folder):
         assert stage(spark, none, folder).count() == 0
 
 
-def test_tables_are_dropped(spark):
-    from formloom.llm._shared import drop_tables, shared_folder, written
+def test_own_tables_are_dropped(spark):
+    from formloom.llm._shared import drop_tables, own_folder, shared_folder, written
 
     assert written(spark.range(3).select("id"), "test").count() == 3
+    other = f"{shared_folder(spark)}/formloom/another-application"
+    spark.range(2).write.parquet(other)
     drop_tables(spark)
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/formloom")
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
     assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    assert spark.read.parquet(other).count() == 2
+
+
+def test_rows_survive_other_splits(spark, folder):
+    """The input is read in other splits by the time of the action."""
+    path = new_folder(spark, "test-splits")
+    spark.range(6000).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 30), i -> concat('w', id, 'x', i))) as text", "'en' as lang", "'s' as source", "10L as n_chars").coalesce(1).write.option("parquet.block.size", 65536).parquet(path)
+    for before, after in ((2, 8), (8, 2)):
+        for stage in (corpus_pipeline.exact_dedup, corpus_pipeline.near_dedup):
+            try:
+                spark.conf.set("spark.sql.files.minPartitionNum", before)
+                made = stage(spark, spark.read.parquet(path), folder)
+                spark.conf.set("spark.sql.files.minPartitionNum", after)
+                assert made.select("doc_id").distinct().count() == 6000
+            finally:
+                spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
+def test_recall_at_the_similarity(spark, folder):
+    """Pairs at 0.80 to 0.82 by scattered word changes; each is alone, so nothing but its own link can find it."""
+    draw, texts = np.random.default_rng(11), []
+    while len(texts) < 240:
+        base = " ".join(f"v{len(texts)}x{i}" for i in range(int(draw.integers(80, 400))))
+        n = len(base.split())
+        other = _edited(base, draw.choice(n, max(1, round(n * 0.0225)), replace=False))
+        if 0.8 <= _alike(base, other) <= 0.82:
+            texts += [base, other]
+    kept = corpus_pipeline.near_dedup(spark, _texts(spark, texts), folder).count()
+    assert len(texts) - kept >= 0.95 * len(texts) / 2
 
 
 def _edited(text, places):
