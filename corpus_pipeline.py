@@ -7,6 +7,8 @@ texts the row with the smallest id stays (a null id only if it has no other), an
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,22 +20,42 @@ NEAR_WORDS, NEAR_ALIKE = 5, 0.8
 #: Which texts are compared: of two that share 0.8 of their shingles, bits of fingerprints differ with a chance of about
 #: 0.15, which is 38 of 256; random texts differ in half of them.
 NEAR_BITS, NEAR_RADIUS = 256, 56
-#: Tables of random bits in which near fingerprints meet. A pair at 0.8 is lost with a chance of 0.5 %: 0.16 % lie beyond
-#: the radius, 0.35 % meet in no table.
-NEAR_TABLES, NEAR_WIDTH = 80, 14
+#: Near fingerprints meet in tables of random bits. A key has the more bits the more fingerprints there are, so that 2,000
+#: at most share one by chance (to compare with so many costs about what a further table does), and there are as many tables
+#: as leave so small a share of the pairs at NEAR_ALIKE without a common key. A further 0.16 % lie beyond the radius.
+NEAR_LOST, NEAR_LEAST_BITS = 0.0035, 14
+
+
+def _near_tables(fingerprints: int) -> list[list[int]]:
+    """The tables for so many distinct fingerprints."""
+    width = max(NEAR_LEAST_BITS, fingerprints.bit_length() - 11)
+    # bits of two fingerprints differ as often as the angle between their sets says
+    differs, log = math.acos(2 * NEAR_ALIKE / (1 + NEAR_ALIKE)) / math.pi, lambda n: math.lgamma(n + 1)
+    chance, meets = [], []
+    for d in range(NEAR_RADIUS + 1):
+        chance.append(math.exp(log(NEAR_BITS) - log(d) - log(NEAR_BITS - d) + d * math.log(differs) + (NEAR_BITS - d) * math.log(1 - differs)))
+        meets.append(math.exp(log(NEAR_BITS - d) - log(NEAR_BITS - d - width) - log(NEAR_BITS) + log(NEAR_BITS - width)))
+    tables = 1
+    while sum(c * (1 - m) ** tables for c, m in zip(chance, meets, strict=True)) > NEAR_LOST:
+        tables += 1
+    return op6_simhash.sampled(NEAR_BITS, tables, width)
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """The columns that grouping needs, and each row's place."""
-    return docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
+    """(_row, held): docs' rows, each with a number. They are written once, so that a number means the same row in every job."""
+    return written(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held")), "pipeline-numbered")
+
+
+def _texts(rows: DataFrame) -> DataFrame:
+    return rows.select("_row", F.col("held.text").alias("text"))
 
 
-def _one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """docs with one row for each group; groups: (_row, group)."""
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held"))
+def _one_of_each(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The documents among rows, one for each group; groups: (_row, group)."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
-    stay = rows.select("_row", "doc_id").join(groups, "_row").groupBy("group").agg(F.min(order).alias("stays")).select("stays._row")
-    return rows.join(stay, "_row", "left_semi").select(*[F.col(f"held.`{c}`").alias(c) for c in docs.columns])
+    own = rows.select("_row", F.col("held.doc_id").alias("doc_id"))
+    stay = own.join(groups, "_row").groupBy("group").agg(F.min(order).alias("stays")).select("stays._row")
+    return rows.join(stay, "_row", "left_semi").select("held.*")
 
 
 def _free(name: str, docs: DataFrame) -> str:
@@ -50,15 +72,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, white space aside."""
-    groups = op2_exact.exact_groups(_numbered(docs), id_col="_row")
-    return _one_of_each(docs, groups.select("_row", F.col("keep_id").alias("group")))
+    rows = _numbered(docs)
+    groups = op2_exact.exact_groups(_texts(rows), id_col="_row")
+    return _one_of_each(rows, groups.select("_row", F.col("keep_id").alias("group")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that pairs of NEAR_ALIKE or more connect."""
-    tables = op6_simhash.sampled(NEAR_BITS, NEAR_TABLES, NEAR_WIDTH)
-    groups = op6_simhash.near_groups(_numbered(docs), id_col="_row", bits=NEAR_BITS, words=NEAR_WORDS, radius=NEAR_RADIUS, tables=tables, alike=NEAR_ALIKE)
-    return _one_of_each(docs, groups.select("_row", F.col("component_id").alias("group")))
+    rows = _numbered(docs)
+    groups = op6_simhash.near_groups(_texts(rows), id_col="_row", bits=NEAR_BITS, words=NEAR_WORDS, radius=NEAR_RADIUS, tables=_near_tables, alike=NEAR_ALIKE)
+    return _one_of_each(rows, groups.select("_row", F.col("component_id").alias("group")))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
