@@ -27,6 +27,12 @@ def apply_affine(points: DataFrame, transforms: DataFrame) -> DataFrame:
     return points.join(transforms, "specimen_id").withColumns(moved).drop("m")
 
 
+def rewind(faces: DataFrame, axes: Sequence[int] = (-1, 1, 1)) -> DataFrame:
+    """Faces of a mesh mirrored by these signs: where an odd number is negative, corners go round the other way."""
+    odd = sum(a < 0 for a in axes) % 2 == 1
+    return faces.withColumns({"v1": F.col("v2"), "v2": F.col("v1")}) if odd else faces
+
+
 def mirror_index(text: str, first: int = 0) -> list[int]:
     """A comma-separated permutation, from `first` on, as one from 0 on."""
     index = [int(x) - first for x in text.split(",")]

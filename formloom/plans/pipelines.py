@@ -99,6 +99,13 @@ def mirrored(points: DataFrame, marks: DataFrame, index: Sequence[int], axes: Se
     return affine.apply_affine(affine.mirror(points, axes), m), affine.apply_affine(turned, m), *(affine.apply_affine(affine.mirror(x, axes), m) for x in more)
 
 
+def mirrored_meshes(s: Specimens, index: Sequence[int], axes: Sequence[int] = (-1, 1, 1), first: int = 0) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(points, faces, landmarks, normals) of the mirror images, fitted to the originals; faces look outwards as before."""
+    points, marks = mirrored(s.points, s.landmarks.select("specimen_id", "lm_id", "x", "y", "z"), index, axes, first)
+    faces = affine.rewind(s.faces, axes)
+    return points, faces, marks, segment.normals(points, faces)
+
+
 def symmetry(s: Specimens, atlas: Atlas, index: Sequence[int], remove_scale: bool = True, first: int = 0) -> DataFrame:
     """Point results of the distances between specimens and their mirror images, in correspondence."""
     points, marks, mean = _in_atlas(s, atlas, remove_scale)

@@ -127,6 +127,116 @@ def _kmeans(spark, d):
     return _out(at.join(centres, "cluster_id"), ["specimen_id", "point_id", "cluster_id"], ["r", "g", "b"])
 
 
+def _offset(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+    """The distance of a's points to b's, by key."""
+    both = a.join(b.select(*keys, *[F.col(c).alias(f"b{c}") for c in _XYZ]), list(keys))
+    return both.select(*keys, F.sqrt(sum(((F.col(c) - F.col(f"b{c}")) * (F.col(c) - F.col(f"b{c}")) for c in _XYZ), F.lit(0.0))).alias("offset"))
+
+
+def _lengths(points: DataFrame) -> DataFrame:
+    """Each point's distance to the next one of its specimen."""
+    after = points.select("specimen_id", (F.col("point_id") - 1).alias("point_id"), *_XYZ)
+    return _out(_offset(points, after, "specimen_id", "point_id").withColumnRenamed("offset", "length"), ["specimen_id", "point_id"], ["length"])
+
+
+def _aligned_points(scale):
+    def made(spark, d):
+        lm = views.landmarks(spark, d).drop("selected")
+        return align.align(views.points(spark, d), lm, features.mean_landmarks(lm), scale)
+
+    return made
+
+
+def _balance(spark, d):
+    """What is left of a shift and of a turn between the fitted landmarks and the target: nothing, if the fit is the best."""
+    lm = views.landmarks(spark, d).drop("selected")
+    target = features.mean_landmarks(lm)
+    both = align.align(views.points(spark, d), lm, target)[1].join(target.select("lm_id", *[F.col(c).alias(f"t{c}") for c in _XYZ]), "lm_id")
+    turn = {f"turn_{a}": F.covar_pop(b, f"t{c}") - F.covar_pop(c, f"t{b}") for a, b, c in (("x", "y", "z"), ("y", "z", "x"), ("z", "x", "y"))}
+    shift = {f"shift_{c}": F.avg(F.col(c) - F.col(f"t{c}")) for c in _XYZ}
+    return _out(both.groupBy("specimen_id").agg(*[e.alias(n) for n, e in (turn | shift).items()]), ["specimen_id"], [*turn, *shift])
+
+
+def _gpa_balance(spark, d):
+    """The mean's centre and size, and how far the mean of the shapes that are aligned to it lies from it, at its own size."""
+    mean, aligned = align.procrustes(views.landmarks(spark, d).drop("selected"))
+    own = features.mean_landmarks(aligned)
+    size = own.agg(F.sqrt(sum((F.var_pop(c) for c in _XYZ), F.lit(0.0)) * F.count("*")).alias("k"))
+    resized = own.crossJoin(F.broadcast(size)).select("lm_id", *[(F.col(c) / F.col("k")).alias(c) for c in _XYZ])
+    off = _offset(mean, resized, "lm_id").agg(F.round(F.max("offset"), 4).alias("moved"))
+    figures = mean.agg(F.count("*").alias("landmarks"), *[F.avg(c).alias(f"centre_{c}") for c in _XYZ], F.sqrt(F.sum(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))).alias("size"))
+    return _out(figures.crossJoin(off), ["landmarks"], ["centre_x", "centre_y", "centre_z", "size", "moved"])
+
+
+def _kmeans_balance(spark, d):
+    """Points and clusters, points for which another centroid is nearer, and how far centroids are from their points' means."""
+    at, centres = segment.kmeans_colors(_sampled(spark, d), 5)
+    own = at.join(_sampled(spark, d), ["specimen_id", "point_id"]).join(centres.select("cluster_id", *[F.col(c).alias(f"c{c}") for c in "rgb"]), "cluster_id")
+    d2 = lambda c: sum(((F.col(x) - c(x)) * (F.col(x) - c(x)) for x in "rgb"), F.lit(0.0))
+    every = centres.agg(F.collect_list(F.struct("r", "g", "b")).alias("all"))
+    own = own.crossJoin(F.broadcast(every)).withColumn("least", F.array_min(F.transform("all", lambda m: d2(lambda x: m[x]))))
+    farther = own.agg(F.count("*").alias("points"), F.countDistinct("cluster_id").alias("clusters"), F.sum((d2(lambda x: F.col(f"c{x}")) > F.col("least") + 1e-6).cast("long")).alias("farther"))
+    shifted = own.groupBy("cluster_id").agg(F.greatest(*[F.abs(F.avg(x) - F.max(f"c{x}")) for x in "rgb"]).alias("off")).agg(F.max("off").alias("shifted"))
+    return _out(farther.crossJoin(shifted), ["points", "clusters", "farther"], ["shifted"])
+
+
+def _results_balance(results: DataFrame) -> DataFrame:
+    """By point: its specimens, and how far mean and deviation are from those of the specimens' own values."""
+    names = ("Magnitude Mean", "Magnitude SD")
+    own = ~F.col("name").isin(*names)
+    stats = results.groupBy("point_id").agg(F.count(F.when(own, 1)).alias("specimens"), F.avg(F.when(own, F.col("value"))).alias("mean"), F.stddev_pop(F.when(own, F.col("value"))).alias("sd"), *[F.max(F.when(F.col("name") == n, F.col("value"))).alias(f"n{i}") for i, n in enumerate(names)])
+    return _out(stats.withColumns({"mean_off": F.abs(F.col("mean") - F.col("n0")), "sd_off": F.abs(F.col("sd") - F.col("n1"))}), ["point_id", "specimens"], ["mean_off", "sd_off"])
+
+
+def _atlas_landmarks(spark, d):
+    """How far the atlas's points that are landmarks lie from its landmarks."""
+    atlas = pipelines.make_atlas(_specimens(spark, d))
+    own = atlas.points.select(F.col("point_id").alias("lm_id"), *_XYZ)
+    return _out(_offset(own, atlas.landmarks, "lm_id"), ["lm_id"], ["offset"])
+
+
+_RESULTS_SQL = _sql(f"{_P}, count(*) as specimens, 0.0::double as mean_off, 0.0::double as sd_off", "pt group by pid")
+_NEXT = "sqrt(pow(p.x-n.x,2)+pow(p.y-n.y,2)+pow(p.z-n.z,2))"
+_NEXT_FROM = "pt p join pt n on n.s = p.s and n.pid = p.pid + 1"
+_CORNERS = "face join pt a on a.pid = v0 join pt b on b.pid = v1 and b.s = a.s join pt c on c.pid = v2 and c.s = a.s"
+
+
+def _normals_sql() -> str:
+    edges = ", ".join(f"{p}.{c} - a.{c} as {e}{c}" for p, e in (("b", "e"), ("c", "f")) for c in _XYZ)
+    cross = ", ".join(f"e{b}*f{c} - e{c}*f{b} as n{a}" for a, b, c in (("x", "y", "z"), ("y", "z", "x"), ("z", "x", "y")))
+    sums = f"(select s, pid, sum(nx) nx, sum(ny) ny, sum(nz) nz from (select s, unnest([v0, v1, v2]) as pid, {cross} from (select a.s as s, v0, v1, v2, {edges} from {_CORNERS})) group by s, pid)"
+    length = "sqrt(nx*nx + ny*ny + nz*nz)"
+    return _sql(f"{_S}, {_P}, " + ", ".join(_f(f"case when {length} > 0 then n{c} / {length} else 0 end", f"n{c}") for c in _XYZ), sums)
+
+
+def _surface_sql() -> str:
+    """The closest of the foot in a triangle's plane, where it lies inside, and of the closest points of its edges."""
+    dot = lambda p, q: "(" + " + ".join(f"{p}{c}*{q}{c}" for c in _XYZ) + ")"
+    minus = lambda p, q, n: ", ".join(f"{p}{c} - {q}{c} as {n}{c}" for c in _XYZ)
+    corners = ", ".join(f"{p}.{c} as {n}{c}" for p, n in (("a", "k"), ("b", "l"), ("c", "m")) for c in _XYZ)
+    pairs = f"(select q.s as s, q.pid as pid, q.x + 0.05 as qx, q.y as qy, q.z as qz, {corners} from pt q join pt a on a.s = q.s join face on v0 = a.pid join pt b on b.pid = v1 and b.s = q.s join pt c on c.pid = v2 and c.s = q.s)"
+    edges = f"(select *, {minus('l', 'k', 'e')}, {minus('m', 'k', 'f')}, {minus('m', 'l', 'g')}, {minus('q', 'k', 'h')}, {minus('q', 'l', 'i')} from {pairs})"
+    sums = f"(select *, {dot('e', 'e')} ee, {dot('e', 'f')} ef, {dot('f', 'f')} ff, {dot('h', 'e')} he, {dot('h', 'f')} hf, {dot('i', 'g')} ig, {dot('g', 'g')} gg from {edges})"
+    feet = f"(select *, ee*ff - ef*ef as det, (ff*he - ef*hf) as v, (ee*hf - ef*he) as w from {sums})"
+    held = lambda x: f"greatest(0, least(1, {x}))"
+    on = lambda start, edge, t: "{" + ", ".join(f"'{c}': {start}{c} + ({t}) * {edge}{c}" for c in _XYZ) + "}"
+    inside = "{" + ", ".join(f"'{c}': k{c} + v/det*e{c} + w/det*f{c}" for c in _XYZ) + "}"
+    candidates = f"[{on('k', 'e', held('he/ee'))}, {on('k', 'f', held('hf/ff'))}, {on('l', 'g', held('ig/gg'))}, case when det > 0 and v >= 0 and w >= 0 and v + w <= det then {inside} end]"
+    points = f"(select s, pid, qx, qy, qz, unnest({candidates}) as p from {feet})"
+    far = "pow(p.x-qx,2)+pow(p.y-qy,2)+pow(p.z-qz,2)"
+    return _sql(f"{_S}, {_P}, " + ", ".join(_f(f"arg_min(p.{c}, {far})", c) for c in _XYZ), f"{points} where p is not null group by s, pid")
+
+
+def _subsample_sql() -> str:
+    """Point after point, with those that have stayed so far."""
+    gap = "(select s as gs, 0.04 * sqrt(pow(max(x)-min(x),2)+pow(max(y)-min(y),2)+pow(max(z)-min(z),2)) as gap from pt group by s)"
+    start = "select distinct s, 0::bigint as seen, []::struct(pid bigint, x double, y double, z double)[] as held from pt"
+    near = "len([h for h in held if pow(h.x-pt.x,2)+pow(h.y-pt.y,2)+pow(h.z-pt.z,2) < gap*gap]) > 0"
+    step = f"select steps.s, seen + 1, case when {near} then held else list_append(held, {{'pid': pt.pid::bigint, 'x': pt.x, 'y': pt.y, 'z': pt.z}}) end from steps join pt on pt.s = steps.s and pt.pid = seen + 1 join {gap} on gs = steps.s"
+    last = "(select s, unnest(held) as h from steps join (select max(seen) as top from steps) on seen = top)"
+    return views.SQL.replace("with raw as", "with recursive raw as", 1) + f", steps as ({start} union all {step}) select {_S}, h.pid as point_id, " + ", ".join(_f(f"h.{c}", c) for c in _XYZ) + f" from {last}"
+
+
 #: name: (query, SQL or None)
 REGISTERED: dict[str, tuple[Callable, str | None]] = {
     "mean_landmarks": (
@@ -263,8 +373,31 @@ REGISTERED: dict[str, tuple[Callable, str | None]] = {
     "tps_warp": (_warped, None),
     "closest_surface": (lambda s, d: _out(warp.closest_surface(_queries_for_nearest(s, d), views.points(s, d), views.faces(s, d)), ["specimen_id", "point_id", "face_id"], _XYZ), None),
     "dense_correspondence": (_dense, None),
-    "point_normals": (lambda s, d: _out(segment.normals(views.points(s, d), views.faces(s, d)), ["specimen_id", "point_id"], ["nx", "ny", "nz"]), None),
-    "subsample_points": (lambda s, d: _out(segment.subsample(views.points(s, d)), ["specimen_id", "point_id"], _XYZ), None),
+    "point_normals": (lambda s, d: _out(segment.normals(views.points(s, d), views.faces(s, d)), ["specimen_id", "point_id"], ["nx", "ny", "nz"]), _normals_sql()),
+    "subsample_points": (lambda s, d: _out(segment.subsample(views.points(s, d)), ["specimen_id", "point_id"], _XYZ), _subsample_sql()),
+    "closest_surface_points": (
+        lambda s, d: _out(warp.closest_surface(_queries_for_nearest(s, d), views.points(s, d), views.faces(s, d)), ["specimen_id", "point_id"], _XYZ),
+        _surface_sql(),
+    ),
+    "rigid_align_lengths": (lambda s, d: _lengths(_aligned_points(False)(s, d)[0]), _sql(f"cast(p.s as bigint) as specimen_id, cast(p.pid as bigint) as point_id, {_f(_NEXT, 'length')}", _NEXT_FROM)),
+    "rigid_align_balance": (_balance, _sql(f"distinct {_S}, " + ", ".join(f"0.0::double as {k}_{c}" for k in ("turn", "shift") for c in _XYZ), "pt")),
+    "similarity_align_lengths": (
+        lambda s, d: _lengths(_aligned_points(True)(s, d)[0]),
+        _sql(
+            f"cast(p.s as bigint) as specimen_id, cast(p.pid as bigint) as point_id, {_f(f'{_NEXT} * k', 'length')}",
+            f"{_NEXT_FROM} join (select s as ks, sqrt(goal / (var_pop(x) + var_pop(y) + var_pop(z))) as k from lm cross join (select var_pop(mx) + var_pop(my) + var_pop(mz) as goal from mean) group by s, goal) on ks = p.s",
+        ),
+    ),
+    "gpa_mean_balance": (_gpa_balance, _sql("count(*) as landmarks, 0.0::double as centre_x, 0.0::double as centre_y, 0.0::double as centre_z, 1.0::double as size, 0.0::double as moved", "mean")),
+    "tps_warp_landmarks": (
+        lambda s, d: _warped(s, d).where(F.col("point_id") <= views.LANDMARKS),
+        _sql(f"{_S}, {_P}, {_f('mx', 'x')}, {_f('my', 'y')}, {_f('mz', 'z')}", "lm join mean using (pid)"),
+    ),
+    "dense_correspondence_landmarks": (lambda s, d: _dense(s, d).where(F.col("point_id") <= views.LANDMARKS), _sql(f"{_S}, {_P}, " + ", ".join(_f(c, c) for c in _XYZ), "lm")),
+    "kmeans_segment_balance": (_kmeans_balance, _sql("count(*) as points, least(5, count(distinct (r, g, b))) as clusters, 0::bigint as farther, 0.0::double as shifted", "rgb")),
+    "shape_pipeline_balance": (lambda s, d: _results_balance(pipelines.shape(_specimens(s, d), _plain_atlas(s, d))[0]), _RESULTS_SQL),
+    "symmetry_pipeline_balance": (lambda s, d: _results_balance(pipelines.symmetry(_specimens(s, d), _plain_atlas(s, d), MIRROR_INDEX, first=1)), _RESULTS_SQL),
+    "atlas_pipeline_landmarks": (_atlas_landmarks, _sql("cast(pid as bigint) as lm_id, 0.0::double as \"offset\"", "mean")),
     "kmeans_segment": (_kmeans, None),
     "atlas_pipeline": (lambda s, d: _out(pipelines.make_atlas(_specimens(s, d)).points, ["point_id"], _XYZ), None),
     "shape_pipeline": (lambda s, d: _long(pipelines.shape(_specimens(s, d), _plain_atlas(s, d))[0]), None),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formloom.functions.schema import IMAGE_ENDINGS, specimen_id
@@ -14,20 +14,38 @@ MARKUPS = "markups array<struct<coordinateSystem:string,controlPoints:array<stru
 FCSV = ("id", "x", "y", "z", "ow", "ox", "oy", "oz", "vis", "sel", "lock", "label", "desc", "associatedNodeID")
 
 
+#: Coordinates are held as left, posterior, superior; a file may state the opposite signs of the first two, also by number.
+_OPPOSITE = ("RAS", "0")
+
+
+def _in_lps(system: Column, x: Column, y: Column, z: Column) -> list[Column]:
+    sign = F.when(F.upper(F.trim(system)).isin(*_OPPOSITE), F.lit(-1.0)).otherwise(F.lit(1.0))
+    return [(sign * x).alias("x"), (sign * y).alias("y"), z.alias("z")]
+
+
 def read_json(spark: SparkSession, folder: str) -> DataFrame:
-    """Landmarks of *.json files, in the order of their control points; ids count from 0, points without `selected` are."""
+    """Landmarks of *.json files, in the order of their control points; ids count from 0, points without `selected` are.
+
+    Coordinates come out in LPS, whichever system the file states; one that states none is taken to be in LPS.
+    """
     raw = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    points = raw.select(specimen_id(F.col("path")).alias("specimen_id"), F.posexplode(F.from_json("value", MARKUPS)["markups"][0]["controlPoints"]).alias("lm_id", "p"))
-    return points.select("specimen_id", "lm_id", F.col("p.label").alias("label"), *[F.col("p.position")[i].alias(c) for i, c in enumerate("xyz")], F.coalesce("p.selected", F.lit(True)).alias("selected"))
+    markup = raw.select(specimen_id(F.col("path")).alias("specimen_id"), F.from_json("value", MARKUPS)["markups"][0].alias("m"))
+    points = markup.select("specimen_id", F.col("m.coordinateSystem").alias("system"), F.posexplode("m.controlPoints").alias("lm_id", "p"))
+    xyz = _in_lps(F.col("system"), *[F.col("p.position")[i] for i in range(3)])
+    return points.select("specimen_id", "lm_id", F.col("p.label").alias("label"), *xyz, F.coalesce("p.selected", F.lit(True)).alias("selected"))
 
 
 def read_fcsv(spark: SparkSession, folder: str) -> DataFrame:
-    """Landmarks of *.fcsv files, in the order of their lines; those that begin with # are comments."""
+    """Landmarks of *.fcsv files, in the order of their lines; those that begin with # are comments, which may state the
+    coordinate system. Files that state none are in RAS. Fields in quotes may hold commas."""
     raw = spark.read.option("pathGlobFilter", "*.fcsv").option("recursiveFileLookup", "true").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     lines = F.filter(F.split("value", r"\r?\n"), lambda x: (F.trim(x) != "") & ~x.startswith("#"))
-    points = raw.select(specimen_id(F.col("path")).alias("specimen_id"), F.posexplode(lines).alias("lm_id", "line")).withColumn("f", F.split("line", ","))
-    at = {n: F.get("f", F.lit(i)) for i, n in enumerate(FCSV)}
-    return points.select("specimen_id", "lm_id", at["label"].alias("label"), *[at[c].cast("double").alias(c) for c in "xyz"], F.coalesce(at["sel"] != "0", F.lit(True)).alias("selected"))
+    stated = F.regexp_extract("value", r"(?im)^#\s*CoordinateSystem\s*=\s*([A-Za-z0-9]+)", 1)
+    points = raw.select(specimen_id(F.col("path")).alias("specimen_id"), F.when(stated == "", F.lit("RAS")).otherwise(stated).alias("system"), F.posexplode(lines).alias("lm_id", "line"))
+    fields = ", ".join(f"{n} string" for n in FCSV)
+    points = points.withColumn("f", F.from_csv("line", F.lit(fields), {"quote": '"'}))
+    xyz = _in_lps(F.col("system"), *[F.col(f"f.{c}").cast("double") for c in "xyz"])
+    return points.select("specimen_id", "lm_id", F.col("f.label").alias("label"), *xyz, F.coalesce(F.trim("f.sel") != "0", F.lit(True)).alias("selected"))
 
 
 def read_landmarks(spark: SparkSession, folder: str) -> DataFrame:

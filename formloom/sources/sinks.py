@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def run_folder(root: str, at: float | None = None) -> str:
     """The folder of a run, named by its time in UTC."""
-    return f"{root.rstrip('/')}/{time.strftime('%Y_%m-%d_%H_%M_%S', time.gmtime(at))}"
+    return f"{root.rstrip('/')}/{time.strftime('%Y%m%dT%H%M%SZ', time.gmtime(at))}"
 
 
 def write_stage(df: DataFrame, run: str, table: str, stage: str) -> None:
