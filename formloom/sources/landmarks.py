@@ -37,11 +37,11 @@ def read_json(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_fcsv(spark: SparkSession, folder: str) -> DataFrame:
     """Landmarks of *.fcsv files, in the order of their lines; those that begin with # are comments, which may state the
-    coordinate system. Files that state none are in RAS. Fields in quotes may hold commas."""
+    coordinate system. Files that state none are taken to be in LPS. Fields in quotes may hold commas."""
     raw = spark.read.option("pathGlobFilter", "*.fcsv").option("recursiveFileLookup", "true").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     lines = F.filter(F.split("value", r"\r?\n"), lambda x: (F.trim(x) != "") & ~x.startswith("#"))
     stated = F.regexp_extract("value", r"(?im)^#\s*CoordinateSystem\s*=\s*([A-Za-z0-9]+)", 1)
-    points = raw.select(specimen_id(F.col("path")).alias("specimen_id"), F.when(stated == "", F.lit("RAS")).otherwise(stated).alias("system"), F.posexplode(lines).alias("lm_id", "line"))
+    points = raw.select(specimen_id(F.col("path")).alias("specimen_id"), stated.alias("system"), F.posexplode(lines).alias("lm_id", "line"))
     fields = ", ".join(f"{n} string" for n in FCSV)
     points = points.withColumn("f", F.from_csv("line", F.lit(fields), {"quote": '"'}))
     xyz = _in_lps(F.col("system"), *[F.col(f"f.{c}").cast("double") for c in "xyz"])

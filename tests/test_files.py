@@ -86,7 +86,7 @@ def test_read_a_folder_and_write_it_again(spark, tmp_path):
         xyz, _, tri = mesh.parse_vtp(r.value.encode())
         assert np.allclose(xyz, P) and tri.tolist() == TRIS and 'Name="d"' in r.value
     run = sinks.run_folder(str(tmp_path), 0)
-    assert run.endswith("1970_01-01_00_00_00")
+    assert run.endswith("19700101T000000Z")
     sinks.write_stage(points, run, "mesh_point", "align")
     assert spark.read.parquet(f"{run}/mesh_point").where("stage = 'align'").count() == 8
     sinks.write_files(sinks.ply_text(points, faces), f"{tmp_path}/out")

@@ -45,7 +45,7 @@ def test_coordinate_systems(spark, tmp_path):
     (tmp_path / "h.fcsv").write_text("1,1,2,3,0,0,0,1,1,1,0,c,,\n")
     got = {r.specimen_id: (r.x, r.y, r.z, r.label, r.selected) for r in landmarks.read_landmarks(spark, str(tmp_path)).collect()}
     lps, ras = (1.0, 2.0, 3.0), (-1.0, -2.0, 3.0)
-    assert got == {"l": (*lps, "a", True), "r": (*ras, "a", True), "n": (*lps, "a", True), "f": (*lps, "tip, left", False), "g": (*ras, "b", True), "h": (*ras, "c", True)}
+    assert got == {"l": (*lps, "a", True), "r": (*ras, "a", True), "n": (*lps, "a", True), "f": (*lps, "tip, left", False), "g": (*ras, "b", True), "h": (*lps, "c", True)}
 
 
 def test_faces_of_mirrored_meshes_look_outwards(spark):
