@@ -15,7 +15,7 @@ POINT_RESULT = "point_id int, name string, value double"
 # The endings that files of meshes, landmarks and textures have.
 MESH_ENDINGS = ("ply", "obj", "stl", "vtk", "vtp")
 LANDMARK_ENDINGS = ("mrk.json", "json", "fcsv")
-IMAGE_ENDINGS = ("png", "jpg", "jpeg")
+IMAGE_ENDINGS = ("png", "jpg", "jpeg", "bmp")
 
 
 def specimen_id(path: Column) -> Column:

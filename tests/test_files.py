@@ -124,9 +124,17 @@ def png(rows):
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">2I5B", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + bytes(c for p in r for c in p) for r in rows))) + chunk(b"IEND", b"")
 
 
-def test_image(spark, tmp_path):
+def bmp(rows):
+    """Rows of RGB pixels as a BMP file: 24 bits, blue first, from the bottom, lines filled to four bytes."""
+    h, w = len(rows), len(rows[0])
+    data = b"".join(b"".join(bytes(p[::-1]) for p in r) + bytes(-3 * w % 4) for r in reversed(rows))
+    return b"BM" + struct.pack("<IHHI", 54 + len(data), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 24, 0, len(data), 2835, 2835, 0, 0) + data
+
+
+@pytest.mark.parametrize(("name", "made"), [("fish.PNG", png), ("fish.bmp", bmp)])
+def test_image(spark, tmp_path, name, made):
     rows = [[(255, 0, 1), (0, 255, 2)], [(0, 0, 253), (9, 8, 7)]]
-    (tmp_path / "fish.PNG").write_bytes(png(rows))
+    (tmp_path / name).write_bytes(made(rows))
     t = texture.texels(landmarks.read_images(spark, f"file://{tmp_path}"))
     got = {(r.specimen_id, r.row, r.col): (r.r, r.g, r.b) for r in t.collect()}
     assert got == {("fish", i, j): rows[i][j] for i in range(2) for j in range(2)}
