@@ -96,8 +96,8 @@ def _round_here(shapes: np.ndarray, mean: np.ndarray, scale: str | None) -> np.n
     return np.mean([s @ matrix_from_moments(c, at, at, v, goal, scale)[:3, :3].T for s, c, v in zip(shapes, cov, var, strict=True)], axis=0)
 
 
-def procrustes(landmarks: DataFrame, keep_size: bool = False, iterations: int = 20, tolerance: float = 1e-9, most_here: int = MOST_HERE) -> tuple[DataFrame, DataFrame]:
-    """(mean, aligned): specimens aligned to their own mean, which starts as the first specimen, until it settles.
+def procrustes(landmarks: DataFrame, keep_size: bool = False, iterations: int = 300, tolerance: float = 1e-9, most_here: int = MOST_HERE) -> tuple[DataFrame, DataFrame]:
+    """(mean, aligned): specimens aligned to their own mean, which starts as the first specimen, until it settles (`iterations` rounds at most).
 
     Without keep_size all shapes, and the mean, have centroid size one. Up to most_here landmarks in all are averaged on
     the driver; beyond, each round is a job, and the landmarks of one mean come to the driver, never the specimens'.
