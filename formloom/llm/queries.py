@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("op1_bpe", "op2_exact", "op3_tokens", "op4_packing", "op5_omh", "op6_simhash", "op7_pii", "op8_shards", "op9_toxicity", "op10_quality", "op11_fim", "op12_merkle")
+MODULES = ("op1_bpe", "op2_exact", "op3_tokens", "op4_packing", "op5_omh", "op6_simhash", "op7_pii", "op8_shards", "op9_toxicity", "op10_quality", "op11_fim", "op12_merkle", "op13_html")
 
 
 def queries() -> dict[str, Callable]:
