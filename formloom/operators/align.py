@@ -5,12 +5,15 @@ Sums over landmarks are aggregates; Python sees one row of moments for each spec
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formloom.functions.schema import TRANSFORM
+from formloom.functions.tables import written
 from formloom.operators.affine import XYZ, apply_affine
 from formloom.operators.features import mean_landmarks
 
@@ -103,8 +106,7 @@ def procrustes(landmarks: DataFrame, keep_size: bool = False, iterations: int =
     the driver; beyond, each round is a job, and the landmarks of one mean come to the driver, never the specimens'.
     """
     spark = landmarks.sparkSession
-    shapes = _centred(landmarks, not keep_size).persist()
-    first = shapes.agg(F.min("specimen_id")).first()[0]
+    shapes = written(_centred(landmarks, not keep_size), "shapes")
     schema = f"lm_id {landmarks.schema['lm_id'].dataType.simpleString()}, x double, y double, z double"
 
     def settled(rows: list) -> np.ndarray:
@@ -113,16 +115,18 @@ def procrustes(landmarks: DataFrame, keep_size: bool = False, iterations: int =
         size = np.sqrt((xyz**2).sum())
         return xyz if keep_size or not size else xyz / size
 
+    n, first = shapes.agg(F.count("*"), F.min("specimen_id")).first()
     if first is None:
         return spark.createDataFrame([], schema), shapes
-    rows = shapes.where(F.col("specimen_id") == F.lit(first)).orderBy("lm_id").collect()
-    ids, mean = [r.lm_id for r in rows], settled(rows)
-    n = shapes.count()
-    here = None
-    if n <= most_here and n % len(ids) == 0:
-        found = sorted(((r.specimen_id, r.lm_id, r.x, r.y, r.z) for r in shapes.collect()), key=lambda r: r[:2])
-        if [r[1] for r in found] == ids * (n // len(ids)):
-            here = np.array([r[2:] for r in found]).reshape(-1, len(ids), 3)
+    here, found = None, []
+    if n <= most_here:
+        found = sorted(shapes.collect(), key=lambda r: (r.specimen_id, r.lm_id))
+        rows = [r for r in found if r.specimen_id == first]
+    else:
+        rows = shapes.where(F.col("specimen_id") == F.lit(first)).orderBy("lm_id").collect()
+    ids, mean, moved = [r.lm_id for r in rows], settled(rows), 0.0
+    if found and [r.lm_id for r in found] == ids * (n // len(ids)):
+        here = np.array([(r.x, r.y, r.z) for r in found]).reshape(-1, len(ids), 3)
     for _ in range(iterations):
         if here is not None:
             rows = _round_here(here, mean, None if keep_size else "lsq")
@@ -139,6 +143,8 @@ def procrustes(landmarks: DataFrame, keep_size: bool = False, iterations: int =
         moved, mean = float(np.abs(new - mean).max()), new
         if moved < tolerance:
             break
+    if moved >= tolerance:
+        warnings.warn(f"the mean hasn't settled in {iterations} rounds; it moved by {moved:.3g} in the last", stacklevel=2)
     goal = spark.createDataFrame([(i, *map(float, p)) for i, p in zip(ids, mean, strict=True)], schema)
     return goal, apply_affine(shapes, fit_transforms(shapes, goal, None if keep_size else "lsq"))
 

@@ -45,13 +45,9 @@ def spread(distances: DataFrame) -> DataFrame:
 
 def point_results(distances: DataFrame) -> DataFrame:
     """(point_id, name, value): mean, deviation and every specimen's distances in long form."""
-    stats = spread(distances)
-    parts = [
-        stats.select("point_id", F.lit("Magnitude Mean").alias("name"), F.col("magnitude_mean").alias("value")),
-        stats.select("point_id", F.lit("Magnitude SD").alias("name"), F.col("magnitude_sd").alias("value")),
-        distances.select("point_id", F.col("specimen_id").cast("string").alias("name"), F.col("distance").alias("value")),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    both = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("value")) for n, c in (("Magnitude Mean", "magnitude_mean"), ("Magnitude SD", "magnitude_sd"))])
+    stats = spread(distances).select("point_id", F.inline(both))
+    return stats.unionByName(distances.select("point_id", F.col("specimen_id").cast("string").alias("name"), F.col("distance").alias("value")))
 
 
 def result_names(results: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from formloom.operators.affine import XYZ
+from formloom.operators.nearest import triangles
 
 
 def faces_within(faces: DataFrame, assignment: DataFrame) -> DataFrame:
@@ -139,8 +140,6 @@ def subset_landmarks(landmarks: DataFrame, base: DataFrame, first: int = 0) -> D
 
 def normals(points: DataFrame, faces: DataFrame, flip: bool = False) -> DataFrame:
     """(specimen_id, point_id, nx, ny, nz): of unit length, the sum of the faces' normals by area. flip: for mirrored meshes."""
-    from formloom.operators.warp import triangles
-
     t = triangles(points, faces).join(faces, ["specimen_id", "face_id"])
     e = {f"e{k}{c}": F.col(f"{c}{k}") - F.col(f"{c}0") for k in (1, 2) for c in XYZ}
     t = t.withColumns(e)

@@ -1,4 +1,4 @@
-"""Thin-plate splines, closest points on surfaces, and dense correspondence: one specimen is one task's work."""
+"""Thin-plate splines, one specimen a task, and dense correspondence."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from formloom.functions.tables import written
 from formloom.operators.affine import XYZ
+from formloom.operators.nearest import closest_on_triangles, closest_surface, nearest_vertex, triangles
 
 
 def _chunk(n: int) -> int:
@@ -38,53 +40,6 @@ def warp(points: np.ndarray, source: np.ndarray, weights: np.ndarray) -> np.ndar
     return out
 
 
-def closest_on_triangles(query: np.ndarray, corners: np.ndarray, chunk: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(closest point of the surface, index of its triangle) for each query; of equal ones the first triangle.
-
-    A triangle lies within a radius of its centre, so those farther off than the nearest can be are left out unseen.
-    """
-    centre = corners.mean(1)
-    radius = np.linalg.norm(corners - centre[:, None], axis=2).max(1)
-    point, face = np.empty((len(query), 3)), np.empty(len(query), np.int64)
-    chunk = chunk or _chunk(len(corners))
-    for i in range(0, len(query), chunk):
-        own = query[i : i + chunk]
-        d = np.linalg.norm(own[:, None] - centre[None], axis=2)
-        q, f = np.nonzero(d - radius <= (d + radius).min(1)[:, None] + 1e-9)
-        at = _on_triangle(own[q], corners[f])
-        gap = ((at - own[q]) ** 2).sum(1)
-        order = np.lexsort((f, gap, q))
-        first = order[np.unique(q[order], return_index=True)[1]]
-        point[i : i + chunk], face[i : i + chunk] = at[first], f[first]
-    return point, face
-
-
-def _on_triangle(p: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """The point of each triangle closest to each p: the foot in its plane if that lies inside, else on an edge."""
-    a, b, c = t[:, 0], t[:, 1], t[:, 2]
-    ab, ac, ap = b - a, c - a, p - a
-    dot = lambda x, y: (x * y).sum(1)
-    d11, d12, d22, e1, e2 = dot(ab, ab), dot(ab, ac), dot(ac, ac), dot(ap, ab), dot(ap, ac)
-    det = d11 * d22 - d12 * d12
-    safe = np.where(det > 0, det, 1)
-    v, w = (d22 * e1 - d12 * e2) / safe, (d11 * e2 - d12 * e1) / safe
-    inside = (det > 0) & (v >= 0) & (w >= 0) & (v + w <= 1)
-    best = a + v[:, None] * ab + w[:, None] * ac
-    gap = np.where(inside, dot(best - p, best - p), np.inf)
-    for x, y in ((a, b), (b, c), (c, a)):
-        edge = y - x
-        s = np.clip(dot(p - x, edge) / np.maximum(dot(edge, edge), 1e-300), 0, 1)
-        at = x + s[:, None] * edge
-        own = dot(at - p, at - p)
-        nearer = own < gap
-        best, gap = np.where(nearer[:, None], at, best), np.where(nearer, own, gap)
-    return best
-
-
-def _type(df: DataFrame, column: str) -> str:
-    return df.schema[column].dataType.simpleString()
-
-
 def warp_points(points: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
     """Points of every specimen under the spline from its source landmarks to its target's, both by specimen_id and lm_id."""
     marks = source.select("specimen_id", "lm_id", *XYZ).join(target.select("specimen_id", "lm_id", *[F.col(c).alias(f"t{c}") for c in XYZ]), ["specimen_id", "lm_id"])
@@ -100,47 +55,6 @@ def warp_points(points: DataFrame, source: DataFrame, target: DataFrame) -> Data
     return points.groupBy("specimen_id").cogroup(marks.groupBy("specimen_id")).applyInPandas(moved, points.schema)
 
 
-def triangles(points: DataFrame, faces: DataFrame) -> DataFrame:
-    """(specimen_id, face_id, x0 ... z2): faces with their corners' coordinates."""
-    out = faces.select("specimen_id", "face_id", "v0", "v1", "v2")
-    for k in range(3):
-        corner = points.select("specimen_id", F.col("point_id").alias(f"v{k}"), *[F.col(c).alias(f"{c}{k}") for c in XYZ])
-        out = out.join(corner, ["specimen_id", f"v{k}"])
-    return out.select("specimen_id", "face_id", *[f"{c}{k}" for k in range(3) for c in XYZ])
-
-
-def closest_surface(queries: DataFrame, points: DataFrame, faces: DataFrame) -> DataFrame:
-    """(specimen_id, point_id, x, y, z, face_id): for each query point the closest of its specimen's surface."""
-    corners = triangles(points, faces)
-
-    def found(own: pd.DataFrame, tri: pd.DataFrame) -> pd.DataFrame:
-        columns = ["specimen_id", "point_id", *XYZ, "face_id"]
-        if not len(own) or not len(tri):
-            return pd.DataFrame(columns=columns)
-        tri = tri.sort_values("face_id")
-        xyz, at = closest_on_triangles(own[list(XYZ)].to_numpy(float), tri[[f"{c}{k}" for k in range(3) for c in XYZ]].to_numpy(float).reshape(-1, 3, 3))
-        return pd.DataFrame({"specimen_id": own.specimen_id.to_numpy(), "point_id": own.point_id.to_numpy(), "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2], "face_id": tri.face_id.to_numpy()[at]})
-
-    schema = f"specimen_id {_type(queries, 'specimen_id')}, point_id {_type(queries, 'point_id')}, x double, y double, z double, face_id {_type(faces, 'face_id')}"
-    return queries.groupBy("specimen_id").cogroup(corners.groupBy("specimen_id")).applyInPandas(found, schema)
-
-
-def nearest_vertex(queries: DataFrame, points: DataFrame) -> DataFrame:
-    """(specimen_id, point_id, vertex_id): for each query point the nearest vertex of its specimen, of equal ones the first."""
-
-    def found(own: pd.DataFrame, mesh: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(mesh):
-            return pd.DataFrame(columns=["specimen_id", "point_id", "vertex_id"])
-        mesh = mesh.sort_values("point_id")
-        q, v = own[list(XYZ)].to_numpy(float), mesh[list(XYZ)].to_numpy(float)
-        chunk = _chunk(len(v))
-        at = np.concatenate([((q[i : i + chunk, None] - v[None]) ** 2).sum(2).argmin(1) for i in range(0, len(q), chunk)])
-        return pd.DataFrame({"specimen_id": own.specimen_id.to_numpy(), "point_id": own.point_id.to_numpy(), "vertex_id": mesh.point_id.to_numpy()[at]})
-
-    schema = f"specimen_id {_type(queries, 'specimen_id')}, point_id {_type(queries, 'point_id')}, vertex_id {_type(points, 'point_id')}"
-    return queries.select("specimen_id", "point_id", *XYZ).groupBy("specimen_id").cogroup(points.select("specimen_id", "point_id", *XYZ).groupBy("specimen_id")).applyInPandas(found, schema)
-
-
 def transfer_colors(queries: DataFrame, points: DataFrame, colors: DataFrame) -> DataFrame:
     """(specimen_id, point_id, r, g, b): the colour of the nearest vertex; null where that vertex has none."""
     near = nearest_vertex(queries, points)
@@ -157,13 +71,17 @@ def dense_correspondence(points: DataFrame, faces: DataFrame, landmarks: DataFra
     """(specimen_id, point_id, x, y, z): where each atlas point lies on each specimen.
 
     Specimens and, once, the atlas are warped to the mean shape; each atlas point goes to the closest point of a
-    specimen's surface there, and back with the specimen. stages: gets the warped meshes, for inspection.
+    specimen's surface there, and back with the specimen. Warped meshes and the result are written once, whatever is made
+    of them. stages: gets the warped meshes, for inspection.
     """
     goal = per_specimen(mean, landmarks)
-    in_mean = warp_points(points, landmarks, goal)
+    in_mean = written(warp_points(points.select("specimen_id", "point_id", *XYZ), landmarks, goal), "dense-subjects")
     one = F.lit("atlas").alias("specimen_id")
-    base = warp_points(atlas.select(one, "point_id", *XYZ), atlas_landmarks.select(one, "lm_id", *XYZ), mean.select(one, "lm_id", *XYZ)).drop("specimen_id")
+    base = written(warp_points(atlas.select(one, "point_id", *XYZ), atlas_landmarks.select(one, "lm_id", *XYZ), mean.select(one, "lm_id", *XYZ)).drop("specimen_id"), "dense-base")
     on_surface = closest_surface(per_specimen(base, landmarks), in_mean, faces).drop("face_id")
     if stages is not None:
         stages |= {"subjects": in_mean, "base": base}
-    return warp_points(on_surface, goal, landmarks)
+    return written(warp_points(on_surface, goal, landmarks), "dense")
+
+
+__all__ = ["closest_on_triangles", "closest_surface", "dense_correspondence", "nearest_vertex", "per_specimen", "spline", "transfer_colors", "triangles", "warp", "warp_points"]

@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formloom.functions.schema import require
+from formloom.functions.tables import written
 from formloom.operators import affine, align, features, segment, texture, warp
 
 
 @dataclass
 class Specimens:
-    """A collection: points, faces and landmarks by specimen_id; texels where there are textures."""
+    """A collection: points, faces and landmarks by specimen_id; texels where there are textures.
+
+    stages: gets what workflows make on the way, written already: aligned_points and aligned_landmarks, mirrored_points
+    and mirrored_landmarks, and the warped meshes, subjects and base, to judge the correspondence by.
+    """
 
     points: DataFrame
     faces: DataFrame
@@ -56,6 +61,14 @@ def closest_specimen(landmarks: DataFrame) -> DataFrame:
     return features.closest(features.distances_to_mean(aligned, mean))
 
 
+def _aligned(s: Specimens, target: DataFrame, remove_scale: bool) -> tuple[DataFrame, DataFrame]:
+    """Points and landmarks moved to the target, written once; they are the stages `align` of the collection."""
+    points, marks = align.align(s.points, s.landmarks.select("specimen_id", "lm_id", "x", "y", "z"), target, remove_scale)
+    found = written(points, "aligned-points"), written(marks, "aligned-landmarks")
+    s.stages |= {"aligned_points": found[0], "aligned_landmarks": found[1]}
+    return found
+
+
 def make_atlas(s: Specimens, remove_scale: bool = True) -> Atlas:
     """The mean of all specimens, in correspondence, in the frame of the one closest to their mean."""
     check(s)
@@ -64,22 +77,21 @@ def make_atlas(s: Specimens, remove_scale: bool = True) -> Atlas:
         raise ValueError("there are no landmarks")
     own = lambda df: df.where(F.col("specimen_id") == F.lit(base.specimen_id))
     base_marks = own(s.landmarks).select("lm_id", "x", "y", "z")
-    points, marks = align.align(s.points, s.landmarks.select("specimen_id", "lm_id", "x", "y", "z"), base_marks, remove_scale)
-    points, marks = points.persist(), marks.persist()
+    points, marks = _aligned(s, base_marks, remove_scale)
     mean, _ = align.procrustes(marks)
     dense = warp.dense_correspondence(points, s.faces, marks, own(points).drop("specimen_id"), own(marks).drop("specimen_id"), mean, s.stages)
     return Atlas(features.mean_mesh(dense), own(s.faces).drop("specimen_id"), features.mean_landmarks(marks))
 
 
 def _in_atlas(s: Specimens, atlas: Atlas, remove_scale: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    points, marks = align.align(s.points, s.landmarks.select("specimen_id", "lm_id", "x", "y", "z"), atlas.landmarks, remove_scale)
-    points, marks = points.persist(), marks.persist()
+    points, marks = _aligned(s, atlas.landmarks, remove_scale)
     mean, _ = align.procrustes(marks)
     return points, marks, mean
 
 
 def shape(s: Specimens, atlas: Atlas, remove_scale: bool = True) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """(point results in long form, colour means, colour variances); no colours without textures."""
+    check(s, s.texels is not None)
     points, marks, mean = _in_atlas(s, atlas, remove_scale)
     dense = warp.dense_correspondence(points, s.faces, marks, atlas.points, atlas.landmarks, mean, s.stages)
     results = features.point_results(features.magnitudes(dense, atlas.points))
@@ -108,9 +120,14 @@ def mirrored_meshes(s: Specimens, index: Sequence[int], axes: Sequence[int] = (-
 
 def symmetry(s: Specimens, atlas: Atlas, index: Sequence[int], remove_scale: bool = True, first: int = 0) -> DataFrame:
     """Point results of the distances between specimens and their mirror images, in correspondence."""
+    check(s)
+    affine.mirror_index(",".join(map(str, index)))
+    if not index:
+        raise ValueError("symmetry needs the order of mirrored landmarks")
     points, marks, mean = _in_atlas(s, atlas, remove_scale)
-    dense = warp.dense_correspondence(points, s.faces, marks, atlas.points, atlas.landmarks, mean)
-    m_points, m_marks = (x.persist() for x in mirrored(points, marks, index, first=first))
+    dense = warp.dense_correspondence(points, s.faces, marks, atlas.points, atlas.landmarks, mean, s.stages)
+    m_points, m_marks = (written(x, f"mirrored-{n}") for n, x in zip(("points", "landmarks"), mirrored(points, marks, index, first=first), strict=True))
+    s.stages |= {"mirrored_points": m_points, "mirrored_landmarks": m_marks}
     m_mean, _ = align.procrustes(m_marks)
     m_dense = warp.dense_correspondence(m_points, s.faces, m_marks, atlas.points, atlas.landmarks, m_mean)
     return features.point_results(features.asymmetries(dense, m_dense))
@@ -124,7 +141,7 @@ def sparse_atlas(atlas: Atlas, percent: float = 4.0) -> DataFrame:
 def dense_landmarks(s: Specimens, atlas: Atlas, percent: float = 4.0) -> DataFrame:
     """(specimen_id, lm_id, label, x, y, z): landmarks at the thinned atlas's points, for all specimens and the atlas itself."""
     points, marks, mean = _in_atlas(s, atlas, True)
-    dense = warp.dense_correspondence(points, s.faces, marks, atlas.points, atlas.landmarks, mean)
+    dense = warp.dense_correspondence(points, s.faces, marks, atlas.points, atlas.landmarks, mean, s.stages)
     index = sparse_atlas(atlas, percent)
     base = atlas.points.withColumn("specimen_id", F.lit("atlas"))
     as_text = dense.withColumn("specimen_id", F.col("specimen_id").cast("string"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from formloom.functions.tables import written
 from formloom.operators import affine, align, features, segment, texture, warp
 from formloom.plans import pipelines, views
 
@@ -104,16 +105,31 @@ def _warped(spark, d):
 
 
 def _specimens(spark, d, textures: bool = False) -> pipelines.Specimens:
-    return pipelines.Specimens(views.points(spark, d), views.faces(spark, d), views.landmarks(spark, d).drop("selected"), views.texel(spark, d) if textures else None)
+    """The views as a collection, written once as files of a collection are read once."""
+    points = written(views.points(spark, d), "view-points")
+    lm = points.where(F.col("point_id") <= views.LANDMARKS).select("specimen_id", F.col("point_id").alias("lm_id"), *_XYZ)
+    return pipelines.Specimens(points, written(views.faces(spark, d), "view-faces"), lm, views.texel(spark, d) if textures else None)
 
 
-def _plain_atlas(spark, d) -> pipelines.Atlas:
-    s = _specimens(spark, d)
-    return pipelines.Atlas(features.mean_mesh(s.points), s.faces.where("specimen_id = 0").drop("specimen_id"), features.mean_landmarks(s.landmarks))
+def _plain_atlas(s: pipelines.Specimens) -> pipelines.Atlas:
+    """The plain mean of a collection, with the faces of its first specimen."""
+    first = s.faces.agg(F.min("specimen_id").alias("specimen_id"))
+    return pipelines.Atlas(written(features.mean_mesh(s.points), "view-atlas"), s.faces.join(F.broadcast(first), "specimen_id", "left_semi").drop("specimen_id"), features.mean_landmarks(s.landmarks))
+
+
+def _workflow(which: Callable, textures: bool = False) -> Callable:
+    """A query of a workflow: which(collection, its plain atlas)."""
+
+    def made(spark, d):
+        s = _specimens(spark, d, textures)
+        return which(s, _plain_atlas(s))
+
+    return made
 
 
 def _dense(spark, d):
-    s, a = _specimens(spark, d), _plain_atlas(spark, d)
+    s = _specimens(spark, d)
+    a = _plain_atlas(s)
     mean, _ = align.procrustes(s.landmarks)
     return _out(warp.dense_correspondence(s.points, s.faces, s.landmarks, a.points, a.landmarks, mean), ["specimen_id", "point_id"], _XYZ)
 
@@ -395,15 +411,15 @@ REGISTERED: dict[str, tuple[Callable, str | None]] = {
     ),
     "dense_correspondence_landmarks": (lambda s, d: _dense(s, d).where(F.col("point_id") <= views.LANDMARKS), _sql(f"{_S}, {_P}, " + ", ".join(_f(c, c) for c in _XYZ), "lm")),
     "kmeans_segment_balance": (_kmeans_balance, _sql("count(*) as points, least(5, count(distinct (r, g, b))) as clusters, 0::bigint as farther, 0.0::double as shifted", "rgb")),
-    "shape_pipeline_balance": (lambda s, d: _results_balance(pipelines.shape(_specimens(s, d), _plain_atlas(s, d))[0]), _RESULTS_SQL),
-    "symmetry_pipeline_balance": (lambda s, d: _results_balance(pipelines.symmetry(_specimens(s, d), _plain_atlas(s, d), MIRROR_INDEX, first=1)), _RESULTS_SQL),
+    "shape_pipeline_balance": (_workflow(lambda s, a: _results_balance(pipelines.shape(s, a)[0])), _RESULTS_SQL),
+    "symmetry_pipeline_balance": (_workflow(lambda s, a: _results_balance(pipelines.symmetry(s, a, MIRROR_INDEX, first=1))), _RESULTS_SQL),
     "atlas_pipeline_landmarks": (_atlas_landmarks, _sql("cast(pid as bigint) as lm_id, 0.0::double as \"offset\"", "mean")),
     "kmeans_segment": (_kmeans, None),
     "atlas_pipeline": (lambda s, d: _out(pipelines.make_atlas(_specimens(s, d)).points, ["point_id"], _XYZ), None),
-    "shape_pipeline": (lambda s, d: _long(pipelines.shape(_specimens(s, d), _plain_atlas(s, d))[0]), None),
-    "shape_color_pipeline": (lambda s, d: _out(pipelines.shape(_specimens(s, d, True), _plain_atlas(s, d))[1], ["point_id"], ["r", "g", "b"]), None),
-    "symmetry_pipeline": (lambda s, d: _long(pipelines.symmetry(_specimens(s, d), _plain_atlas(s, d), MIRROR_INDEX, first=1)), None),
-    "dense_landmarks_pipeline": (lambda s, d: pipelines.dense_landmarks(_specimens(s, d), _plain_atlas(s, d), 10.0).select("specimen_id", F.col("lm_id").cast("long").alias("lm_id"), *[_r(c).alias(c) for c in _XYZ]), None),
+    "shape_pipeline": (_workflow(lambda s, a: _long(pipelines.shape(s, a)[0])), None),
+    "shape_color_pipeline": (_workflow(lambda s, a: _out(pipelines.shape(s, a)[1], ["point_id"], ["r", "g", "b"]), textures=True), None),
+    "symmetry_pipeline": (_workflow(lambda s, a: _long(pipelines.symmetry(s, a, MIRROR_INDEX, first=1))), None),
+    "dense_landmarks_pipeline": (_workflow(lambda s, a: pipelines.dense_landmarks(s, a, 10.0).select("specimen_id", F.col("lm_id").cast("long").alias("lm_id"), *[_r(c).alias(c) for c in _XYZ])), None),
 }
 
 
