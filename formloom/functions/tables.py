@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,19 +37,25 @@ def own_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/formloom/{spark.sparkContext.applicationId}"
 
 
+_scopes: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df by way of a Parquet table in the shared folder."""
     path = f"{own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    for s in _scopes[-1:]:
+        s.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop(*tables: DataFrame) -> None:
-    """Deletes what `written` has made of these, and nothing else; for the end of a job, when its results have been stored."""
-    for df in tables:
-        spark = df.sparkSession
-        own = own_folder(spark).split("://")[-1].split("file:")[-1]
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if own in folder:
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that `written` makes within it, on failure too; for jobs whose results have been stored by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for p in _scopes.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -23,18 +23,23 @@ def _in_lps(system: Column, x: Column, y: Column, z: Column) -> list[Column]:
     return [(sign * x).alias("x"), (sign * y).alias("y"), z.alias("z")]
 
 
-def read_json(spark: SparkSession, folder: str) -> DataFrame:
-    """Landmarks of *.json files, in the order of their control points; ids count from 0, points without `selected` are.
+def markups_points(raw: DataFrame) -> DataFrame:
+    """Landmarks of markups files (path, value), in the order of their control points; ids count from 0, points without `selected` are.
 
     Coordinates come out in LPS, whichever system the file states; one that states none is taken to be in LPS.
     """
-    raw = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     markup = raw.select(specimen_id(F.col("path")).alias("specimen_id"), F.from_json("value", MARKUPS)["markups"][0].alias("m"))
     points = markup.select("specimen_id", F.col("m.coordinateSystem").alias("system"), F.posexplode("m.controlPoints").alias("lm_id", "p"))
     xyz = _in_lps(F.col("system"), *[F.col("p.position")[i] for i in range(3)])
     return points.select("specimen_id", "lm_id", F.col("p.label").alias("label"), *xyz, F.coalesce("p.selected", F.lit(True)).alias("selected"))
 
 
+def read_json(spark: SparkSession, folder: str) -> DataFrame:
+    """Landmarks of *.json files."""
+    raw = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").text(folder, wholetext=True)
+    return markups_points(raw.select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
 def read_fcsv(spark: SparkSession, folder: str) -> DataFrame:
     """Landmarks of *.fcsv files, in the order of their lines; those that begin with # are comments, which may state the
     coordinate system. Files that state none are taken to be in LPS. Fields in quotes may hold commas."""

@@ -6,15 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from formloom.functions.schema import specimen_id
-from formloom.sources.landmarks import MARKUPS
+from formloom.sources.landmarks import markups_points
 
 
 def landmark_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
-    """A stream of landmarks of markups files that appear in a folder."""
+    """A stream of landmarks of markups files that appear in a folder, as the batch reader has them."""
     raw = spark.readStream.format("text").option("wholetext", "true").option("pathGlobFilter", "*.json").option("maxFilesPerTrigger", files_per_trigger).load(folder)
-    points = raw.select(specimen_id(F.col("_metadata.file_path")).alias("specimen_id"), F.posexplode(F.from_json("value", MARKUPS)["markups"][0]["controlPoints"]).alias("lm_id", "p"))
-    return points.select("specimen_id", "lm_id", F.col("p.label").alias("label"), *[F.col("p.position")[i].alias(c) for i, c in enumerate("xyz")])
+    return markups_points(raw.select(F.col("_metadata.file_path").alias("path"), "value"))
 
 
 def running_mean(stream: DataFrame, name: str) -> StreamingQuery:

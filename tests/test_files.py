@@ -140,3 +140,81 @@ def test_image(spark, tmp_path, name, made):
     assert got == {("fish", i, j): rows[i][j] for i in range(2) for j in range(2)}
     flipped = {(r.row, r.col): (r.r, r.g, r.b) for r in texture.flip(t).collect()}
     assert flipped[0, 0] == (0, 0, 253)
+
+
+@pytest.mark.parametrize("system", [None, "LPS", "RAS", "0"])
+def test_stream_equals_batch(spark, tmp_path, system):
+    import json
+
+    markup = {"controlPoints": [{"label": "p", "position": [1, 2, 3]}, {"label": "q", "position": [4, 5, 6], "selected": False}]}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "s.mrk.json").write_text(json.dumps({"markups": [markup | ({"coordinateSystem": system} if system else {})]}))
+    name = f"landmarks_{system}"
+    q = arrivals.landmark_stream(spark, f"file://{tmp_path}/in").writeStream.format("memory").queryName(name).start()
+    q.processAllAvailable()
+    q.stop()
+    want = [tuple(r) for r in landmarks.read_json(spark, f"file://{tmp_path}/in").collect()]
+    assert sorted(tuple(r) for r in spark.table(name).collect()) == sorted(want) and want[0][3] == (-1 if system in ("RAS", "0") else 1)
+
+
+def surface(spark, ids):
+    """Two meshes on the same points, whose ids have gaps, with a value and an array of them a point."""
+    points = [(s, 2 * i + 3, *map(float, p), i / 3, [i / 3, -1.0 * i]) for s in ids for i, p in enumerate(P)]
+    faces = [(s, k, *[2 * i + 3 for i in f]) for s in ids for k, f in enumerate(TRIS)]
+    return spark.createDataFrame(points, "specimen_id string, point_id int, x double, y double, z double, d double, both array<double>"), spark.createDataFrame(faces, "specimen_id string, face_id int, v0 int, v1 int, v2 int")
+
+
+@pytest.mark.parametrize("kind", ["ply", "ply-ascii", "vtp"])
+def test_mesh_files_by_name(spark, tmp_path, kind):
+    from formloom.sources import files
+
+    points, faces = surface(spark, ["a", "b é"])
+    files.write_meshes(points, faces, f"{tmp_path}/out", kind, ("d & e", "f"), "both")
+    ending = kind.partition("-")[0]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == [f"a.{ending}", f"b é.{ending}"]
+    raw = (tmp_path / "out" / f"a.{ending}").read_bytes()
+    assert (b'Name="d &amp; e"' if kind == "vtp" else b"property double d_&_e") in raw
+    found = mesh.scan(spark, f"{tmp_path}/out")
+    got = mesh.points_of(found)
+    assert sorted((r.specimen_id, r.point_id, r.x, r.y, r.z, r.u) for r in got.collect()) == sorted((s, i, *map(float, p), None) for s in ("a", "b é") for i, p in enumerate(P))
+    assert sorted((r.specimen_id, r.v0, r.v1, r.v2) for r in mesh.faces_of(found).collect()) == sorted((s, *f) for s in ("a", "b é") for f in TRIS)
+    none = spark.createDataFrame([], faces.schema)
+    files.write_meshes(points, none, f"{tmp_path}/none", kind)
+    assert mesh.faces_of(mesh.scan(spark, f"{tmp_path}/none")).count() == 0 and mesh.points_of(mesh.scan(spark, f"{tmp_path}/none")).count() == 8
+
+
+def test_a_failed_job_leaves_no_files(spark, tmp_path):
+    from formloom.sources import files
+
+    points, faces = surface(spark, ["a", "b"])
+    for p, f in ((points.where("specimen_id = 'a' or point_id > 3"), faces), (points.replace("b", "x/y", "specimen_id"), faces.where("specimen_id = 'a'"))):
+        with pytest.raises(Exception, match="corners that aren't points|can't be the name"):
+            files.write_meshes(p, f, f"{tmp_path}/out")
+        assert list((tmp_path / "out").iterdir()) == []
+    with pytest.raises(Exception, match="lacks some"):
+        files.write_meshes(points, faces, f"{tmp_path}/out", "ply", ("only",), "both")
+    with pytest.raises(ValueError):
+        files.write_meshes(points, faces, f"{tmp_path}/out", "obj")
+    files.write_named(spark.createDataFrame([("s", bytes([0, 255, 10]))], "specimen_id string, value binary"), f"{tmp_path}/raw", ".bin")
+    assert (tmp_path / "raw" / "s.bin").read_bytes() == bytes([0, 255, 10])
+    with pytest.raises(Exception, match="share a name"):
+        files.write_named(spark.createDataFrame([("s", "a"), ("s", "b")], "specimen_id string, value string"), f"{tmp_path}/twice", ".txt")
+
+
+def appended(packed, encoding):
+    arrays, at, blob = [P.astype("<f8"), np.arange(4, dtype="<i8"), np.array([4], "<i8")], [], b""
+    for a in arrays:
+        raw, z = a.tobytes(), zlib.compress(a.tobytes())
+        parts = [struct.pack("<4I", 1, len(raw), 0, len(z)), z] if packed else [struct.pack("<I", len(raw)) + raw]
+        at.append(len(blob))
+        blob += b"".join(parts if encoding == "raw" else map(base64.b64encode, parts))
+    array = lambda i, kind, name: f'<DataArray type="{kind}" Name="{name}" NumberOfComponents="3" format="appended" offset="{at[i]}"/>'
+    zip_ = ' compressor="vtkZLibDataCompressor"' if packed else ""
+    return f'<VTKFile type="PolyData" byte_order="LittleEndian"{zip_}><PolyData><Piece NumberOfPoints="4" NumberOfPolys="1"><Points>{array(0, "Float64", "Points")}</Points><Polys>{array(1, "Int64", "connectivity")}{array(2, "Int64", "offsets")}</Polys></Piece></PolyData><AppendedData encoding="{encoding}">\n _'.encode() + blob + b"\n</AppendedData></VTKFile>"
+
+
+@pytest.mark.parametrize("packed", [False, True])
+@pytest.mark.parametrize("encoding", ["raw", "base64"])
+def test_appended_arrays(packed, encoding):
+    xyz, _, faces = mesh.parse_vtp(appended(packed, encoding))
+    assert np.allclose(xyz, P) and faces.tolist() == TRIS

@@ -1,6 +1,7 @@
 """Folders to results, coordinate systems of landmark files, and mirrored meshes."""
 
 import json
+import os
 
 import numpy as np
 import pytest
@@ -70,9 +71,63 @@ def test_folders_to_results(spark, folders):
     results = spark.read.parquet(f"{made}/results/stage=shape")
     assert {r.name for r in results.select("name").distinct().collect()} == {"Magnitude Mean", "Magnitude SD", "s0", "s1", "s2"}
     assert results.where(F.col("value") > 1).count() == 0
-    assert "Magnitude Mean" in "".join(r.value for r in spark.read.text(f"{made}/shape").collect())
+    assert b"Magnitude Mean" in open(f"{made}/shape/results/shape.vtp", "rb").read()
     runs.write_atlas(atlas, made)
-    again = runs.read_atlas(spark, f"{models}/s0.ply", f"{marks}/s0.mrk.json")
+    again = runs.read_atlas(spark, f"{made}/atlas/model", f"{made}/atlas/landmarks")
+    for table in ("points", "faces", "landmarks"):
+        want = sorted(map(tuple, getattr(atlas, table).collect()), key=repr)
+        assert want and sorted(map(tuple, getattr(again, table).collect()), key=repr) == want
     assert sorted(again.points.collect()) == sorted(spark.read.parquet(f"{made}/points/stage=atlas").select(again.points.columns).collect())
+    with pytest.raises(ValueError, match="one model"):
+        runs.read_atlas(spark, f"{made}/atlas/landmarks", f"{made}/atlas/landmarks")
+    with pytest.raises(ValueError, match="one set"):
+        runs.read_atlas(spark, f"{made}/atlas/model", f"{made}/atlas/model")
     with pytest.raises(ValueError):
         runs.run(spark, "other", out, models, marks)
+
+
+def same(spark, made, stage, table, got):
+    want = spark.read.parquet(f"{made}/{table}/stage={stage}")
+    columns = [c for c in want.columns if c in got.columns and c != "label"]
+    rows = lambda df: sorted(map(tuple, df.select(*columns).collect()), key=repr)
+    assert rows(want) == rows(got) and want.count() > 0
+
+
+@pytest.mark.parametrize(("workflow", "stages"), [("atlas", ["align"]), ("symmetry", ["align", "mirror", "align-atlas"]), ("dense_landmarks", ["align"])])
+def test_files_of_workflows_can_be_read_again(spark, folders, workflow, stages):
+    from formloom.functions.tables import own_folder
+    from formloom.sources import mesh
+
+    models, marks, out = folders
+    held = spark.range(3).persist()
+    held.count()
+    before = set(os.listdir(own_folder(spark).removeprefix("file://"))) if os.path.exists(own_folder(spark).removeprefix("file://")) else set()
+    made = runs.run(spark, workflow, out, models, marks, index=[0, 1, 2, 3, 5, 4] if workflow == "symmetry" else ())
+    assert held.is_cached and set(os.listdir(own_folder(spark).removeprefix("file://"))) == before
+    for stage in stages:
+        s = runs.read_specimens(spark, f"{made}/{stage}/models", f"{made}/{stage}/landmarks")
+        for table in ("points", "faces", "landmarks"):
+            same(spark, made, stage, table, getattr(s, table))
+    found = mesh.scan(spark, f"{made}/correspondence/models" if workflow != "atlas" else f"{made}/atlas/correspondence/models")
+    assert {r.specimen_id for r in mesh.points_of(found).select("specimen_id").distinct().collect()} == {"s0", "s1", "s2", "base"}
+    if workflow == "dense_landmarks":
+        same(spark, made, "dense", "landmarks", landmarks.read_landmarks(spark, f"{made}/dense_landmarks"))
+    if workflow == "symmetry":
+        # mirror images of aligned specimens, at the place of the atlas, not of the files
+        assert spark.read.parquet(f"{made}/points/stage=mirror").agg(F.avg("x")).first()[0] == pytest.approx(spark.read.parquet(f"{made}/points/stage=align").agg(F.avg("x")).first()[0], abs=0.5)
+        with pytest.raises(ValueError, match="index"):
+            runs.run(spark, "symmetry", out, models, marks)
+
+
+def test_subset_of_files(spark, folders, tmp_path):
+    _, marks, out = folders
+    points = [{"label": str(i), "position": [0, 0, 0], "selected": i % 2 == 1} for i in range(6)]
+    (tmp_path / "base.mrk.json").write_text(json.dumps({"markups": [{"controlPoints": points}]}))
+    made = runs.subset(spark, out, marks, f"{tmp_path}/base.mrk.json")
+    got = landmarks.read_landmarks(spark, f"{made}/subset")
+    same(spark, made, "subset", "landmarks", got)
+    want = landmarks.read_landmarks(spark, marks).where("lm_id % 2 = 1")
+    assert sorted((r.specimen_id, r.lm_id, r.x) for r in got.collect()) == sorted((r.specimen_id, r.lm_id // 2, r.x) for r in want.collect())
+    (tmp_path / "base.mrk.json").write_text(json.dumps({"markups": [{"controlPoints": [p | {"selected": False} for p in points]}]}))
+    with pytest.raises(ValueError, match="selected"):
+        runs.subset(spark, out, marks, f"{tmp_path}/base.mrk.json")
