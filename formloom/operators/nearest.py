@@ -33,6 +33,8 @@ class Tree:
     """A tree of boxes over items in the order given, which should be near their neighbours. tests: distances computed so far."""
 
     def __init__(self, low: np.ndarray, high: np.ndarray, leaf: int = LEAF, fan: int = FAN):
+        if not len(low):
+            raise ValueError("a tree needs items")
         self.items, self.leaf, self.fan, self.tests, self.low, self.high = len(low), leaf, fan, 0, low, high
         #: a computed point may lie outside its box by a rounding error
         self.slack = 1e-12 * float(max(np.abs(low).max(initial=0), np.abs(high).max(initial=0)))
@@ -62,9 +64,9 @@ class Tree:
         found = nodes[..., None] * size + np.arange(size)
         return np.where(found < (self.items if last else len(self.levels[level][0])), found, -1)
 
-    def search(self, queries: np.ndarray, exact: Callable[[np.ndarray, np.ndarray], np.ndarray], ids: np.ndarray) -> np.ndarray:
+    def search(self, queries: np.ndarray, exact: Callable[[np.ndarray, np.ndarray], np.ndarray], ids: np.ndarray, at_a_time: int = AT_A_TIME) -> np.ndarray:
         """The item nearest to each query, of equal ones that with the least id. exact(queries, items): squared distances of pairs."""
-        parts = [self._search(queries, np.arange(i, min(i + AT_A_TIME, len(queries))), exact, ids) for i in range(0, len(queries), AT_A_TIME)]
+        parts = [self._search(queries, np.arange(i, min(i + at_a_time, len(queries))), exact, ids) for i in range(0, len(queries), at_a_time)]
         return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
     def _search(self, queries: np.ndarray, at: np.ndarray, exact: Callable, ids: np.ndarray) -> np.ndarray:
@@ -210,11 +212,16 @@ def _meet(queries: DataFrame, items: DataFrame, numbers: list[str], centre: list
     pairs = _pruned(pairs.join(boxes, ["specimen_id", "together"])).select("specimen_id", "qcell", "qpart", "cell", "part")
     seen = pairs.join(own.select(*_KEY, "ids", "data"), _KEY).select("specimen_id", F.col("qcell").alias("cell"), F.col("qpart").alias("part"), "ids", "data")
 
+    kinds = {"long": pa.int64(), "bigint": pa.int64(), "double": pa.float64(), "int": pa.int32(), "string": pa.string()}
+    empty = [pa.field(f.split()[0], kinds.get(f.split()[1], pa.string())) for f in schema.split(", ")]
+
     def flat(t: pa.Table, column: str) -> np.ndarray:
         return np.concatenate([c.flatten().to_numpy() for c in t.column(column).chunks])
 
     def task(left: pa.Table, right: pa.Table) -> pa.Table:
-        # each block of queries has met some items
+        if not left.num_rows or not right.num_rows:
+            # a specimen of points without faces has nothing to be near to
+            return pa.table({f.name: pa.nulls(0, f.type) for f in empty})
         ids, data = flat(right, "ids"), flat(right, "data").reshape(-1, len(numbers))
         asked_ids, points = flat(left, "ids"), flat(left, "data").reshape(-1, 3)
         return found(left.column("specimen_id").take(pa.array(np.zeros(len(asked_ids), np.int64))), asked_ids, points, ids, data)
@@ -266,16 +273,21 @@ def on_triangles(p: np.ndarray, t: np.ndarray) -> np.ndarray:
     return best
 
 
-def closest_on_triangles(query: np.ndarray, corners: np.ndarray, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-    """(closest point of the surface, index of its triangle, distances computed) for queries; of equal ones the first triangle."""
+def triangle_tree(query: np.ndarray, corners: np.ndarray) -> tuple[Tree, Callable[[np.ndarray, np.ndarray], np.ndarray]]:
+    """The tree of triangles' boxes, and squared distances of queries to triangles by their numbers."""
 
     def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         d = on_triangles(query[a], corners[b]) - query[a]
         return np.einsum("ij,ij->i", d, d)
 
-    tree = Tree(corners.min(1), corners.max(1))
-    which = tree.search(query, exact, np.arange(len(corners)) if ids is None else ids)
-    return on_triangles(query, corners[which]), which, tree.tests
+    return Tree(corners.min(1), corners.max(1)), exact
+
+
+def closest_on_triangles(query: np.ndarray, corners: np.ndarray, chunk: int = AT_A_TIME, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(closest point of the surface, index of its triangle) for queries, `chunk` at a time; of equal ones that with the least id, or the first."""
+    tree, exact = triangle_tree(query, corners)
+    which = tree.search(query, exact, np.arange(len(corners)) if ids is None else ids, chunk)
+    return on_triangles(query, corners[which]), which
 
 
 def triangles(points: DataFrame, faces: DataFrame) -> DataFrame:
@@ -293,7 +305,7 @@ def closest_surface(queries: DataFrame, points: DataFrame, faces: DataFrame, blo
     centre = [(F.col(f"{c}0") + F.col(f"{c}1") + F.col(f"{c}2")) / 3 for c in XYZ]
 
     def found(specimens, ids, at, face_ids, corners) -> pa.Table:
-        point, which, _ = closest_on_triangles(at, corners.reshape(-1, 3, 3), face_ids)
+        point, which = closest_on_triangles(at, corners.reshape(-1, 3, 3), ids=face_ids)
         return pa.table({"specimen_id": specimens, "point_id": ids, "x": point[:, 0], "y": point[:, 1], "z": point[:, 2], "face_id": face_ids[which]})
 
     specimen = queries.schema["specimen_id"].dataType.simpleString()

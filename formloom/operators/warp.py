@@ -52,7 +52,9 @@ def warp_points(points: DataFrame, source: DataFrame, target: DataFrame) -> Data
         xyz = warp(own[list(XYZ)].to_numpy(float), src, spline(src, lm[["tx", "ty", "tz"]].to_numpy(float)))
         return own.assign(x=xyz[:, 0], y=xyz[:, 1], z=xyz[:, 2])
 
-    return points.groupBy("specimen_id").cogroup(marks.groupBy("specimen_id")).applyInPandas(moved, points.schema)
+    # columns of their own, since both sides may come from one table
+    own, lm = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (points, marks))
+    return own.groupBy("specimen_id").cogroup(lm.groupBy("specimen_id")).applyInPandas(moved, points.schema)
 
 
 def transfer_colors(queries: DataFrame, points: DataFrame, colors: DataFrame) -> DataFrame:

@@ -26,6 +26,8 @@ class Specimens:
     landmarks: DataFrame
     texels: DataFrame | None = None
     stages: dict = field(default_factory=dict)
+    #: textures as images, (specimen_id, image) as Spark's image source has them, in place of texels
+    images: DataFrame | None = None
 
 
 @dataclass
@@ -43,10 +45,22 @@ def check(s: Specimens, textures: bool = False) -> None:
     require(s.faces, "specimen_id", "face_id", "v0", "v1", "v2")
     require(s.landmarks, "specimen_id", "lm_id", "x", "y", "z")
     if textures:
-        if s.texels is None:
-            raise ValueError("colours need textures")
         require(s.points, "u", "v")
-        require(s.texels, "specimen_id", "row", "col", "r", "g", "b")
+        if s.images is not None:
+            require(s.images, "specimen_id", "image")
+        elif s.texels is not None:
+            require(s.texels, "specimen_id", "row", "col", "r", "g", "b")
+        else:
+            raise ValueError("colours need textures")
+
+
+def has_textures(s: Specimens) -> bool:
+    return s.images is not None or s.texels is not None
+
+
+def colors_of(s: Specimens) -> DataFrame:
+    """(specimen_id, point_id, r, g, b): the points' colours, from images or from texels."""
+    return texture.sample(s.points, s.texels) if s.images is None else texture.sample_images(s.points, s.images)
 
 
 def unpaired(s: Specimens) -> DataFrame:
@@ -91,13 +105,13 @@ def _in_atlas(s: Specimens, atlas: Atlas, remove_scale: bool) -> tuple[DataFrame
 
 def shape(s: Specimens, atlas: Atlas, remove_scale: bool = True) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """(point results in long form, colour means, colour variances); no colours without textures."""
-    check(s, s.texels is not None)
+    check(s, has_textures(s))
     points, marks, mean = _in_atlas(s, atlas, remove_scale)
     dense = warp.dense_correspondence(points, s.faces, marks, atlas.points, atlas.landmarks, mean, s.stages)
     results = features.point_results(features.magnitudes(dense, atlas.points))
-    if s.texels is None:
+    if not has_textures(s):
         return results, None, None
-    colors = warp.transfer_colors(dense, points, texture.sample(s.points, s.texels))
+    colors = written(warp.transfer_colors(dense, points, colors_of(s)), "dense-colors")
     return results, features.color_mean(colors), features.color_variance(colors)
 
 
@@ -151,7 +165,7 @@ def dense_landmarks(s: Specimens, atlas: Atlas, percent: float = 4.0) -> DataFra
 def recolor(s: Specimens, mode: str = "uchar-vector", k: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(encoded colours, points of a mesh for each colour cluster, its faces)."""
     check(s, textures=True)
-    colors = texture.sample(s.points, s.texels)
+    colors = colors_of(s)
     at, centroids = segment.kmeans_colors(colors, k)
     own, own_faces = segment.child_meshes(s.points, s.faces, at, centroids)
     return texture.encode(colors, mode), own, own_faces

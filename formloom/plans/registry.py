@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formloom.functions.tables import written
-from formloom.operators import affine, align, features, segment, texture, warp
+from formloom.operators import accuracy, affine, align, colors, features, segment, texture, warp
 from formloom.plans import pipelines, views
 
 
@@ -17,6 +17,10 @@ def _r(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
 
 
+def _long_keys(df: DataFrame, *keys: str) -> list[Column]:
+    return [F.col(k).cast("long").alias(k) for k in keys]
+
+
 def _out(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     return df.select(*[F.col(k).cast("long").alias(k) for k in keys], *[_r(v).alias(v) for v in values])
 
@@ -46,6 +50,11 @@ def _sampled(spark, d):
     return texture.sample(views.points(spark, d), views.texel(spark, d))
 
 
+def _gathered(spark, d):
+    """The same from images, in tasks."""
+    return texture.sample_images(views.points(spark, d), texture.packed(views.texel(spark, d)))
+
+
 def _asymmetries(spark, d):
     p = views.points(spark, d)
     return features.asymmetries(p, affine.mirror(p))
@@ -211,6 +220,143 @@ def _atlas_landmarks(spark, d):
     return _out(_offset(own, atlas.landmarks, "lm_id"), ["lm_id"], ["offset"])
 
 
+def _moved(points: DataFrame, rows: list[str]) -> DataFrame:
+    """Points under a map of each specimen; rows: x, y and z of the image in terms of x, y, z and specimen_id."""
+    return points.withColumns(dict(zip(_XYZ, map(F.expr, rows), strict=True)))
+
+
+#: The mean mesh of all, once for each specimen, turned by 90 degrees about z, resized and shifted by specimen.
+_SIMILAR = ["-y * (1 + specimen_id / 10) + specimen_id", "x * (1 + specimen_id / 10) - 2", "z * (1 + specimen_id / 10) + 0.5"]
+#: The same sheared and stretched by specimen.
+_SHEARED = ["x * (1 + specimen_id / 10) + 0.2 * y", "y + 0.1 * z + specimen_id", "z * (1 - specimen_id / 20)"]
+
+
+def _copies(spark, d, rows: list[str], textures: bool = False) -> tuple[pipelines.Specimens, pipelines.Atlas]:
+    """A collection of copies of one mesh, each moved by its own map, with the textures and coordinates of the views; and that mesh as atlas."""
+    s = _specimens(spark, d, textures)
+    atlas = _plain_atlas(s)
+    points = written(_moved(s.points.select("specimen_id", "point_id", "u", "v").join(atlas.points, "point_id"), rows), "copies")
+    lm = points.where(F.col("point_id") <= views.LANDMARKS).select("specimen_id", F.col("point_id").alias("lm_id"), *_XYZ)
+    images = texture.packed(views.texel(spark, d)) if textures else None
+    return pipelines.Specimens(points, s.faces, lm, images=images), pipelines.Atlas(atlas.points, atlas.faces, atlas.points.where(F.col("point_id") <= views.LANDMARKS).withColumnRenamed("point_id", "lm_id"))
+
+
+def _two_sided(spark, d) -> tuple[pipelines.Specimens, pipelines.Atlas]:
+    """Copies of a mesh that is its own mirror image: the mean mesh beside itself with x the other way round.
+
+    Of the points from n + 1 on each is the mirror image of the one n before; landmarks are the first four and theirs.
+    """
+    mean = _plain_atlas(_specimens(spark, d))
+    n = mean.points.agg(F.max("point_id").alias("n"))
+    right = mean.points.select("point_id", F.abs("x").alias("x"), "y", "z").crossJoin(F.broadcast(n))
+    points = written(right.unionByName(right.withColumns({"point_id": F.col("point_id") + F.col("n"), "x": -F.col("x")})), "two-sided")
+    faces = mean.faces.crossJoin(F.broadcast(n))
+    other = faces.withColumns({k: F.col(k) + F.col("n") for k in ("face_id", "v0", "v1", "v2")})
+    own = points.where((F.col("point_id") <= 4) | F.col("point_id").between(F.col("n") + 1, F.col("n") + 4))
+    marks = own.select(F.when(F.col("point_id") <= 4, F.col("point_id")).otherwise(F.col("point_id") - F.col("n") + 4).cast("int").alias("lm_id"), *_XYZ)
+    atlas = pipelines.Atlas(points.drop("n"), written(faces.unionByName(other).drop("n"), "two-sided"), marks)
+    ids = spark.range(3).select(F.col("id").cast("int").alias("specimen_id"))
+    each = lambda df: ids.crossJoin(df)
+    return pipelines.Specimens(_moved(each(atlas.points), _SIMILAR), each(atlas.faces), _moved(each(marks), _SIMILAR)), atlas
+
+
+def _shape_of_copies(spark, d):
+    return _long(pipelines.shape(*_copies(spark, d, _SIMILAR))[0])
+
+
+def _colors_of_copies(spark, d):
+    return _out(pipelines.shape(*_copies(spark, d, _SIMILAR, True))[1], ["point_id"], ["r", "g", "b"])
+
+
+def _symmetry_of_copies(spark, d):
+    return _long(pipelines.symmetry(*_two_sided(spark, d), [4, 5, 6, 7, 0, 1, 2, 3], first=1))
+
+
+def _dense_of_copies(spark, d):
+    s, a = _copies(spark, d, _SHEARED)
+    return _out(warp.dense_correspondence(s.points, s.faces, s.landmarks, a.points, a.landmarks, a.landmarks), ["specimen_id", "point_id"], _XYZ)
+
+
+def _dense_landmarks_of_copies(spark, d):
+    made = pipelines.dense_landmarks(*_copies(spark, d, _SIMILAR), 0.0)
+    return made.select("specimen_id", F.col("lm_id").cast("long").alias("lm_id"), "label", *[_r(c).alias(c) for c in _XYZ])
+
+
+def _surface_accuracy(spark, d):
+    p, f = views.points(spark, d), views.faces(spark, d)
+    return _out(accuracy.surface_distances(_queries_for_nearest(spark, d), f, p, f), ["specimen_id"], ["mean", "p95", "hausdorff", "mean_to", "p95_to", "greatest_to", "mean_from", "p95_from", "greatest_from"])
+
+
+def _oriented(spark, d):
+    made = segment.orient(views.points(spark, d), views.faces(spark, d))
+    return made.select(*_long_keys(made, "specimen_id", "face_id", "v0", "v1", "v2", "component"), "flipped", "orientable")
+
+
+_ORIENTED_SQL = _sql(
+    f"{_S}, cast(v0 as bigint) as face_id, cast(v0 as bigint) as v0, cast(case when turn then v2 else v1 end as bigint) as v1, cast(case when turn then v1 else v2 end as bigint) as v2, 1::bigint as component, turn as flipped, true as orientable",
+    """(select s, v0, v1, v2, (v0 % 2 = 0) <> (sum(case when v0 % 2 = 0 then -det else det end) over (partition by s) < 0) as turn from (
+        select *, (ax-mx)*((b_y-my)*(cz-mz)-(bz-mz)*(cy-my)) - (ay-my)*((bx-mx)*(cz-mz)-(bz-mz)*(cx-mx)) + (az-mz)*((bx-mx)*(cy-my)-(b_y-my)*(cx-mx)) as det from (
+            select *, avg((ax+bx+cx)/3) over (partition by s) as mx, avg((ay+b_y+cy)/3) over (partition by s) as my, avg((az+bz+cz)/3) over (partition by s) as mz from (
+                select a.s as s, v0, v1, v2, a.x as ax, a.y as ay, a.z as az, b.x as bx, b.y as b_y, b.z as bz, c.x as cx, c.y as cy, c.z as cz
+                from face join pt a on a.pid = v0 join pt b on b.pid = v1 and b.s = a.s join pt c on c.pid = v2 and c.s = a.s))))""",
+)
+
+
+def _chain(source: str, *steps: str) -> str:
+    """A table from steps that each read the one before, `_`; materialised, or their expressions would multiply."""
+    named = [f"s0 as materialized (select * from {source})"]
+    for i, step in enumerate(steps):
+        named.append(f"s{i + 1} as materialized (select *, {step} from s{i})")
+    return f"(with {', '.join(named)} select * from s{len(steps)})"
+
+
+def _lab_steps(k: int, red: str, green: str, blue: str) -> list[str]:
+    """L, A and B of the colours in three columns."""
+    line = lambda c: f"case when {c}/255::double <= 0.04045 then {c}/255::double/12.92 else pow(({c}/255::double + 0.055)/1.055, 2.4) end"
+    bend = lambda c: f"case when {c} > 216::double/24389 then cbrt({c}) else ({c}*24389::double/27 + 16)/116 end"
+    return [
+        f"{line(red)} as lr{k}, {line(green)} as lg{k}, {line(blue)} as lb{k}",
+        f"(0.4124564*lr{k} + 0.3575761*lg{k} + 0.1804375*lb{k})/0.95047 as wx{k}, 0.2126729*lr{k} + 0.7151522*lg{k} + 0.0721750*lb{k} as wy{k}, (0.0193339*lr{k} + 0.1191920*lg{k} + 0.9503041*lb{k})/1.08883 as wz{k}",
+        f"{bend(f'wx{k}')} as fx{k}, {bend(f'wy{k}')} as fy{k}, {bend(f'wz{k}')} as fz{k}",
+        f"116*fy{k} - 16 as L{k}, 500*(fx{k} - fy{k}) as A{k}, 200*(fy{k} - fz{k}) as B{k}",
+    ]
+
+
+def _difference_sql(source: str) -> str:
+    """source, which has the colours r, gr, b and mr, mg, mb, with their difference as `de`."""
+    seven = lambda c: f"sqrt(pow({c}, 7)/(pow({c}, 7) + pow(25, 7)))"
+    hue = lambda a, b: f"case when {a} = 0 and {b} = 0 then 0 else (degrees(atan2({b}, {a})) + 360) % 360 end"
+    return _chain(
+        source,
+        *_lab_steps(1, "r", "gr", "b"),
+        *_lab_steps(2, "mr", "mg", "mb"),
+        f"1 + 0.5*(1 - {seven('((sqrt(A1*A1 + B1*B1) + sqrt(A2*A2 + B2*B2))/2)')}) as g",
+        f"sqrt(g*A1*g*A1 + B1*B1) as c1, sqrt(g*A2*g*A2 + B2*B2) as c2, {hue('g*A1', 'B1')} as h1, {hue('g*A2', 'B2')} as h2",
+        "case when c1*c2 = 0 then 0 when h2 - h1 > 180 then h2 - h1 - 360 when h2 - h1 < -180 then h2 - h1 + 360 else h2 - h1 end as dh, case when c1*c2 = 0 then h1 + h2 when abs(h2 - h1) <= 180 then (h1 + h2)/2 when h1 + h2 < 360 then (h1 + h2 + 360)/2 else (h1 + h2 - 360)/2 end as h, (L1 + L2)/2 as lm, (c1 + c2)/2 as cm",
+        f"1 - 0.17*cos(radians(h - 30)) + 0.24*cos(radians(2*h)) + 0.32*cos(radians(3*h + 6)) - 0.2*cos(radians(4*h - 63)) as t, -2*{seven('cm')}*sin(radians(60*exp(-pow((h - 275)/25, 2)))) as rt",
+        "(L2 - L1)/(1 + 0.015*pow(lm - 50, 2)/sqrt(20 + pow(lm - 50, 2))) as dl, (c2 - c1)/(1 + 0.045*cm) as dc, 2*sqrt(c1*c2)*sin(radians(dh/2))/(1 + 0.015*cm*t) as dhh",
+        "sqrt(greatest(dl*dl + dc*dc + dhh*dhh + rt*dc*dhh, 0)) as de",
+    )
+
+
+_DIFFERENCES_SQL = _sql(f"{_S}, {_P}, {_f('de', 'difference')}", _difference_sql("(select rgb.s, rgb.pid, r, g as gr, b, mr, mg, mb from rgb join (select pid, avg(r) as mr, avg(g) as mg, avg(b) as mb from rgb group by pid) m on m.pid = rgb.pid)"))
+_PAIRS_SQL = _sql(
+    f"cast(s as bigint) as specimen_1, cast(s2 as bigint) as specimen_2, count(*) as points, {_f('avg(de)', 'mean')}, {_f('max(de)', 'greatest')}",
+    _difference_sql("(select p.s, q.s as s2, p.r, p.g as gr, p.b, q.r as mr, q.g as mg, q.b as mb from rgb p join rgb q on p.pid = q.pid and p.s < q.s)") + " group by s, s2",
+)
+
+
+def _accuracy_sql() -> str:
+    """Distances of vertices that are shifted to the surface, and of the surface's own vertices to the shifted one."""
+    def one(shift: str) -> str:
+        found = _surface_sql().replace("+ 0.05", shift).removeprefix(views.SQL)
+        return f"(select f.specimen_id as s, sqrt(pow(q.x {shift} - f.x, 2) + pow(q.y - f.y, 2) + pow(q.z - f.z, 2)) as d from ({found}) f join pt q on q.s = f.specimen_id and q.pid = f.point_id)"
+
+    whole = lambda e: e.replace("round(arg_min", "(arg_min").replace(", 6) + 0.0 as", ") as")
+    figures = ", ".join(_f(f"{f} {w}", f"{n}{way}" if way or n != "greatest" else "hausdorff") for way, w in (("", ""), ("_to", "filter (way = 'to')"), ("_from", "filter (way = 'from')")) for n, f in (("mean", "avg(d)"), ("p95", "quantile_cont(d, 0.95)"), ("greatest", "max(d)")))
+    return _sql(f"{_S}, {figures}", whole(f"(select s, d, 'to' as way from {one('+ 0.05')} union all select s, d, 'from' from {one('- 0.05')}) group by s"))
+
+
 _RESULTS_SQL = _sql(f"{_P}, count(*) as specimens, 0.0::double as mean_off, 0.0::double as sd_off", "pt group by pid")
 _NEXT = "sqrt(pow(p.x-n.x,2)+pow(p.y-n.y,2)+pow(p.z-n.z,2))"
 _NEXT_FROM = "pt p join pt n on n.s = p.s and n.pid = p.pid + 1"
@@ -288,15 +434,15 @@ REGISTERED: dict[str, tuple[Callable, str | None]] = {
         _sql(f"{_P}, " + ", ".join(_f(f"var_pop({c})", f"variance_{c}") for c in "rgb"), "rgb group by pid"),
     ),
     "uv_sample_uchar": (
-        lambda s, d: texture.encode(_sampled(s, d), "uchar-vector").select(F.col("specimen_id").cast("long").alias("specimen_id"), F.col("point_id").cast("long").alias("point_id"), *[F.col("rgb")[i].cast("long").alias(c) for i, c in enumerate("rgb")]),
+        lambda s, d: texture.encode(_gathered(s, d), "uchar-vector").select(F.col("specimen_id").cast("long").alias("specimen_id"), F.col("point_id").cast("long").alias("point_id"), *[F.col("rgb")[i].cast("long").alias(c) for i, c in enumerate("rgb")]),
         _sql(f"{_S}, {_P}, cast(r as bigint) as r, cast(g as bigint) as g, cast(b as bigint) as b", "rgb"),
     ),
     "uv_sample_float": (
-        lambda s, d: texture.encode(_sampled(s, d), "float-vector").select(F.col("specimen_id").cast("long").alias("specimen_id"), F.col("point_id").cast("long").alias("point_id"), *[_r(F.col("color")[i]).alias(c) for i, c in enumerate("rgb")]),
+        lambda s, d: texture.encode(_gathered(s, d), "float-vector").select(F.col("specimen_id").cast("long").alias("specimen_id"), F.col("point_id").cast("long").alias("point_id"), *[_r(F.col("color")[i]).alias(c) for i, c in enumerate("rgb")]),
         _sql(f"{_S}, {_P}, " + ", ".join(_f(f"{c} / cast(255 as double)", c) for c in "rgb"), "rgb"),
     ),
     "uv_sample_components": (
-        lambda s, d: _out(texture.encode(_sampled(s, d), "float-components"), ["specimen_id", "point_id"], ["color_red", "color_green", "color_blue"]),
+        lambda s, d: _out(texture.encode(_gathered(s, d), "float-components"), ["specimen_id", "point_id"], ["color_red", "color_green", "color_blue"]),
         _sql(f"{_S}, {_P}, cast(r as double) as color_red, cast(g as double) as color_green, cast(b as double) as color_blue", "rgb"),
     ),
     "flip_image": (
@@ -423,6 +569,36 @@ REGISTERED: dict[str, tuple[Callable, str | None]] = {
 }
 
 
+_NUMBERS = "cast(pid as bigint) as point_id, name, 0.0::double as value"
+_COPY = [r.replace("specimen_id", "cast(s as double)") for r in _SHEARED]
+REGISTERED |= {
+    # copies of one mesh: their correspondence is known
+    "shape_pipeline_copies": (_shape_of_copies, _sql(_NUMBERS, "atlas cross join (select distinct cast(s as varchar) as name from pt union all select 'Magnitude Mean' union all select 'Magnitude SD')")),
+    "shape_color_copies": (_colors_of_copies, _sql(f"{_P}, {_f('avg(r)', 'r')}, {_f('avg(g)', 'g')}, {_f('avg(b)', 'b')}", "rgb group by pid")),
+    "symmetry_pipeline_copies": (_symmetry_of_copies, _sql(_NUMBERS, "(select pid from atlas union all select pid + (select n from m) from atlas) cross join (select unnest(['0', '1', '2', 'Magnitude Mean', 'Magnitude SD']) as name)")),
+    "dense_correspondence_copies": (
+        _dense_of_copies,
+        _sql(f"{_S}, {_P}, " + ", ".join(_f(r, c) for r, c in zip(_COPY, _XYZ, strict=True)), "(select s, pid, ax as x, ay as y, az as z from (select distinct s from pt) cross join atlas)"),
+    ),
+    "dense_landmarks_copies": (
+        _dense_landmarks_of_copies,
+        _sql(f"specimen_id, cast(pid - 1 as bigint) as lm_id, cast(cast(pid - 1 as bigint) as varchar) as label, {_f('ax', 'x')}, {_f('ay', 'y')}, {_f('az', 'z')}", "atlas cross join (select distinct cast(s as varchar) as specimen_id from pt union all select 'atlas')"),
+    ),
+    "child_mesh_faces": (
+        lambda s, d: segment.child_meshes(views.points(s, d), views.faces(s, d), views.assignment(s, d))[1].select(*[F.col(c).cast("long").alias(c) for c in ("specimen_id", "cluster_id", "face_id", "v0", "v1", "v2")]),
+        _sql(
+            f"{_S}, cast(kept.c as bigint) as cluster_id, cast(kept.v0 as bigint) as face_id, i.rn - 1 as v0, j.rn - 1 as v1, k.rn - 1 as v2",
+            "(select distinct s from pt) cross join kept " + " ".join(f"join (select c, vid, row_number() over (partition by c order by vid) rn from vert) {t} on {t}.c = kept.c and {t}.vid = kept.{v}" for t, v in (("i", "v0"), ("j", "v1"), ("k", "v2"))),
+        ),
+    ),
+    "oriented_faces": (_oriented, _ORIENTED_SQL),
+    "color_differences": (lambda s, d: _out(colors.differences_to_mean(_gathered(s, d)), ["specimen_id", "point_id"], ["difference"]), _DIFFERENCES_SQL),
+    "color_differences_pairs": (lambda s, d: _out(colors.differences_of_pairs(_gathered(s, d)), ["specimen_1", "specimen_2", "points"], ["mean", "greatest"]), _PAIRS_SQL),
+    "surface_accuracy": (_surface_accuracy, _accuracy_sql()),
+    "landmark_accuracy": (lambda s, d: _out(accuracy.landmark_errors(views.landmarks(s, d), features.mean_landmarks(views.landmarks(s, d))), ["specimen_id", "lm_id"], ["error"]), None),
+}
+
+
 def queries() -> dict[str, Callable]:
     return {name: q for name, (q, _) in REGISTERED.items()}
 

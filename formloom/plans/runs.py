@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formloom.functions.tables import scope, written
-from formloom.operators import affine, segment, texture
+from formloom.operators import affine, segment
 from formloom.plans import pipelines
 from formloom.sources import files, landmarks, mesh, sinks
 
@@ -26,8 +26,8 @@ def read_specimens(spark: SparkSession, models: str, marks: str, textures: str |
     found = mesh.scan(spark, models)
     for r in mesh.errors_of(found).toLocalIterator():
         log.warning("%s can't be read: %s", r["path"], r["error"])
-    texels = None if textures is None else texture.texels(landmarks.read_images(spark, textures))
-    s = pipelines.Specimens(mesh.points_of(found), mesh.faces_of(found), written(landmarks.read_landmarks(spark, marks), "landmarks"), texels)
+    images = None if textures is None else landmarks.read_images(spark, textures)
+    s = pipelines.Specimens(mesh.points_of(found), mesh.faces_of(found), written(landmarks.read_landmarks(spark, marks), "landmarks"), images=images)
     lacking = pipelines.unpaired(s).collect()  # a row for each specimen without one or the other
     for r in lacking:
         log.warning("specimen %s lacks %s", r["specimen_id"], r["missing"])
