@@ -191,7 +191,7 @@ def _meet(queries: DataFrame, items: DataFrame, numbers: list[str], centre: list
     extent: the items' points, whose bounds and number make the cells. found(specimens, ids, points, item ids, item
     numbers): the rows to return.
     """
-    sound = lambda df, columns: df.where(~sum((F.coalesce(F.isnan(c), F.lit(True)).cast("int") for c in columns), F.lit(0)).cast("boolean"))
+    sound = lambda df, columns: df.where(~sum(((F.col(c).isNull() | F.isnan(c)).cast("int") for c in columns), F.lit(0)).cast("boolean"))
     items = sound(items, numbers).select("specimen_id", F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in numbers])
     queries = sound(queries, XYZ).select("specimen_id", F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in XYZ])
     bounds = sound(extent, XYZ).groupBy("specimen_id").agg(*[F.min(c).cast("double").alias(f"_{c}0") for c in XYZ], *[F.max(c).cast("double").alias(f"_{c}1") for c in XYZ], F.count("*").alias("_n"))

@@ -46,7 +46,7 @@ def test_a_search_looks_at_few_triangles():
     code = sum(((cell[:, a] >> b) & 1) << (3 * b + a) for a in range(3) for b in range(8))
     corners = corners[np.argsort(code, kind="stable")]
     draw = np.random.default_rng(0)
-    query = points[draw.integers(0, len(points), 100_000)] + 0.01 * draw.standard_normal((100_000, 3))
+    query = points[draw.integers(0, len(points), 30_000)] + 0.01 * draw.standard_normal((30_000, 3))
     tree, exact = nearest.triangle_tree(query, corners)
     which = tree.search(query, exact, np.arange(len(corners)))
     assert len(corners) > 199_000 and tree.tests / len(query) < 300
