@@ -47,7 +47,7 @@ def difference(df: DataFrame, one: tuple[str, str, str] = ("L1", "A1", "B1"), ot
     for s in steps:
         made = made.withColumns(s)
     squared = c("_dl") * c("_dl") + c("_dc") * c("_dc") + c("_dh") * c("_dh") + c("_r") * c("_dc") * c("_dh")
-    return made.withColumn(out, F.sqrt(F.greatest(squared, F.lit(0.0)))).drop(*[k for s in steps for k in s])
+    return made.withColumn("_s", squared).withColumn(out, F.sqrt(F.when(F.col("_s") < 0, F.lit(0.0)).otherwise(F.col("_s")))).drop("_s", *[k for s in steps for k in s])
 
 
 def differences_to_mean(colors: DataFrame) -> DataFrame:
