@@ -376,6 +376,7 @@ def test_empty_tables(spark):
     path = new_folder(spark, "test-none")
     spark.createDataFrame([], "doc_id long, text string, " + SPARE).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
     from formloom.llm import queries
 
     for name, query in queries.queries().items():
