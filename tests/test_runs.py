@@ -131,3 +131,20 @@ def test_subset_of_files(spark, folders, tmp_path):
     (tmp_path / "base.mrk.json").write_text(json.dumps({"markups": [{"controlPoints": [p | {"selected": False} for p in points]}]}))
     with pytest.raises(ValueError, match="selected"):
         runs.subset(spark, out, marks, f"{tmp_path}/base.mrk.json")
+
+
+def test_textures_of_a_folder(spark, tmp_path):
+    from tests.test_files import png
+
+    for name in ("models", "marks", "textures"):
+        (tmp_path / name).mkdir()
+    head = "ply\nformat ascii 1.0\nelement vertex 3\nproperty float x\nproperty float y\nproperty float z\nproperty float u\nproperty float v\nelement face 1\nproperty list uchar int vertex_indices\nend_header\n"
+    for s in ("a", "b"):
+        (tmp_path / "models" / f"{s}.ply").write_text(head + "0 0 0 0 0\n1 0 0 1 0\n0 1 0 1 1\n3 0 1 2\n")
+        (tmp_path / "marks" / f"{s}.mrk.json").write_text(json.dumps({"markups": [{"controlPoints": [{"label": "p", "position": [0, 0, 0]}]}]}))
+    (tmp_path / "textures" / "a.png").write_bytes(png([[(1, 2, 3), (4, 5, 6)], [(7, 8, 9), (10, 11, 12)]]))
+    s = runs.read_specimens(spark, *(str(tmp_path / n) for n in ("models", "marks", "textures")))
+    pipelines.check(s, True)
+    got = {(r.specimen_id, r.point_id): (r.r, r.g, r.b) for r in pipelines.colors_of(s).collect()}
+    assert got == {("a", 0): (7, 8, 9), ("a", 1): (10, 11, 12), ("a", 2): (4, 5, 6)} | {("b", i): (None,) * 3 for i in range(3)}
+    assert not pipelines.has_textures(runs.read_specimens(spark, str(tmp_path / "models"), str(tmp_path / "marks")))
