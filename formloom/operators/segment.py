@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from formloom.operators.affine import XYZ
 from formloom.operators.nearest import triangles
+from formloom.operators.thin import subsample
+
+__all__ = ["child_meshes", "faces_within", "gather", "kmeans_colors", "normals", "orient", "reindex", "subsample", "subset_landmarks"]
 
 
 def faces_within(faces: DataFrame, assignment: DataFrame) -> DataFrame:
@@ -102,28 +105,6 @@ def kmeans_colors(colors: DataFrame, k: int = 5, restarts: int = 15, iterations:
     return known.withColumn("cluster_id", nearest(centres)["cluster_id"] if centres else F.lit(None).cast("int")).select(*keys, "cluster_id"), table
 
 
-def subsample(points: DataFrame, percent: float = 4.0) -> DataFrame:
-    """The points that stay when each, in order of id, drops those after it within percent of the bounding box's diagonal."""
-
-    def kept(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("point_id")
-        p = own[list(XYZ)].to_numpy(float)
-        gap = percent / 100 * float(np.linalg.norm(np.ptp(p, axis=0)))
-        if gap <= 0:
-            return own
-        cells: dict[tuple, list[int]] = {}
-        stay = []
-        for i, (q, cell) in enumerate(zip(p, np.floor((p - p.min(0)) / gap).astype(int).tolist(), strict=True)):
-            near = [j for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) for j in cells.get((cell[0] + a, cell[1] + b, cell[2] + c), ())]
-            if near and (((p[near] - q) ** 2).sum(1) < gap * gap).any():
-                continue
-            cells.setdefault(tuple(cell), []).append(i)
-            stay.append(i)
-        return own.iloc[stay]
-
-    return points.groupBy("specimen_id").applyInPandas(kept, points.schema)
-
-
 def gather(points: DataFrame, index: DataFrame, first: int = 0) -> DataFrame:
     """(specimen_id, lm_id, label, x, y, z): specimens' points at the ids of index, numbered without gaps."""
     w = Window.orderBy("point_id")
