@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formloom.functions.tables import written
-from formloom.operators import accuracy, affine, align, colors, features, segment, texture, warp
+from formloom.operators import accuracy, affine, align, colors, drift, features, segment, texture, warp
 from formloom.plans import pipelines, views
 
 
@@ -227,6 +227,8 @@ def _moved(points: DataFrame, rows: list[str]) -> DataFrame:
 
 #: The mean mesh of all, once for each specimen, turned by 90 degrees about z, resized and shifted by specimen.
 _SIMILAR = ["-y * (1 + specimen_id / 10) + specimen_id", "x * (1 + specimen_id / 10) - 2", "z * (1 + specimen_id / 10) + 0.5"]
+#: The same bent, resized and shifted by specimen.
+_BENT = ["(x + 0.1 * y * y) * (1 + specimen_id / 10) + specimen_id", "(y + 0.1 * x * z) * (1 + specimen_id / 10)", "(z - 0.05 * x * x) * (1 + specimen_id / 10) - 3"]
 #: The same sheared and stretched by specimen.
 _SHEARED = ["x * (1 + specimen_id / 10) + 0.2 * y", "y + 0.1 * z + specimen_id", "z * (1 - specimen_id / 20)"]
 
@@ -277,6 +279,12 @@ def _dense_of_copies(spark, d):
     return _out(warp.dense_correspondence(s.points, s.faces, s.landmarks, a.points, a.landmarks, a.landmarks), ["specimen_id", "point_id"], _XYZ)
 
 
+def _drift_of_copies(spark, d):
+    s, a = _copies(spark, d, _BENT)
+    found = drift.drift_correspondence(s.points, a.points, 0.0, tolerance=1e-6)
+    return found.select(*[F.col(c).cast("long").alias(c) for c in ("specimen_id", "point_id", "vertex_id")])
+
+
 def _dense_landmarks_of_copies(spark, d):
     made = pipelines.dense_landmarks(*_copies(spark, d, _SIMILAR), 0.0)
     return made.select("specimen_id", F.col("lm_id").cast("long").alias("lm_id"), "label", *[_r(c).alias(c) for c in _XYZ])
@@ -580,6 +588,7 @@ REGISTERED |= {
         _dense_of_copies,
         _sql(f"{_S}, {_P}, " + ", ".join(_f(r, c) for r, c in zip(_COPY, _XYZ, strict=True)), "(select s, pid, ax as x, ay as y, az as z from (select distinct s from pt) cross join atlas)"),
     ),
+    "drift_copies": (_drift_of_copies, _sql(f"{_S}, {_P}, cast(pid as bigint) as vertex_id", "(select distinct s from pt) cross join atlas")),
     "dense_landmarks_copies": (
         _dense_landmarks_of_copies,
         _sql(f"specimen_id, cast(pid - 1 as bigint) as lm_id, cast(cast(pid - 1 as bigint) as varchar) as label, {_f('ax', 'x')}, {_f('ay', 'y')}, {_f('az', 'z')}", "atlas cross join (select distinct cast(s as varchar) as specimen_id from pt union all select 'atlas')"),
