@@ -1,8 +1,10 @@
 """The registered queries, every column, against plain versions over a small table of odd texts."""
 
+import functools
 import hashlib
 import math
 import re
+import types
 import zlib
 
 import numpy as np
@@ -298,6 +300,21 @@ def test_scores_of_toxicity_against_loops(spark, sf, texts):
             assert abs(got[i] - plain_score(net, t or "")) < 1e-4, t
 
 
+def test_scores_of_long_texts_against_loops(monkeypatch):
+    """Many windows, of a text that is cut into parts, which must not show in its score."""
+    net = op9_toxicity.fit(["calm river stone"] * 10 + ["awful rotten liar"] * 10, [0] * 10 + [1] * 10, steps=20)
+    draw = np.random.default_rng(6)
+    long = " ".join(draw.choice(["calm", "river", "Stone", "awful", "ROTTEN", "liar", "naïve", "水火"], 3000)) + "\n\tliar"
+    assert len(list(op9_toxicity.windows(3001))) > 20 and len(long) > 4000
+    whole = op9_toxicity.Scorer(net).scores(["", long, "calm"])
+    monkeypatch.setattr(op9_toxicity, "parts_of", functools.partial(op9_toxicity.parts_of, size=700))
+    parts = op9_toxicity.Scorer(net).scores(["", long, "calm"])
+    assert np.allclose(whole, parts, rtol=0, atol=1e-12)
+    monkeypatch.setattr(net, "inputs", functools.lru_cache(lambda w, f=net.inputs: f(list(w))))
+    cached = types.SimpleNamespace(p=net.p, inputs=lambda words: net.inputs(tuple(words)))
+    assert np.abs(whole - [plain_score(cached, t) for t in ("", long, "calm")]).max() < 1e-4
+
+
 def test_op9(spark, sf, texts, monkeypatch):
     monkeypatch.setattr(op9_toxicity.fit, "__defaults__", (20, op9_toxicity.SEED))
     got = {r.doc_id: r for r in op9_toxicity.op9_toxicity(spark, sf).collect()}
@@ -358,6 +375,58 @@ def test_scores_of_quality_against_loops(spark, sf, texts):
         assert np.allclose([got[i].text_score, got[i].page_score, got[i].score], want, atol=1e-4), t
 
 
+def plain_style(t):
+    """The style features, a character at a time."""
+    size = max(1, len(t.encode()))
+    width = lambda of: sum(len(c.encode()) for c in t if of(c))
+    ascii_ = lambda c: c < "\x80"
+    words = t.split()
+    many = max(1, len(words))
+    letters = width(lambda c: not ascii_(c) or c.isalpha())
+    marks = width(lambda c: ascii_(c) and 32 < ord(c) < 127 and not c.isalnum())
+    ends = sum(t.count(c) for c in ".!?")
+    capitals, digits = width(lambda c: ascii_(c) and c.isupper()), width(lambda c: ascii_(c) and c.isdigit())
+    return [letters / size, capitals / size, digits / size, marks / size, t.count("|") / many, ends / many, size / many, len(set(words)) / many, len(set(t.split("\n"))) / (t.count("\n") + 1)]
+
+
+def plain_page(t, lang, source, n_chars):
+    """The page features: six numbers, then where language and source lie among 16 and 48 places."""
+    size, lines = max(1, len(t.encode())), t.count("\n") + 1
+    doubled = sum(a == b == "\n" for a, b in zip(re.sub(r"[^\n]+", "x", t), re.sub(r"[^\n]+", "x", t)[1:], strict=False))
+    out = [math.log(1 + max(0, n_chars or 0)), float(n_chars is None), math.log(1 + lines), math.log(1 + size / lines), doubled / lines, (t.count(" ") + t.count("\t")) / size * 4] + [0] * 64
+    out[6 + zlib.crc32(f"lang={lang}".encode()) % 16] = 1
+    out[22 + zlib.crc32(f"source={source}".encode()) % 48] = 1
+    return out
+
+
+def test_features_of_quality_against_loops(texts):
+    for k, (_, t) in enumerate(texts):
+        t, facts = t or "", [("en", "web", 90), (None, None, None), ("de", "x", -3)][k % 3]
+        assert np.allclose(op10_quality.style(t), plain_style(t), atol=1e-5), t
+        assert np.allclose(op10_quality.page(t, *facts), plain_page(t, *facts), atol=1e-4), t
+
+
+def test_unlabelled_pages_help(spark):
+    """Few labelled pages show few of the words; their sources tell which unlabelled pages are alike, whose words the text view then learns."""
+    draw = np.random.default_rng(9)
+    # words of one shape, so that style tells nothing
+    names = [f"w{i}" for i in draw.permutation(np.arange(1000, 1900))]
+    kinds, plain = [names[:400], names[400:800]], names[800:]
+
+    def made(y):
+        return " ".join([*draw.choice(plain, 4), *draw.choice(kinds[1 - y], 8)])
+
+    labelled = [(made(y), "en", f"s{y}", 90, y) for y in draw.integers(0, 2, 20).tolist()]
+    unlabelled = [(made(i % 2), "en", f"s{i % 2}", 90) for i in range(1200)]
+    asked = [(made(i % 2), "en", None, 90) for i in range(400)]
+    right = []
+    for more in ([], unlabelled):
+        scores = op10_quality.fit(labelled, more).score(asked, op10_quality._Buckets())[:, 0]
+        good, bad = scores[1::2], scores[::2]
+        right.append(((good[:, None] > bad[None]) + (good[:, None] == bad[None]) / 2).mean())
+    assert right[1] > right[0] + 0.05 and right[1] > 0.95, right
+
+
 def test_op10(spark, sf, texts):
     got = op10_quality.op10_quality(spark, sf).collect()
     assert sorted(r.doc_id for r in got) == [i for i, _ in texts]
