@@ -1,6 +1,7 @@
 """Nearest points by trees and blocks, orientation, textures of corners, images, colour differences, and accuracy: against plain versions."""
 
 import itertools
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -55,6 +56,28 @@ def test_a_search_looks_at_few_triangles():
         assert np.isclose(((nearest.on_triangles(query[i][None], corners[which[i]][None])[0] - query[i]) ** 2).sum(), gap, rtol=1e-9, atol=1e-18)
 
 
+@pytest.mark.parametrize("kind", ["soup", "far off", "grid", "flat", "slivers"])
+def test_triangles_across_each_other(kind):
+    """As the views have them: boxes tell nothing, so that a search by boxes alone compares all with all at once."""
+    draw = np.random.default_rng(3)
+    p = draw.normal(size=(1500, 3)) / 8
+    p = {"soup": p, "far off": p + 1e3, "grid": np.round(p * 8) / 8, "flat": p * [1, 1, 0], "slivers": np.column_stack([p[:, 0], 2 * p[:, 0], 3 * p[:, 0] + 1e-9 * p[:, 1]])}[kind]
+    corners, query = np.stack([p[:-2], p[1:-1], p[2:]], 1), np.vstack([p + [0.05, 0, 0], p[:50]])
+    ids = draw.permutation(len(corners))
+    tracemalloc.start()
+    which = nearest.closest_on_triangles(query, corners, ids=ids)[1]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6
+    for i in range(0, len(query), 9):
+        gap = nearest.on_triangles(np.repeat(query[i][None], len(corners), 0), corners) - query[i]
+        assert which[i] == np.lexsort((ids, np.einsum("ik,ik->i", gap, gap)))[0]
+    if kind == "soup":
+        held = nearest.Triangles(corners, ids)
+        held.search(query)
+        assert held.tests / len(query) < 40 and held.bounds / len(query) < len(corners) * 0.9
+
+
 @pytest.mark.parametrize("block", [1, 7, 64, 4096])
 def test_nearest_vertex_with_ties(spark, block):
     draw = np.random.default_rng(block)
