@@ -252,3 +252,20 @@ def test_kmeans_is_settled_and_best_of_fifteen(spark):
     assert np.allclose([c[own == k].mean(0) for k in range(8)], m, atol=1e-6)
     with pytest.warns(UserWarning, match="settled"):
         segment.kmeans_colors(spark.createDataFrame([("s", i, *map(int, x)) for i, x in enumerate(c)], "specimen_id string, point_id int, r int, g int, b int"), 8, 2, 2)
+
+
+def test_rounds_of_kmeans_follow_the_colours(spark, monkeypatch):
+    """Not the number of the shuffle's parts, which grows with the points."""
+    frame, parts = type(spark.range(0)), []
+    real = frame.mapInPandas
+    monkeypatch.setattr(frame, "mapInPandas", lambda self, *a, **b: parts.append(self.rdd.getNumPartitions()) or real(self, *a, **b))
+    colors = spark.range(2000).selectExpr("'s' as specimen_id", "cast(id as int) as point_id", "cast(id % 7 as int) as r", "cast(id % 5 as int) as g", "0 as b")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        segment.kmeans_colors(colors, 2, 2)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert parts and set(parts) == {1}
