@@ -269,3 +269,13 @@ def test_rounds_of_kmeans_follow_the_colours(spark, monkeypatch):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert parts and set(parts) == {1}
+
+
+def test_a_distance_matrix_is_many_tasks(spark, monkeypatch):
+    """As many as its rows need, though its points are one part."""
+    monkeypatch.setattr(features, "PAIRS", 400, raising=False)
+    points = spark.range(100).coalesce(1).selectExpr("id as point_id", "cast(id as double) as x", "0.0D as y", "0.0D as z")
+    made = features.distance_matrix(points)
+    sizes = [r.n for r in made.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 10_000 and max(sizes) <= 1000
+    assert made.where("distance != abs(i - j)").count() == 0
