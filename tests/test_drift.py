@@ -25,6 +25,15 @@ def test_a_deformation_is_found_again():
     assert all(b <= a + 1e-6 for a, b in zip(costs, costs[1:], strict=False)) and len(costs) > 5
 
 
+def test_rounds_go_on_until_the_fit_settles():
+    """Dense clouds need more than a hundred rounds, after which points lay between two others' places."""
+    p = np.random.default_rng(7).normal(size=(1500, 3))
+    goal = bent(0.2 * p)
+    control, weights, scales, costs = drift.fit(goal, 0.2 * p, tolerance=1e-6)
+    assert len(costs) > 100 and (drift._squares(drift.move(0.2 * p, control, weights, scales, 2.0), goal).argmin(1) == np.arange(len(p))).all()
+    assert len(drift.fit(goal, 0.2 * p, tolerance=1e-6, rounds=3)[3]) == 3
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_costs_never_rise(seed):
     """On noise, with strangers among the points, and whatever the parameters are."""
