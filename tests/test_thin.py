@@ -75,3 +75,9 @@ def test_odd_rows(spark, monkeypatch):
     assert got.columns == df.columns
     assert sorted((str(r.specimen_id), r.point_id, r._gap) for r in got.collect()) == [("None", 1, "own"), ("None", 2, "own"), ("a", 1, "own"), ("a", 4, "own")]
     assert thin.subsample(df.limit(0), 4).count() == 0
+
+
+def test_nothing_is_held_without_a_gap():
+    one = thin.Pass(0.0)
+    assert all(one.offer(thin.OWN, False, (0, 0, 0), (float(i), 0.0, 0.0)) for i in range(1000))
+    assert not one.stay and not one.open
