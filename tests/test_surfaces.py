@@ -78,6 +78,18 @@ def test_triangles_across_each_other(kind):
         assert held.tests / len(query) < 40 and held.bounds / len(query) < len(corners) * 0.9
 
 
+def test_many_triangles_across_each_other_cost_few_bounds():
+    """Queries in the middle of a cloud, where its mean's points are and most triangles cross."""
+    p = np.random.default_rng(5).normal(size=(20_000, 3)) / 8
+    corners, query = np.stack([p[:-2], p[1:-1], p[2:]], 1), p[np.argsort(((p - p[0]) ** 2).sum(1))[:1000]] / 3
+    held = nearest.Triangles(corners, np.arange(len(corners)))
+    which = held.search(query)
+    assert held.bounds / len(query) < 3000 and held.tests / len(query) < 40
+    for i in range(0, len(query), 50):
+        at, gap = brute(query[i], corners)
+        assert ((nearest.on_triangles(query[i][None], corners[which[i]][None])[0] - query[i]) ** 2).sum() == gap
+
+
 @pytest.mark.parametrize("block", [1, 7, 64, 4096])
 def test_nearest_vertex_with_ties(spark, block):
     draw = np.random.default_rng(block)
