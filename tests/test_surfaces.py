@@ -291,3 +291,12 @@ def test_tables_of_a_scope_are_deleted(spark):
     assert kept.count() == 3
     with pytest.raises(Exception):
         lost.count()
+
+
+def test_tasks_follow_the_blocks_of_queries(spark):
+    """A block is few bytes and long to search, so that bytes would put all blocks of a large specimen into few tasks."""
+    p = np.random.default_rng(2).normal(size=(1200, 3))
+    points, strips = frame(spark, "a", p), faces_frame(spark, "a", np.stack([np.arange(1198), np.arange(1, 1199), np.arange(2, 1200)], 1))
+    made = nearest.closest_surface(points, points, strips, block=32)
+    assert made.rdd.getNumPartitions() >= 1200 / 32 / nearest.BLOCKS_A_TASK
+    assert made.count() == 1200
