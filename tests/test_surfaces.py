@@ -300,3 +300,21 @@ def test_tasks_follow_the_blocks_of_queries(spark):
     made = nearest.closest_surface(points, points, strips, block=32)
     assert made.rdd.getNumPartitions() >= 1200 / 32 / nearest.BLOCKS_A_TASK
     assert made.count() == 1200
+
+
+@pytest.mark.parametrize("kind", ["cloud", "far off", "grid", "copies"])
+def test_a_search_among_vertices_is_bounded(kind):
+    """A tree of boxes took 110 to 277 MB for these; ties go to the least id, in whatever order vertices come."""
+    draw = np.random.default_rng(8)
+    p = draw.normal(size=(20_000, 3)) / 8
+    p = {"cloud": p, "far off": p + 1e3, "grid": np.round(p * 8) / 8, "copies": np.repeat(p[:2000], 10, 0)}[kind]
+    query, ids = np.vstack([p[np.argsort(p[:, 0])[8000:12_000]] + [0.01, 0, 0], p[:90], [[9, 9, 9]]]), draw.permutation(len(p))
+    tracemalloc.start()
+    held = nearest.Vertices(p, ids)
+    which = held.search(query)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 10e6 and (held.bounds + held.tests) / len(query) < len(p) / 3
+    for i in [*range(0, len(query), 37), len(query) - 1]:
+        gap = (query[i] - p) ** 2
+        assert which[i] == np.lexsort((ids, (gap[:, 0] + gap[:, 1]) + gap[:, 2]))[0]
