@@ -318,3 +318,27 @@ def test_a_search_among_vertices_is_bounded(kind):
     for i in [*range(0, len(query), 37), len(query) - 1]:
         gap = (query[i] - p) ** 2
         assert which[i] == np.lexsort((ids, (gap[:, 0] + gap[:, 1]) + gap[:, 2]))[0]
+
+
+def test_planes_alone_leave_few_pairs(monkeypatch):
+    """All sides of a triangle were compared with every query that was searched with it: 2,316 triangles a query here."""
+    p = np.random.default_rng(5).normal(size=(20_000, 3)) / 8
+    corners, query = np.stack([p[:-2], p[1:-1], p[2:]], 1), p[np.argsort(((p - p[0]) ** 2).sum(1))[:1000]] / 3
+    whole, real = [], nearest.Triangles._least
+    monkeypatch.setattr(nearest.Triangles, "_least", lambda self, q, t: whole.append(len(q) * len(t)) or real(self, q, t))
+    held = nearest.Triangles(corners, np.arange(len(corners)))
+    which = held.search(query)
+    assert sum(whole) / len(query) < 800 and held.bounds / len(query) < 3000
+    for i in range(0, len(query), 50):
+        at, gap = brute(query[i], corners)
+        assert ((nearest.on_triangles(query[i][None], corners[which[i]][None])[0] - query[i]) ** 2).sum() == gap
+
+
+def test_cells_make_few_small_blocks(spark, monkeypatch):
+    """Cells of a cloud hold an eighth, not a quarter, of those above, and made blocks of a few points each."""
+    points, made, real = np.random.default_rng(4).random((4000, 3)), [], nearest.written
+    monkeypatch.setattr(nearest, "written", lambda df, name: made.append(real(df, name)) or made[-1])
+    cloud = frame(spark, "s", points)
+    got = nearest.nearest_vertex(cloud, cloud, 64)
+    assert all(r.point_id == r.vertex_id for r in got.collect())
+    assert [df.count() < 2 * 4000 / 64 for df in made] == [True, True]
