@@ -54,6 +54,64 @@ def test_the_posterior_against_loops():
     assert np.isclose(likelihood, np.log(f.sum(1) + w / 7).sum())
 
 
+@pytest.mark.parametrize("variance", [1.0, 1e-2, 1e-4, 1e-8])
+def test_far_points_are_left_out_without_a_trace(variance):
+    """Leaves in order, leaves out of order, and a last one that isn't full, against comparing all with all."""
+    draw, w = np.random.default_rng(5), 0.1
+    x = draw.normal(size=(333, 3))
+    t = x[draw.permutation(333)[:290]] + variance**0.5 * draw.normal(size=(290, 3))
+    p = np.exp(drift._squares(x, t) / (-2 * variance))
+    total = p.sum(1) + (2 * np.pi * variance) ** 1.5 * w / (1 - w) * 290 / 333
+    p /= total[:, None]
+    likelihood = np.log(total).sum() + 333 * (np.log((1 - w) / 290) - 1.5 * np.log(2 * np.pi * variance))
+    for i, k in ((np.arange(333), np.arange(290)), (drift._leaves(x), drift._leaves(t))):
+        assert sorted(i) == list(range(333)) and sorted(k) == list(range(290))
+        by_t, by_x, sums, got = drift._posterior(x[i], t[k], variance, w)
+        assert np.allclose(by_t, p.sum(0)[k]) and np.allclose(by_x, p.sum(1)[i]) and np.allclose(sums, (p.T @ x)[k]) and np.isclose(got, likelihood, rtol=1e-11)
+
+
+@pytest.mark.parametrize("beta", [0.3, 2.0])
+def test_the_kernel_by_its_columns(monkeypatch, beta):
+    y = np.random.default_rng(6).normal(size=(700, 3))
+    kernel = np.exp(drift._squares(y, y) / (-2 * beta * beta))
+    monkeypatch.setattr(drift, "WHOLE", 0)
+    weight, vectors = drift._bending(y, beta)
+    want = np.linalg.eigvalsh(kernel)
+    want = want[want > drift.LEAST_WEIGHT * want[-1]][-drift.RANK :]
+    assert np.allclose(weight, want, rtol=1e-5) and np.abs(vectors.T @ vectors - np.eye(len(weight))).max() < 1e-6
+    assert np.abs(kernel @ vectors - vectors * weight).max() < 1e-6 * weight[0] + 1e-12
+
+
+def test_longer_steps_lead_where_rounds_lead(monkeypatch):
+    """The same place at no higher cost, in fewer rounds that never let it rise; nothing is taken from a step that wasn't looked at."""
+    p = 0.2 * np.random.default_rng(7).normal(size=(900, 3))
+    goal = bent(p)
+    plain = drift.fit(goal, p, tolerance=1e-6)
+    monkeypatch.setattr(drift, "PLAIN", 0)
+    control, weights, scales, costs = drift.fit(goal, p, tolerance=1e-6)
+    assert (control == plain[0]).all() and len(costs) < 0.8 * len(plain[3]) and (np.diff(costs) <= 1e-6).all()
+    assert (drift._squares(drift.move(p, control, weights, scales, 2.0), goal).argmin(1) == np.arange(len(p))).all()
+    for n in range(3, 12):
+        got = drift.fit(goal, p, tolerance=1e-6, rounds=n)
+        assert got[3] == costs[:n]
+    draw = np.random.default_rng(2)
+    x, y = draw.normal(size=(120, 3)), np.concatenate([draw.normal(size=(50, 3)), 20 + draw.normal(size=(3, 3))])
+    for alpha, beta, outliers in ((2, 2, 0.1), (0.1, 0.5, 0.5), (10, 5, 0.01)):
+        costs = drift.fit(x, y, alpha, beta, 60, -np.inf, outliers)[3]
+        assert len(costs) == 60 and (np.diff(costs) <= 1e-6).all()
+
+
+def test_more_points_than_a_kernel_is_held_whole_for(spark):
+    """9,000 points a specimen were an error. Two rounds bring them near; that all of them are found again takes many more."""
+    n = 9000
+    p = np.random.default_rng(8).normal(size=(n, 3))
+    rows = [(s, i, *map(float, x)) for s in "ab" for i, x in enumerate(p + [5, 0, 0])]
+    points = spark.createDataFrame(rows, POINT)
+    got = drift.drifted(points, spark.createDataFrame([r[1:] for r in rows[:n]], POINT.split(", ", 1)[1]), 0.0, rounds=2).toPandas()
+    assert len(got) == 2 * n and (got.groupby("specimen_id").point_id.nunique() == n).all()
+    assert np.linalg.norm(got.sort_values(["specimen_id", "point_id"])[["x", "y", "z"]].to_numpy() - np.tile(p + [5, 0, 0], (2, 1)), axis=1).mean() < 1
+
+
 def test_specimens_of_other_points(spark, monkeypatch):
     """Atlas and specimens are thinned, specimens have points of their own, and all atlas points move, in blocks.
 
