@@ -101,6 +101,19 @@ def test_longer_steps_lead_where_rounds_lead(monkeypatch):
         assert len(costs) == 60 and (np.diff(costs) <= 1e-6).all()
 
 
+def test_a_few_points_tell_where_all_start(monkeypatch):
+    """All points are fitted from there, in fewer rounds, and end where they end without it."""
+    p = 0.2 * np.random.default_rng(7).normal(size=(1500, 3))
+    goal = bent(p)[np.random.default_rng(9).permutation(1500)]
+    plain = drift.fit(goal, p, tolerance=1e-6)
+    monkeypatch.setattr(drift, "MANY", 1000)
+    monkeypatch.setattr(drift, "COARSE", 500)
+    control, weights, scales, costs = drift.fit(goal, p, tolerance=1e-6)
+    assert (control == plain[0]).all() and len(costs) < 0.3 * len(plain[3]) and (np.diff(costs) <= 1e-6).all()
+    off, before = (np.abs(drift.move(p, *found, 2.0) - bent(p)).max() for found in ((control, weights, scales), plain[:3]))
+    assert (drift._squares(drift.move(p, control, weights, scales, 2.0), bent(p)).argmin(1) == np.arange(len(p))).all() and off < 1.1 * before
+
+
 def test_more_points_than_a_kernel_is_held_whole_for(spark):
     """9,000 points a specimen were an error. Two rounds bring them near; that all of them are found again takes many more."""
     n = 9000
